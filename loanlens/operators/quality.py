@@ -173,3 +173,22 @@ def lateness_distribution(inst: DataFrame, due: str = "days_instalment",
             .where(F.col("days_late") > 0))
     q = exact_quantiles(late, "days_late", {"median_late": 0.5, "p95_late": 0.95, "p99_late": 0.99})
     return q.crossJoin(late.agg(F.max("days_late").cast("double").alias("max_late")))
+
+
+def numeric_summary(df: DataFrame, column: str, digits: int | None = None) -> DataFrame:
+    """A25 - ``describe()``: count, mean, sample std, min, exact quartiles, max.
+
+    With ``digits`` (values known to carry at most that many decimals) the
+    mean is accumulated exactly in integer units.
+    """
+    c = F.col(column).cast("double")
+    if digits is None:
+        mean = F.avg(c)
+    else:
+        scale = 10 ** digits
+        mean = (F.sum(F.round(c * scale).cast("long")).cast("double")
+                / (F.lit(float(scale)) * F.nullif(F.count(c), F.lit(0)).cast("double")))
+    basic = df.agg(F.count(c).alias("count"), mean.alias("mean"), F.stddev_samp(c).alias("std"),
+                   F.min(c).alias("min"), F.max(c).alias("max"))
+    q = exact_quantiles(df.select(c.alias(column)), column, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return basic.crossJoin(q)
