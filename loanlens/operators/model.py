@@ -119,7 +119,7 @@ def train(features: DataFrame, max_iter: int = MAX_ITER):
     n_train = train_rows.count()
     lr = LogisticRegression(featuresCol="features", labelCol=LABEL_COLUMN, weightCol=WEIGHT_COLUMN,
                             regParam=1.0 / (INVERSE_REGULARISATION * n_train), elasticNetParam=0.0,
-                            standardization=False, fitIntercept=True, maxIter=max_iter, tol=1e-10)
+                            standardization=False, fitIntercept=True, maxIter=max_iter)
     fitted = lr.fit(train_rows)
     model = RiskModel(imputation, encoder, scaler, cols, fitted)
     return model, split.select(ID_COLUMN, "split"), fitted.summary.totalIterations

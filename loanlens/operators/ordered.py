@@ -57,11 +57,16 @@ def running_totals(df: DataFrame, order: list[str], weights: list[str], by: list
     by = list(by or [])
     buckets = buckets or _default_buckets(df)
     lead = order[0]
-    bounds = _bucket_bounds(df, lead, by, buckets)
-    slice_no = F.aggregate("_bounds", F.lit(0),
-                           lambda acc, b: acc + F.when(b < F.col(lead).cast("double"), 1).otherwise(0))
-    joined = df.join(F.broadcast(bounds), by, "left") if by else df.crossJoin(F.broadcast(bounds))
-    sliced = joined.withColumn("_slice", F.coalesce(slice_no, F.lit(0))).drop("_bounds")
+    if buckets == 1:
+        # caller guarantees a small input (e.g. a bounded number of distinct
+        # values): one slice per group, no cut points needed
+        sliced = df.withColumn("_slice", F.lit(0))
+    else:
+        bounds = _bucket_bounds(df, lead, by, buckets)
+        slice_no = F.aggregate("_bounds", F.lit(0),
+                               lambda acc, b: acc + F.when(b < F.col(lead).cast("double"), 1).otherwise(0))
+        joined = df.join(F.broadcast(bounds), by, "left") if by else df.crossJoin(F.broadcast(bounds))
+        sliced = joined.withColumn("_slice", F.coalesce(slice_no, F.lit(0))).drop("_bounds")
 
     local = Window.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     with_local = sliced
