@@ -417,3 +417,14 @@ def model_customer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("risk_model_evaluation")(risk_model_evaluation)
 register("risk_drivers")(risk_drivers)
 register("model_customer_scores")(model_customer_scores)
+
+
+def _model_test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feats, fitted, split, _ = _fit(spark, sf_dir)
+    return fitted.predict(feats).join(split.where(F.col("split") == "test"), "sk_id_curr")
+
+
+register("risk_model_confusion_matrix")(
+    lambda spark, d: evaluate.confusion_matrix(_model_test_rows(spark, d)))
+register("risk_model_classification_report")(
+    lambda spark, d: evaluate.classification_report(_model_test_rows(spark, d)))

@@ -49,7 +49,7 @@ def rows_of_duck(con, sql):
     return cols, [tuple(_norm(r[i]) for i in idx) for r in rel.fetchall()]
 
 
-def compare(df, con, sql, rel_tol=1e-9):
+def compare(df, con, sql, rel_tol=1e-9, strict=False):
     sc, sr = rows_of_spark(df)
     dc, dr = rows_of_duck(con, sql)
     problems = []
@@ -63,7 +63,7 @@ def compare(df, con, sql, rel_tol=1e-9):
     bad = 0
     for a, b in zip(sr, dr):
         for c, x, y in zip(sc, a, b):
-            same = x == y or (isinstance(x, float) and isinstance(y, float)
+            same = x == y or (not strict and isinstance(x, float) and isinstance(y, float)
                               and math.isclose(x, y, rel_tol=rel_tol, abs_tol=1e-12))
             if not same:
                 bad += 1

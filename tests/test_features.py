@@ -104,3 +104,15 @@ def test_scan_prunes_columns(spark):
     plan = customer_features_df(spark, "/root/testdata/sf0.001")._jdf.queryExecution() \
         .executedPlan().toString()
     assert "l_comment" not in plan and "l_tax" not in plan and "c_name" not in plan
+
+
+def test_views_and_materialised_table(spark, tmp_path):
+    from loanlens.plans import views
+    v = views.register_views(spark, "/root/testdata/sf0.001")
+    n = spark.sql("SELECT COUNT(*) FROM customer_features").first()[0]
+    assert n == v["customer_features"].count()
+    stored = views.materialise_features(spark, "/root/testdata/sf0.001", str(tmp_path / "features"))
+    assert stored.count() == n
+    sc = views.score_table(spark, str(tmp_path / "features"), str(tmp_path / "scores"))
+    assert sc.count() == n and len(sc.columns) == 10
+    assert views.preview(stored).count() == 20
