@@ -1,0 +1,7 @@
+"""Streaming: nothing to build.
+
+The original application has no stream processing - no watermarks, windows
+over event time, state or late data; an "automated refresh" is mentioned
+only as a future idea.  The batch jobs in ``loanlens.plans`` are the whole
+scope, so this package intentionally holds no operator.
+"""
