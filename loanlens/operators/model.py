@@ -34,9 +34,8 @@ WEIGHT_COLUMN = "class_weight"
 def balanced_weights(train: DataFrame, label: str = LABEL_COLUMN) -> DataFrame:
     """Class weight column n / (2 * n_class), from a per-class count (2 rows)."""
     counts = train.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    total = counts.agg(F.sum("_nc").alias("_n"))
-    w = (counts.crossJoin(F.broadcast(total))
-         .select(label, (F.col("_n").cast("double") / (2.0 * F.col("_nc"))).alias(WEIGHT_COLUMN)))
+    n = counts.agg(F.sum("_nc")).scalar()
+    w = counts.select(label, (n.cast("double") / (2.0 * F.col("_nc"))).alias(WEIGHT_COLUMN))
     return train.join(F.broadcast(w), label, "left")
 
 

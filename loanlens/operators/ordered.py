@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
+
 DEFAULT_BUCKETS = 64
 # Sketch accuracy for the slice cut points (only affects balance).
 _SKETCH_ACCURACY = 2000
@@ -32,16 +34,19 @@ def _default_buckets(df: DataFrame) -> int:
     return max(DEFAULT_BUCKETS, parts)
 
 
-def _bucket_bounds(df: DataFrame, value: str, by: list[str], buckets: int) -> DataFrame:
-    """Cut points per group as a small local DataFrame (groups x buckets)."""
+def _bucket_bounds(df: DataFrame, value: str, by: list[str], buckets: int) -> list:
+    """Cut points per group, fetched to the driver (groups x (buckets - 1) numbers)."""
     probs = [i / buckets for i in range(1, buckets)]
     agg = df.groupBy(*by).agg(
         F.percentile_approx(F.col(value).cast("double"), probs, _SKETCH_ACCURACY).alias("_bounds"))
-    rows = agg.collect()  # bounded: one row per group, buckets-1 numbers each
-    schema = T.StructType([df.schema[c] for c in by]
-                          + [T.StructField("_bounds", T.ArrayType(T.DoubleType()), True)])
-    data = [tuple(r[c] for c in by) + ([float(x) for x in (r["_bounds"] or [])],) for r in rows]
-    return df.sparkSession.createDataFrame(data, schema)
+    return agg.collect()  # bounded: one row per group, buckets-1 numbers each
+
+
+def _slice_of(lead: str, bounds: Column) -> Column:
+    """Number of cut points strictly below the value: its slice (0 for null)."""
+    n = F.aggregate(bounds, F.lit(0),
+                    lambda acc, b: acc + F.when(b < F.col(lead).cast("double"), 1).otherwise(0))
+    return F.coalesce(n, F.lit(0))
 
 
 def running_totals(df: DataFrame, order: list[str], weights: list[str], by: list[str] | None = None,
@@ -62,16 +67,25 @@ def running_totals(df: DataFrame, order: list[str], weights: list[str], by: list
         # values): one slice per group, no cut points needed
         sliced = df.withColumn("_slice", F.lit(0))
     else:
-        bounds = _bucket_bounds(df, lead, by, buckets)
-        slice_no = F.aggregate("_bounds", F.lit(0),
-                               lambda acc, b: acc + F.when(b < F.col(lead).cast("double"), 1).otherwise(0))
-        joined = df.join(F.broadcast(bounds), by, "left") if by else df.crossJoin(F.broadcast(bounds))
-        sliced = joined.withColumn("_slice", F.coalesce(slice_no, F.lit(0))).drop("_bounds")
+        rows = _bucket_bounds(df, lead, by, buckets)
+        if not by:
+            # one group: the cut points go into the plan as a literal array
+            cuts = [float(x) for x in (rows[0]["_bounds"] or [])] if rows else []
+            sliced = df.withColumn("_slice", _slice_of(lead, F.array(*[F.lit(x) for x in cuts])
+                                                       .cast("array<double>")))
+        else:
+            # groups x buckets numbers: a small table joined on the group key
+            schema = T.StructType([df.schema[c] for c in by]
+                                  + [T.StructField("_bounds", T.ArrayType(T.DoubleType()), True)])
+            data = [tuple(r[c] for c in by) + ([float(x) for x in (r["_bounds"] or [])],)
+                    for r in rows]
+            bounds = df.sparkSession.createDataFrame(data, schema)
+            sliced = (df.join(F.broadcast(bounds), by, "left")
+                      .withColumn("_slice", _slice_of(lead, F.col("_bounds"))).drop("_bounds"))
 
     local = Window.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    with_local = sliced
-    for w in weights:
-        with_local = with_local.withColumn(f"_{w}_local", F.coalesce(F.sum(w).over(local), F.lit(0)))
+    with_local = sliced.withColumns(
+        {f"_{w}_local": F.coalesce(F.sum(w).over(local), F.lit(0)) for w in weights})
 
     per_slice = sliced.groupBy(*by, "_slice").agg(*[F.sum(w).alias(f"_{w}_slice") for w in weights])
     earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -99,14 +113,20 @@ def value_counts(df: DataFrame, value: str, by: list[str] | None = None,
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str] | None = None,
-                    buckets: int | None = None) -> DataFrame:
+                    buckets: int | None = None, extra: dict[str, Column] | None = None) -> DataFrame:
     """PERCENTILE_CONT for each (name -> p): linear interpolation at
     position p * (n - 1) over the non-null values, per ``by`` group.
 
-    Output: the ``by`` columns and one double column per name.
+    The input is reduced once to its distinct values with their row counts
+    ``n``; that table is checkpointed, so the cut-point sketch and the ranking
+    read it instead of recomputing ``df``.  ``extra`` adds aggregates over the
+    same table (columns ``value`` and ``n``; e.g. min, max, an exact weighted
+    sum), computed in the same final aggregation.
+
+    Output: the ``by`` columns, one double column per name, then ``extra``.
     """
     by = list(by or [])
-    counts = value_counts(df, value, by)
+    counts = cut_lineage(value_counts(df, value, by))
     ranked = running_totals(counts, [value], ["n"], by, buckets)
     v = F.col(value).cast("double")
     lo_hi = []
@@ -117,12 +137,13 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list
         lo_hi += [F.max(F.when(covers(lo), v)).alias(f"_{name}_lo"),
                   F.max(F.when(covers(hi), v)).alias(f"_{name}_hi"),
                   F.first(pos - lo, ignorenulls=True).alias(f"_{name}_frac")]
-    picked = ranked.groupBy(*by).agg(*lo_hi)
+    extra = extra or {}
+    picked = ranked.groupBy(*by).agg(*lo_hi, *[c.alias(k) for k, c in extra.items()])
     cols = [F.col(c) for c in by]
     for name in probs:
         lo, hi, frac = F.col(f"_{name}_lo"), F.col(f"_{name}_hi"), F.col(f"_{name}_frac")
         cols.append(F.when(frac == 0, lo).otherwise(lo + (hi - lo) * frac).alias(name))
-    return picked.select(*cols)
+    return picked.select(*cols, *extra.keys())
 
 
 def rank_desc(df: DataFrame, value: str, out: str = "rank", buckets: int | None = None) -> DataFrame:
@@ -132,7 +153,8 @@ def rank_desc(df: DataFrame, value: str, out: str = "rank", buckets: int | None
     Ranks are computed on the distinct-value table and joined back on the
     value (AQE broadcasts that table when its measured size allows).
     """
-    counts = value_counts(df, value)
+    # the distinct-value table is read twice by the ranking: materialise it
+    counts = cut_lineage(value_counts(df, value))
     ranked = running_totals(counts, [value], ["n"], None, buckets)
     table = ranked.select(value, (F.col("n_total") - F.col("n_before") - F.col("n") + 1)
                           .cast("int").alias(out))

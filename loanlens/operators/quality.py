@@ -64,15 +64,15 @@ def segment_profile(app: DataFrame, segment: str = "name_contract_type",
                     credit: str = "amt_credit", income: str = "amt_income_total") -> DataFrame:
     """A3 + W4 - per segment: count, share of the portfolio, mean loan and
     income (0 digits), largest segment first.  The share's denominator is the
-    sum over the grouped result (a one-row aggregate, broadcast)."""
+    sum over the grouped result, a scalar subquery evaluated once."""
     grouped = app.groupBy(segment).agg(
         F.count(F.lit(1)).alias("num_customers"),
         sql_round(exact_mean(F.col(credit)), 0).cast("double").alias("avg_loan_amount"),
         sql_round(exact_mean(F.col(income)), 0).cast("double").alias("avg_income"),
     )
-    total = grouped.agg(F.sum("num_customers").alias("_portfolio"))
-    return (grouped.crossJoin(F.broadcast(total))
-            .withColumn("pct_of_portfolio", _pct(F.col("num_customers"), F.col("_portfolio")))
+    portfolio = grouped.agg(F.sum("num_customers")).scalar()
+    return (grouped
+            .withColumn("pct_of_portfolio", _pct(F.col("num_customers"), portfolio))
             .select(segment, "num_customers", "pct_of_portfolio", "avg_loan_amount", "avg_income")
             .orderBy(F.col("num_customers").desc()))
 
@@ -109,12 +109,18 @@ def category_frequency(df: DataFrame, column: str) -> DataFrame:
 
 
 def income_outliers(app: DataFrame, income: str = "amt_income_total") -> DataFrame:
-    """A7 - min, max, mean (0 digits), exact median and 99th percentile."""
-    basic = app.agg(F.min(income).cast("double").alias("min_income"),
-                    F.max(income).cast("double").alias("max_income"),
-                    sql_round(exact_mean(F.col(income)), 0).cast("double").alias("avg_income"))
-    q = exact_quantiles(app, income, {"median_income": 0.5, "p99_income": 0.99})
-    return basic.crossJoin(q)
+    """A7 - min, max, mean (0 digits), exact median and 99th percentile.
+
+    All five come from one pass over the table of distinct incomes and their
+    row counts ``n``; the mean is the exact weighted sum over that table.
+    """
+    v, n = F.col(income), F.col("n")
+    q = exact_quantiles(app, income, {"median_income": 0.5, "p99_income": 0.99}, extra={
+        "min_income": F.min(v).cast("double"),
+        "max_income": F.max(v).cast("double"),
+        "avg_income": sql_round(exact_quotient(F.sum(v * n), F.sum(n)), 0).cast("double"),
+    })
+    return q.select("min_income", "max_income", "avg_income", "median_income", "p99_income")
 
 
 def count_above(df: DataFrame, column: str = "amt_income_total", ceiling: int = INCOME_CAP) -> DataFrame:
@@ -171,24 +177,34 @@ def lateness_distribution(inst: DataFrame, due: str = "days_instalment",
     late = (inst.where(F.col(paid).isNotNull())
             .select((F.col(paid) - F.col(due)).alias("days_late"))
             .where(F.col("days_late") > 0))
-    q = exact_quantiles(late, "days_late", {"median_late": 0.5, "p95_late": 0.95, "p99_late": 0.99})
-    return q.crossJoin(late.agg(F.max("days_late").cast("double").alias("max_late")))
+    return exact_quantiles(late, "days_late", {"median_late": 0.5, "p95_late": 0.95, "p99_late": 0.99},
+                           extra={"max_late": F.max("days_late").cast("double")})
 
 
 def numeric_summary(df: DataFrame, column: str, digits: int | None = None) -> DataFrame:
     """A25 - ``describe()``: count, mean, sample std, min, exact quartiles, max.
 
-    With ``digits`` (values known to carry at most that many decimals) the
-    mean is accumulated exactly in integer units.
+    Everything is aggregated from the table of distinct values and their row
+    counts ``n`` in the quantile pass.  With ``digits`` (values known to carry
+    at most that many decimals) the mean and the variance are accumulated
+    exactly in integer units, so they do not depend on the order rows are
+    added in: var = (N * sum(n u^2) - sum(n u)^2) / (N (N - 1)).  Without it
+    the sample std is Spark's ``stddev_samp`` over the rows (a scalar
+    subquery).
     """
     c = F.col(column).cast("double")
-    if digits is None:
-        mean = F.avg(c)
-    else:
+    v, n = F.col(column), F.col("n")
+    extra = {"count": F.coalesce(F.sum(n), F.lit(0)), "min": F.min(v), "max": F.max(v)}
+    if digits is not None:
         scale = 10 ** digits
-        mean = (F.sum(F.round(c * scale).cast("long")).cast("double")
-                / (F.lit(float(scale)) * F.nullif(F.count(c), F.lit(0)).cast("double")))
-    basic = df.agg(F.count(c).alias("count"), mean.alias("mean"), F.stddev_samp(c).alias("std"),
-                   F.min(c).alias("min"), F.max(c).alias("max"))
-    q = exact_quantiles(df.select(c.alias(column)), column, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    return basic.crossJoin(q)
+        units = F.round(v * scale).cast("decimal(38,0)")
+        total, squares, rows = F.sum(units * n), F.sum(units * units * n), F.sum(n).cast("decimal(38,0)")
+        extra["mean"] = total.cast("double") / (F.lit(float(scale)) * F.nullif(F.sum(n), F.lit(0)).cast("double"))
+        spread = (rows * squares - total * total).cast("double")
+        pairs = F.nullif(rows * (rows - 1), F.lit(0)).cast("double")
+        extra["std"] = F.sqrt(spread / pairs) / F.lit(float(scale))
+    q = exact_quantiles(df.select(c.alias(column)), column, {"q25": 0.25, "q50": 0.5, "q75": 0.75},
+                        extra=extra)
+    if digits is None:
+        q = q.withColumns({"mean": df.agg(F.avg(c)).scalar(), "std": df.agg(F.stddev_samp(c)).scalar()})
+    return q.select("count", "mean", "std", "min", "max", "q25", "q50", "q75")

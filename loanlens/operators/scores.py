@@ -3,8 +3,9 @@
 Score arithmetic is float64, as in the original (decimals were coerced to
 float when read into pandas), and uses float64 rounding (ties to even).
 The two portfolio-wide constants (credit min/max, then the largest raw
-priority) are one-row aggregates broadcast to every row - never a driver
-round trip.
+priority) are scalar subqueries: one-row aggregates that Spark evaluates
+once and substitutes into the row expressions - never a driver round trip
+and never a join.
 """
 
 from __future__ import annotations
@@ -69,17 +70,15 @@ def customer_scores(df: DataFrame, probability: str = "risk_probability", credit
                      F.col(probability).cast("double").alias("risk_probability"))
     base = base.withColumn("risk_score", numpy_round(F.col("risk_probability") * 100, 1))
 
-    # B2 - exposure normalised with the portfolio min/max (one-row aggregate)
-    span = base.agg(F.min("_credit").alias("_cmin"), F.max("_credit").alias("_cmax"))
-    exposure = ((F.col("_credit") - F.col("_cmin"))
-                / F.nullif(F.col("_cmax") - F.col("_cmin"), F.lit(0.0)))
-    raw = base.crossJoin(F.broadcast(span)).withColumn("_raw", F.col("risk_score") * exposure)
+    # B2 - exposure normalised with the portfolio min/max (scalar subqueries)
+    cmin, cmax = base.agg(F.min("_credit")).scalar(), base.agg(F.max("_credit")).scalar()
+    exposure = (F.col("_credit") - cmin) / F.nullif(cmax - cmin, F.lit(0.0))
+    raw = base.withColumn("_raw", F.col("risk_score") * exposure)
 
-    # B4 - rescale by the largest raw priority (second one-row aggregate)
-    top = raw.agg(F.max("_raw").alias("_raw_max"))
-    prio = (raw.crossJoin(F.broadcast(top))
-            .withColumn("collection_priority_score",
-                        numpy_round(F.col("_raw") / F.nullif(F.col("_raw_max"), F.lit(0.0)) * 100, 1)))
+    # B4 - rescale by the largest raw priority (a second scalar subquery)
+    raw_max = raw.agg(F.max("_raw")).scalar()
+    prio = raw.withColumn("collection_priority_score",
+                          numpy_round(F.col("_raw") / F.nullif(raw_max, F.lit(0.0)) * 100, 1))
 
     # B5 - shared minimum rank, highest priority first.  The score is rounded
     # to 0.1 on [0, 100], so at most 1001 distinct values are ranked: one
@@ -110,21 +109,20 @@ def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
     """P22 - equal-width bins between min and max, the last bin closed on the
     right; returns (bin, lower_edge, count) for non-empty bins."""
     v = F.col(value).cast("double")
-    span = df.agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo")) / bins
-    idx = F.floor((v - F.col("_lo")) * bins / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))) + 1
-    binned = (df.where(v.isNotNull()).crossJoin(F.broadcast(span))
+    lo, hi = df.agg(F.min(v)).scalar(), df.agg(F.max(v)).scalar()
+    idx = F.floor((v - lo) * bins / F.nullif(hi - lo, F.lit(0.0))) + 1
+    binned = (df.where(v.isNotNull())
               .withColumn("bin", F.least(F.coalesce(idx, F.lit(1)), F.lit(bins)).cast("int")))
-    return (binned.groupBy("bin", "_lo", "_hi").agg(F.count(F.lit(1)).alias("count"))
-            .select("bin", (F.col("_lo") + (F.col("bin") - 1) * width).alias("lower_edge"), "count"))
+    return (binned.groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
+            .select("bin", (lo + (F.col("bin") - 1) * ((hi - lo) / bins)).alias("lower_edge"), "count"))
 
 
 def frequency_share(df: DataFrame, column: str, digits: int = 3) -> DataFrame:
     """A23 - ``value_counts()`` and ``value_counts(normalize=True).round(d) * 100``."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("count"))
-    total = counts.agg(F.sum("count").alias("_total"))
-    share = numpy_round(F.col("count") / F.col("_total"), digits) * 100
-    return counts.crossJoin(F.broadcast(total)).select(column, "count", share.alias("pct"))
+    total = counts.agg(F.sum("count")).scalar()
+    share = numpy_round(F.col("count") / total, digits) * 100
+    return counts.select(column, "count", share.alias("pct"))
 
 
 def mean_target_by(df: DataFrame, column: str, target: str = "target") -> DataFrame:
