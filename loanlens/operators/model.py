@@ -64,9 +64,7 @@ class RiskModel:
 
     def coefficients(self, spark: SparkSession) -> DataFrame:
         """M10/M11 - one row per feature: coefficient, |coefficient|, rank, direction."""
-        rows = [(name, float(c)) for name, c in zip(self.feature_columns, self.classifier.coefficients)]
-        df = spark.createDataFrame(rows, "feature string, coefficient double")
-        return feature_importance(df)
+        return feature_importance(spark, self.feature_columns, self.classifier.coefficients)
 
     # ---- IO8 persistence
     def save(self, path: str) -> None:
@@ -86,15 +84,19 @@ class RiskModel:
                    LogisticRegressionModel.load(os.path.join(path, "classifier")))
 
 
-def feature_importance(coefs: DataFrame) -> DataFrame:
-    """M11 - ``feature_importance``: rank by |coefficient| (ties by name)."""
-    from pyspark.sql import Window
-    # one row per model feature: a bounded, small frame
-    w = Window.orderBy(F.col("abs_coefficient").desc(), F.col("feature"))
-    return (coefs.withColumn("abs_coefficient", F.abs("coefficient"))
-            .withColumn("rank", F.row_number().over(w))
-            .withColumn("direction", F.when(F.col("coefficient") > 0, "Increases Risk")
-                        .otherwise("Decreases Risk")))
+def feature_importance(spark: SparkSession, names: list[str], coefficients) -> DataFrame:
+    """M11 - ``feature_importance``: rank by |coefficient| (ties by name).
+
+    The coefficients are the fitted model's parameters, already on the
+    driver (one number per model column), so they are ranked there and
+    handed to Spark as a small table; no data is collected for this.
+    """
+    pairs = sorted(((name, float(c)) for name, c in zip(names, coefficients)),
+                   key=lambda p: (-abs(p[1]), p[0]))
+    rows = [(name, c, abs(c), rank, "Increases Risk" if c > 0 else "Decreases Risk")
+            for rank, (name, c) in enumerate(pairs, start=1)]
+    return spark.createDataFrame(
+        rows, "feature string, coefficient double, abs_coefficient double, rank int, direction string")
 
 
 def split_and_prepare(features: DataFrame):

@@ -7,11 +7,14 @@ Instead:
 
 1. collapse the input to distinct ordering values with a ``groupBy`` (map
    side combine; a value held by a third of the rows becomes one row);
-2. cut the value range into ``buckets`` slices at approximate quantiles
+2. measure the largest group.  When it fits one window task
+   (``ROWS_PER_SLICE``), one window partitioned by the group gives the
+   running sums and the totals directly;
+3. otherwise cut the value range into slices at approximate quantiles
    (a bounded sketch; the cut points - at most groups x buckets numbers -
-   are fixed on the driver so every later stage sees the same slices);
-3. running sums inside each slice (a window partitioned by slice) plus the
-   sum of all earlier slices (a groups x buckets table, broadcast).
+   are fixed on the driver so every later stage sees the same slices) and
+   take running sums inside each slice (a window partitioned by slice) plus
+   the sum of all earlier slices (a groups x buckets table, broadcast).
 
 The result is exact; only the load balance depends on the sketch.
 """
@@ -25,13 +28,24 @@ from pyspark.sql import types as T
 from ..session import cut_lineage
 
 DEFAULT_BUCKETS = 64
+# Rows one window task may sort and scan (it spills beyond memory); a group
+# larger than this is cut into slices.
+ROWS_PER_SLICE = 1_000_000
 # Sketch accuracy for the slice cut points (only affects balance).
 _SKETCH_ACCURACY = 2000
 
 
-def _default_buckets(df: DataFrame) -> int:
+def _default_buckets(df: DataFrame, by: list[str]) -> int:
+    """1 when the largest group fits one task (measured), else at least
+    enough slices for ``ROWS_PER_SLICE`` rows each."""
+    if by:
+        largest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    else:
+        largest = df.count()
+    if largest <= ROWS_PER_SLICE:
+        return 1
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-    return max(DEFAULT_BUCKETS, parts)
+    return max(DEFAULT_BUCKETS, parts, -(-largest // ROWS_PER_SLICE))
 
 
 def _bucket_bounds(df: DataFrame, value: str, by: list[str], buckets: int) -> list:
@@ -60,28 +74,34 @@ def running_totals(df: DataFrame, order: list[str], weights: list[str], by: list
     ``by`` must be low-cardinality (a label, a column name).
     """
     by = list(by or [])
-    buckets = buckets or _default_buckets(df)
+    buckets = buckets or _default_buckets(df, by)
     lead = order[0]
     if buckets == 1:
-        # caller guarantees a small input (e.g. a bounded number of distinct
-        # values): one slice per group, no cut points needed
-        sliced = df.withColumn("_slice", F.lit(0))
+        # every group fits one task (measured, or guaranteed by the caller):
+        # one window per group, no cut points, no offsets
+        group = Window.partitionBy(*by)   # no group: one task, size checked above
+        before = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        out = df
+        for w in weights:
+            out = out.withColumns({f"{w}_before": F.coalesce(F.sum(w).over(before), F.lit(0)),
+                                   f"{w}_total": F.sum(w).over(group)})
+        return out
+
+    rows = _bucket_bounds(df, lead, by, buckets)
+    if not by:
+        # one group: the cut points go into the plan as a literal array
+        cuts = [float(x) for x in (rows[0]["_bounds"] or [])] if rows else []
+        sliced = df.withColumn("_slice", _slice_of(lead, F.array(*[F.lit(x) for x in cuts])
+                                                   .cast("array<double>")))
     else:
-        rows = _bucket_bounds(df, lead, by, buckets)
-        if not by:
-            # one group: the cut points go into the plan as a literal array
-            cuts = [float(x) for x in (rows[0]["_bounds"] or [])] if rows else []
-            sliced = df.withColumn("_slice", _slice_of(lead, F.array(*[F.lit(x) for x in cuts])
-                                                       .cast("array<double>")))
-        else:
-            # groups x buckets numbers: a small table joined on the group key
-            schema = T.StructType([df.schema[c] for c in by]
-                                  + [T.StructField("_bounds", T.ArrayType(T.DoubleType()), True)])
-            data = [tuple(r[c] for c in by) + ([float(x) for x in (r["_bounds"] or [])],)
-                    for r in rows]
-            bounds = df.sparkSession.createDataFrame(data, schema)
-            sliced = (df.join(F.broadcast(bounds), by, "left")
-                      .withColumn("_slice", _slice_of(lead, F.col("_bounds"))).drop("_bounds"))
+        # groups x buckets numbers: a small table joined on the group key
+        schema = T.StructType([df.schema[c] for c in by]
+                              + [T.StructField("_bounds", T.ArrayType(T.DoubleType()), True)])
+        data = [tuple(r[c] for c in by) + ([float(x) for x in (r["_bounds"] or [])],)
+                for r in rows]
+        bounds = df.sparkSession.createDataFrame(data, schema)
+        sliced = (df.join(F.broadcast(bounds), by, "left")
+                  .withColumn("_slice", _slice_of(lead, F.col("_bounds"))).drop("_bounds"))
 
     local = Window.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     with_local = sliced.withColumns(

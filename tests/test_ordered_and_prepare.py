@@ -4,7 +4,9 @@ import numpy as np
 from hypothesis import given, settings, strategies as st
 
 from conftest import rows
-from loanlens.operators import prepare
+import pytest
+
+from loanlens.operators import ordered, prepare
 from loanlens.operators.ordered import exact_quantiles, rank_desc, running_totals
 
 
@@ -20,6 +22,30 @@ def test_running_totals_match_brute_force(spark):
         assert total == sum(w for gg, _, w in data if gg == g)
 
 
+@pytest.mark.parametrize("buckets", [None, 1, 5])
+def test_running_totals_without_groups(spark, buckets):
+    rng = random.Random(11)
+    data = [(float(v), rng.randint(1, 4)) for v in rng.sample(range(-300, 300), 120)]
+    df = spark.createDataFrame(data, "v double, w long")
+    got = running_totals(df, ["v"], ["w"], buckets=buckets).collect()
+    assert len(got) == len(data)
+    for r in got:
+        assert r["w_before"] == sum(w for v, w in data if v < r["v"])
+        assert r["w_total"] == sum(w for _, w in data)
+
+
+def test_groups_above_the_task_bound_are_sliced(spark, monkeypatch):
+    rng = random.Random(5)
+    data = [(g, float(v), 1) for g in (0, 1) for v in rng.sample(range(1000), 90)]
+    df = spark.createDataFrame(data, "g int, v double, w long")
+    assert ordered._default_buckets(df, ["g"]) == 1
+    monkeypatch.setattr(ordered, "ROWS_PER_SLICE", 20)
+    assert ordered._default_buckets(df, ["g"]) > 1
+    for r in running_totals(df, ["v"], ["w"], by=["g"]).collect():
+        assert r["w_before"] == sum(1 for g, v, _ in data if g == r["g"] and v < r["v"])
+        assert r["w_total"] == 90
+
+
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.integers(-1000, 1000), min_size=1, max_size=60))
 def test_quantiles_match_numpy(spark, values):
