@@ -99,3 +99,14 @@ def test_stratified_split_shares(spark):
     assert counts[("test", 1)] == 20 and counts[("test", 0)] == 220
     again = {r["sk_id_curr"]: r["split"] for r in prepare.stratified_split(df).collect()}
     assert again == {r[0]: r[1] for r in split.select("sk_id_curr", "split").collect()}
+
+
+def test_slice_lookup_is_count_of_cuts_below(spark):
+    from pyspark.sql import functions as F
+    cuts = [1.0, 1.0, 2.5, 4.0, 4.0, 4.0, 9.0]          # sorted, with duplicates
+    values = [None, -5.0, 1.0, 1.5, 2.5, 3.0, 4.0, 8.9, 9.0, 12.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    lookup = ordered._slice_of("v", F.array(*[F.lit(c) for c in cuts]), len(cuts) + 1)
+    got = {r["v"]: r["s"] for r in df.select("v", lookup.alias("s")).collect()}
+    for v in values:
+        assert got[v] == (0 if v is None else sum(1 for c in cuts if c < v))
