@@ -31,8 +31,10 @@ DEFAULT_BUCKETS = 64
 # Rows one window task may sort and scan (it spills beyond memory); a group
 # larger than this is cut into slices.
 ROWS_PER_SLICE = 1_000_000
-# Sketch accuracy for the slice cut points (only affects balance).
-_SKETCH_ACCURACY = 2000
+# Sketch accuracy for the slice cut points, per slice (only affects balance):
+# the rank error of a cut point is about n / (accuracy), a tenth of a slice.
+_SKETCH_ACCURACY_PER_SLICE = 10
+_MIN_SKETCH_ACCURACY = 2000
 
 
 def _default_buckets(df: DataFrame, by: list[str]) -> int:
@@ -52,7 +54,9 @@ def _bucket_bounds(df: DataFrame, value: str, by: list[str], buckets: int) -> li
     """Cut points per group, fetched to the driver (groups x (buckets - 1) numbers)."""
     probs = [i / buckets for i in range(1, buckets)]
     agg = df.groupBy(*by).agg(
-        F.percentile_approx(F.col(value).cast("double"), probs, _SKETCH_ACCURACY).alias("_bounds"))
+        F.percentile_approx(F.col(value).cast("double"), probs,
+                            max(_MIN_SKETCH_ACCURACY, _SKETCH_ACCURACY_PER_SLICE * buckets))
+        .alias("_bounds"))
     return agg.collect()  # bounded: one row per group, buckets-1 numbers each
 
 

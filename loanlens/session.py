@@ -23,6 +23,9 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # checkpoint files of a DataFrame that is no longer referenced are removed
+    # from the shared checkpoint folder instead of accumulating there
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
