@@ -51,13 +51,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared, fault-tolerant
-    folder and is used as is.  Only when it is unset (local tests) a scratch
-    folder is created so that ``DataFrame.checkpoint()`` works.
+    folder and is used as is; a cluster session without it is an error.
+    Only a local-mode session without it (tests) gets a scratch folder so
+    that ``DataFrame.checkpoint()`` works.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            # a machine-local folder would not survive the loss of a node
+            raise RuntimeError("set spark.checkpoint.dir to a shared, fault-tolerant folder")
         current = tempfile.mkdtemp(prefix="loanlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
