@@ -10,8 +10,11 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 @pytest.fixture(scope="session")
 def spark():
+    import tempfile
     from loanlens.session import build_session
-    s = build_session(master="local[*]", shuffle_partitions=8, app_name="loanlens-tests")
+    # managed tables (the bucketed layout) go to a scratch warehouse
+    s = build_session(master="local[*]", shuffle_partitions=8, app_name="loanlens-tests",
+                      extra={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="loanlens-wh-")})
     yield s
     s.stop()
 

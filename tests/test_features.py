@@ -116,3 +116,18 @@ def test_views_and_materialised_table(spark, tmp_path):
     sc = views.score_table(spark, str(tmp_path / "features"), str(tmp_path / "scores"))
     assert sc.count() == n and len(sc.columns) == 10
     assert views.preview(stored).count() == 20
+
+
+def test_bucketed_layout_needs_no_shuffle_on_the_key(spark):
+    """K3: a child table stored bucketed on the customer key is grouped by
+    that key without an exchange (the original's index on the key)."""
+    from loanlens.operators import features
+    from loanlens.sources import files, standins
+    inst = standins.installments(spark, "/root/testdata/sf0.001")
+    files.save_bucketed(inst, "raw_installments_payments_bucketed", "sk_id_curr", 4)
+    stored = spark.table("raw_installments_payments_bucketed")
+    assert stored.count() == inst.count()
+    grouped = features.missed_payments(stored)
+    plan = grouped._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert sorted(grouped.collect()) == sorted(features.missed_payments(inst).collect())
