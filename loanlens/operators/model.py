@@ -31,12 +31,19 @@ INVERSE_REGULARISATION = 1.0   # C
 WEIGHT_COLUMN = "class_weight"
 
 
-def balanced_weights(train: DataFrame, label: str = LABEL_COLUMN) -> DataFrame:
-    """Class weight column n / (2 * n_class), from a per-class count (2 rows)."""
-    counts = train.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    n = counts.agg(F.sum("_nc")).scalar()
-    w = counts.select(label, (n.cast("double") / (2.0 * F.col("_nc"))).alias(WEIGHT_COLUMN))
-    return train.join(F.broadcast(w), label, "left")
+def balanced_weights(train: DataFrame, label: str = LABEL_COLUMN) -> tuple[DataFrame, int]:
+    """Class weight column n / (2 * n_class) and the row count n.
+
+    The per-class counts are one row per label value (two rows), fetched
+    once; the weights then enter the plan as a ``when`` over the label.
+    """
+    counts = {r[label]: r["_nc"] for r in
+              train.groupBy(label).agg(F.count(F.lit(1)).alias("_nc")).collect()}  # one row per class
+    n = sum(counts.values())
+    weight = F.lit(None).cast("double")
+    for cls, n_class in sorted(counts.items(), reverse=True):
+        weight = F.when(F.col(label) == cls, F.lit(n / (2.0 * n_class))).otherwise(weight)
+    return train.withColumn(WEIGHT_COLUMN, weight), n
 
 
 @dataclass
@@ -119,8 +126,7 @@ def train(features: DataFrame, max_iter: int = MAX_ITER):
     imputation, encoder, scaler, cols, split = split_and_prepare(features)
     scaled = scaler.transform(split)
     assembled = VectorAssembler(inputCols=cols, outputCol="features").transform(scaled)
-    train_rows = balanced_weights(assembled.where(F.col("split") == "train"))
-    n_train = train_rows.count()
+    train_rows, n_train = balanced_weights(assembled.where(F.col("split") == "train"))
     lr = LogisticRegression(featuresCol="features", labelCol=LABEL_COLUMN, weightCol=WEIGHT_COLUMN,
                             regParam=1.0 / (INVERSE_REGULARISATION * n_train), elasticNetParam=0.0,
                             standardization=False, fitIntercept=True, maxIter=max_iter)
