@@ -69,3 +69,30 @@ def test_raw_layouts():
     assert len(schemas.CREDIT_CARD_BALANCE) == 23
     assert len(schemas.POS_CASH_BALANCE) == 8
     assert len(schemas.BUREAU) == 17
+
+
+def test_describe_is_exact_in_integer_units(spark):
+    """A25 with digits=1: count, mean, std from integer tenths; the std is
+    within one ulp of the exact value and the quartiles equal NumPy's."""
+    import random
+    from decimal import Decimal, getcontext
+
+    import numpy as np
+
+    getcontext().prec = 50
+    rng = random.Random(3)
+    vals = [rng.randint(0, 1000) / 10 for _ in range(997)] + [None, None]
+    df = spark.createDataFrame([(v,) for v in vals], "s double")
+    r = quality.numeric_summary(df, "s", digits=1).first()
+    xs = [v for v in vals if v is not None]
+    units = [round(v * 10) for v in xs]
+    n, s1, s2 = len(units), sum(units), sum(u * u for u in units)
+    exact = (Decimal(n * s2 - s1 * s1) / Decimal(n * (n - 1))).sqrt() / 10
+    assert r["count"] == n
+    assert r["mean"] == s1 / (10.0 * n)
+    assert abs(r["std"] - float(exact)) <= 2 * np.spacing(float(exact))
+    assert r["min"] == min(xs) and r["max"] == max(xs)
+    for name, p in (("q25", 25), ("q50", 50), ("q75", 75)):
+        assert r[name] == float(np.percentile(xs, p))
+    one = quality.numeric_summary(spark.createDataFrame([(1.5,)], "s double"), "s", digits=1).first()
+    assert one["count"] == 1 and one["std"] is None
