@@ -193,7 +193,8 @@ def rank_desc(df: DataFrame, value: str, out: str = "rank", buckets: int | None
     Ranks are computed on the distinct-value table and joined back on the
     value (AQE broadcasts that table when its measured size allows).
     """
-    # the distinct-value table is read twice by the ranking: materialise it
+    # materialise the distinct-value table: the ranking query then reads it
+    # instead of computing ``df`` a second time next to the join below
     counts = cut_lineage(value_counts(df, value))
     ranked = running_totals(counts, [value], ["n"], None, buckets)
     table = ranked.select(value, (F.col("n_total") - F.col("n_before") - F.col("n") + 1)
