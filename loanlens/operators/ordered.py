@@ -3,145 +3,64 @@
 Ranks, exact percentiles, ROC curves and stratified splits all need, for a
 row, the total weight of the rows ordered before it.  A window with an
 ``orderBy`` but no ``partitionBy`` would pull every row into one task.
-Instead:
+Instead, at every size:
 
 1. collapse the input to distinct ordering values with a ``groupBy`` (map
    side combine; a value held by a third of the rows becomes one row);
-2. measure the largest group.  When it fits one window task
-   (``ROWS_PER_SLICE``), one window partitioned by the group gives the
-   running sums and the totals directly;
-3. otherwise cut the value range into slices at approximate quantiles
-   (a bounded sketch; the cut points - at most groups x buckets numbers -
-   are fixed on the driver so every later stage sees the same slices) and
-   take running sums inside each slice (a window partitioned by slice) plus
-   the sum of all earlier slices (a groups x buckets table, broadcast).
-
-The result is exact; only the load balance depends on the sketch.
+2. range-partition those rows on (group, value) into a fixed, configured
+   number of slices (``spark.sql.shuffle.partitions`` unless given) and
+   write them once to the shared folder with their slice number;
+3. take running sums inside each (group, slice);
+4. add the totals of the group's earlier slices.  That table has at most
+   one row per (group, slice) pair that occurs: slices + groups rows.
+
+The result is exact; only the load balance depends on the range sampling.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ..session import cut_lineage
-
-DEFAULT_BUCKETS = 64
-# Rows one window task may sort and scan (it spills beyond memory); a group
-# larger than this is cut into slices.
-ROWS_PER_SLICE = 1_000_000
-# Sketch accuracy for the slice cut points, per slice (only affects balance):
-# the rank error of a cut point is about n / (accuracy), a tenth of a slice.
-_SKETCH_ACCURACY_PER_SLICE = 10
-_MIN_SKETCH_ACCURACY = 2000
-
-
-def _default_buckets(df: DataFrame, by: list[str]) -> int:
-    """1 when the largest group fits one task (measured), else at least
-    enough slices for ``ROWS_PER_SLICE`` rows each."""
-    if by:
-        largest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    else:
-        largest = df.count()
-    if largest <= ROWS_PER_SLICE:
-        return 1
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-    return max(DEFAULT_BUCKETS, parts, -(-largest // ROWS_PER_SLICE))
-
-
-def _bucket_bounds(df: DataFrame, value: str, by: list[str], buckets: int) -> list:
-    """Cut points per group, fetched to the driver (groups x (buckets - 1) numbers)."""
-    probs = [i / buckets for i in range(1, buckets)]
-    agg = df.groupBy(*by).agg(
-        F.percentile_approx(F.col(value).cast("double"), probs,
-                            max(_MIN_SKETCH_ACCURACY, _SKETCH_ACCURACY_PER_SLICE * buckets))
-        .alias("_bounds"))
-    return agg.collect()  # bounded: one row per group, buckets-1 numbers each
-
-
-def _slice_of(lead: str, bounds: Column, buckets: int) -> Column:
-    """Number of cut points strictly below the value: its slice (0 for null).
-
-    Binary search over the sorted cut points: ceil(log2(buckets)) steps per
-    row instead of one comparison per cut point.
-    """
-    v = F.col(lead).cast("double")
-    steps = []
-    step = 1
-    while step < buckets:
-        steps.append(step)
-        step *= 2
-    if not steps:
-        return F.lit(0)
 
-    def probe(lo: Column, s: Column) -> Column:
-        nxt = lo + s
-        below = (nxt <= F.size(bounds)) & (F.element_at(bounds, nxt) < v)
-        return F.when(below, nxt).otherwise(lo)
+from ..session import store
 
-    return F.aggregate(F.array(*[F.lit(x) for x in reversed(steps)]), F.lit(0), probe)
+# A value table of at most this many rows is broadcast when joined back; its
+# rows are counted first, and a larger one is joined by shuffling.
+BROADCAST_ROWS = 10_000
 
 
 def running_totals(df: DataFrame, order: list[str], weights: list[str], by: list[str] | None = None,
-                   buckets: int | None = None) -> DataFrame:
+                   slices: int | None = None) -> DataFrame:
     """Adds ``<w>_before`` (sum of ``w`` over rows of the same ``by`` group that
     come earlier in ascending ``order``) and ``<w>_total`` for every weight.
 
-    ``order[0]`` must be numeric; further order columns only break ties.
     Rows that tie on all order columns are ordered arbitrarily, so give
     distinct order values (e.g. a grouped count table) when that matters.
-    ``by`` must be low-cardinality (a label, a column name).
+    Nulls order first.  Sums keep the type ``sum`` gives the weight.
     """
     by = list(by or [])
-    buckets = buckets or _default_buckets(df, by)
-    lead = order[0]
-    if buckets == 1:
-        # every group fits one task (measured, or guaranteed by the caller):
-        # one window per group, no cut points, no offsets
-        group = Window.partitionBy(*by)   # no group: one task, size checked above
-        before = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        out = df
-        for w in weights:
-            out = out.withColumns({f"{w}_before": F.coalesce(F.sum(w).over(before), F.lit(0)),
-                                   f"{w}_total": F.sum(w).over(group)})
-        return out
-
-    rows = _bucket_bounds(df, lead, by, buckets)
-    if not by:
-        # one group: the cut points go into the plan as a literal array
-        cuts = [float(x) for x in (rows[0]["_bounds"] or [])] if rows else []
-        sliced = df.withColumn("_slice", _slice_of(lead, F.array(*[F.lit(x) for x in cuts])
-                                                   .cast("array<double>"), buckets))
-    else:
-        # groups x buckets numbers: a small table joined on the group key
-        schema = T.StructType([df.schema[c] for c in by]
-                              + [T.StructField("_bounds", T.ArrayType(T.DoubleType()), True)])
-        data = [tuple(r[c] for c in by) + ([float(x) for x in (r["_bounds"] or [])],)
-                for r in rows]
-        bounds = df.sparkSession.createDataFrame(data, schema)
-        sliced = (df.join(F.broadcast(bounds), by, "left")
-                  .withColumn("_slice", _slice_of(lead, F.col("_bounds"), buckets)).drop("_bounds"))
-
-    local = Window.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    with_local = sliced.withColumns(
-        {f"_{w}_local": F.coalesce(F.sum(w).over(local), F.lit(0)) for w in weights})
+    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sliced = store(df.repartitionByRange(slices, *by, *order)
+                   .withColumn("_slice", F.spark_partition_id()))
 
     per_slice = sliced.groupBy(*by, "_slice").agg(*[F.sum(w).alias(f"_{w}_slice") for w in weights])
-    earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
-    offsets = per_slice
-    for w in weights:
-        offsets = (offsets
-                   .withColumn(f"_{w}_off", F.coalesce(F.sum(f"_{w}_slice").over(earlier), F.lit(0)))
-                   .withColumn(f"{w}_total", F.sum(f"_{w}_slice").over(whole))
-                   .drop(f"_{w}_slice"))
-    # offsets has at most groups x buckets rows
-    out = with_local.join(F.broadcast(offsets), by + ["_slice"], "left")
-    for w in weights:
-        out = out.withColumn(f"{w}_before", F.col(f"_{w}_off") + F.col(f"_{w}_local"))
-        out = out.drop(f"_{w}_off", f"_{w}_local")
-    return out.drop("_slice")
+    group = Window.partitionBy(*by)              # at most ``slices`` rows of a group
+    earlier = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_slice.select(
+        *[F.col(c).alias(f"_by_{i}") for i, c in enumerate(by)], F.col("_slice").alias("_of"),
+        *[F.sum(f"_{w}_slice").over(earlier).alias(f"_{w}_off") for w in weights],
+        *[F.sum(f"_{w}_slice").over(group).alias(f"{w}_total") for w in weights])
+
+    local = Window.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = sliced.withColumns({f"_{w}_local": F.sum(w).over(local) for w in weights})
+    same = inside["_slice"] == offsets["_of"]
+    for i, c in enumerate(by):
+        same = same & inside[c].eqNullSafe(offsets[f"_by_{i}"])
+    out = inside.join(offsets, same, "left")
+    zero = F.lit(0)
+    out = out.withColumns({f"{w}_before": F.coalesce(F.col(f"_{w}_off"), zero)
+                           + F.coalesce(F.col(f"_{w}_local"), zero) for w in weights})
+    return out.select(*df.columns, *[c for w in weights for c in (f"{w}_before", f"{w}_total")])
 
 
 def value_counts(df: DataFrame, value: str, by: list[str] | None = None,
@@ -153,21 +72,19 @@ def value_counts(df: DataFrame, value: str, by: list[str] | None = None,
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str] | None = None,
-                    buckets: int | None = None, extra: dict[str, Column] | None = None) -> DataFrame:
+                    slices: int | None = None, extra: dict[str, Column] | None = None) -> DataFrame:
     """PERCENTILE_CONT for each (name -> p): linear interpolation at
     position p * (n - 1) over the non-null values, per ``by`` group.
 
     The input is reduced once to its distinct values with their row counts
-    ``n``; that table is checkpointed, so the cut-point sketch and the ranking
-    read it instead of recomputing ``df``.  ``extra`` adds aggregates over the
-    same table (columns ``value`` and ``n``; e.g. min, max, an exact weighted
-    sum), computed in the same final aggregation.
+    ``n``; ``running_totals`` writes that table once and ranks it.  ``extra``
+    adds aggregates over the same table (columns ``value`` and ``n``; e.g.
+    min, max, an exact weighted sum), computed in the same final aggregation.
 
     Output: the ``by`` columns, one double column per name, then ``extra``.
     """
     by = list(by or [])
-    counts = cut_lineage(value_counts(df, value, by))
-    ranked = running_totals(counts, [value], ["n"], by, buckets)
+    ranked = running_totals(value_counts(df, value, by), [value], ["n"], by, slices)
     v = F.col(value).cast("double")
     lo_hi = []
     for name, p in probs.items():
@@ -186,17 +103,18 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list
     return picked.select(*cols, *extra.keys())
 
 
-def rank_desc(df: DataFrame, value: str, out: str = "rank", buckets: int | None = None) -> DataFrame:
+def rank_desc(df: DataFrame, value: str, out: str = "rank", slices: int | None = None,
+              broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """W5 - ``rank(ascending=False, method='min')``: 1 + number of rows with a
     strictly greater value; ties share the rank; null values get null.
 
-    Ranks are computed on the distinct-value table and joined back on the
-    value (AQE broadcasts that table when its measured size allows).
+    Ranks are computed on the distinct-value table.  That table is stored and
+    counted: up to ``broadcast_rows`` rows it is broadcast, so no row of
+    ``df`` moves; a larger one is joined by shuffling.
     """
-    # materialise the distinct-value table: the ranking query then reads it
-    # instead of computing ``df`` a second time next to the join below
-    counts = cut_lineage(value_counts(df, value))
-    ranked = running_totals(counts, [value], ["n"], None, buckets)
-    table = ranked.select(value, (F.col("n_total") - F.col("n_before") - F.col("n") + 1)
-                          .cast("int").alias(out))
+    ranked = running_totals(value_counts(df, value), [value], ["n"], None, slices)
+    table = store(ranked.select(value, (F.col("n_total") - F.col("n_before") - F.col("n") + 1)
+                                .cast("int").alias(out)))
+    if table.count() <= broadcast_rows:
+        table = F.broadcast(table)
     return df.join(table, on=value, how="left")

@@ -81,9 +81,9 @@ def customer_scores(df: DataFrame, probability: str = "risk_probability", credit
                           numpy_round(F.col("_raw") / F.nullif(raw_max, F.lit(0.0)) * 100, 1))
 
     # B5 - shared minimum rank, highest priority first.  The score is rounded
-    # to 0.1 on [0, 100], so at most 1001 distinct values are ranked: one
-    # slice suffices and the rank table is tiny (broadcast back by AQE).
-    ranked = rank_desc(prio, "collection_priority_score", out="collection_rank", buckets=1)
+    # to 0.1 on [0, 100], so about 1001 distinct values are ranked; the rank
+    # table is counted and then broadcast, so no customer row moves.
+    ranked = rank_desc(prio, "collection_priority_score", out="collection_rank")
 
     scored = (ranked
               .withColumn("risk_segment", risk_segment(F.col("risk_score")))

@@ -8,8 +8,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+# the checkpoint folder in use, by application
+_LOCAL_DIRS: dict[str, str] = {}
 
 # Settings every job relies on.  Decimal and rounding semantics assume ANSI
 # mode (Spark 4 default); the UTC zone makes timestamp -> date conversions of
@@ -48,27 +52,47 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder.
+    """Return the cluster's shared checkpoint folder, set once per context.
 
     On a cluster ``spark.checkpoint.dir`` names a shared, fault-tolerant
     folder and is used as is; a cluster session without it is an error.
-    Only a local-mode session without it (tests) gets a scratch folder so
-    that ``DataFrame.checkpoint()`` works.
+    Only a local-mode session without it (tests) gets a scratch folder.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    current = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_DIRS.get(sc.applicationId)
     if not current:
-        current = spark.sparkContext.getCheckpointDir()
+        current = sc.getCheckpointDir()
     if not current:
-        if not spark.sparkContext.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             # a machine-local folder would not survive the loss of a node
             raise RuntimeError("set spark.checkpoint.dir to a shared, fault-tolerant folder")
         current = tempfile.mkdtemp(prefix="loanlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+    _LOCAL_DIRS[sc.applicationId] = current
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(current)
     return current
 
 
-def cut_lineage(df):
-    """Materialise ``df`` reliably (survives executor loss) and cut its plan."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def table_folder(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables, in the shared
+    checkpoint folder.  ``drop_tables`` removes it."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/loanlens-tables/{spark.sparkContext.applicationId}"
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back.
+
+    Cuts the lineage like a checkpoint (a lost executor re-reads the files),
+    but the readers keep column pruning and filter pushdown."""
+    spark = df.sparkSession
+    path = f"{table_folder(spark)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete every table ``store`` wrote for this application."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(table_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -6,7 +6,7 @@ from hypothesis import given, settings, strategies as st
 from conftest import rows
 import pytest
 
-from loanlens.operators import ordered, prepare
+from loanlens.operators import prepare
 from loanlens.operators.ordered import exact_quantiles, rank_desc, running_totals
 
 
@@ -16,41 +16,38 @@ def test_running_totals_match_brute_force(spark):
     df = spark.createDataFrame(data, "g int, v double, w long").groupBy("g", "v").sum("w") \
         .withColumnRenamed("sum(w)", "w")
     got = {(r["g"], r["v"]): (r["w_before"], r["w_total"])
-           for r in running_totals(df, ["v"], ["w"], by=["g"], buckets=4).collect()}
+           for r in running_totals(df, ["v"], ["w"], by=["g"], slices=4).collect()}
     for (g, v), (before, total) in got.items():
         assert before == sum(w for gg, vv, w in data if gg == g and vv < v)
         assert total == sum(w for gg, _, w in data if gg == g)
 
 
-@pytest.mark.parametrize("buckets", [None, 1, 5])
-def test_running_totals_without_groups(spark, buckets):
+@pytest.mark.parametrize("slices", [None, 1, 5])
+def test_running_totals_without_groups(spark, slices):
     rng = random.Random(11)
     data = [(float(v), rng.randint(1, 4)) for v in rng.sample(range(-300, 300), 120)]
     df = spark.createDataFrame(data, "v double, w long")
-    got = running_totals(df, ["v"], ["w"], buckets=buckets).collect()
+    got = running_totals(df, ["v"], ["w"], slices=slices).collect()
     assert len(got) == len(data)
     for r in got:
         assert r["w_before"] == sum(w for v, w in data if v < r["v"])
         assert r["w_total"] == sum(w for _, w in data)
 
 
-def test_groups_above_the_task_bound_are_sliced(spark, monkeypatch):
+def test_group_spanning_many_slices(spark):
     rng = random.Random(5)
     data = [(g, float(v), 1) for g in (0, 1) for v in rng.sample(range(1000), 90)]
-    df = spark.createDataFrame(data, "g int, v double, w long")
-    assert ordered._default_buckets(df, ["g"]) == 1
-    monkeypatch.setattr(ordered, "ROWS_PER_SLICE", 20)
-    assert ordered._default_buckets(df, ["g"]) > 1
-    for r in running_totals(df, ["v"], ["w"], by=["g"]).collect():
+    df = spark.createDataFrame(data + [(None, 1.0, 1)], "g int, v double, w long")
+    for r in running_totals(df, ["v"], ["w"], by=["g"], slices=12).collect():
         assert r["w_before"] == sum(1 for g, v, _ in data if g == r["g"] and v < r["v"])
-        assert r["w_total"] == 90
+        assert r["w_total"] == (1 if r["g"] is None else 90)
 
 
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.integers(-1000, 1000), min_size=1, max_size=60))
 def test_quantiles_match_numpy(spark, values):
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
-    r = exact_quantiles(df, "v", {"a": 0.25, "b": 0.5, "c": 0.99}, buckets=3).first()
+    r = exact_quantiles(df, "v", {"a": 0.25, "b": 0.5, "c": 0.99}, slices=3).first()
     for name, p in (("a", 0.25), ("b", 0.5), ("c", 0.99)):
         assert abs(r[name] - float(np.percentile(values, p * 100))) < 1e-9
 
@@ -99,14 +96,3 @@ def test_stratified_split_shares(spark):
     assert counts[("test", 1)] == 20 and counts[("test", 0)] == 220
     again = {r["sk_id_curr"]: r["split"] for r in prepare.stratified_split(df).collect()}
     assert again == {r[0]: r[1] for r in split.select("sk_id_curr", "split").collect()}
-
-
-def test_slice_lookup_is_count_of_cuts_below(spark):
-    from pyspark.sql import functions as F
-    cuts = [1.0, 1.0, 2.5, 4.0, 4.0, 4.0, 9.0]          # sorted, with duplicates
-    values = [None, -5.0, 1.0, 1.5, 2.5, 3.0, 4.0, 8.9, 9.0, 12.0]
-    df = spark.createDataFrame([(v,) for v in values], "v double")
-    lookup = ordered._slice_of("v", F.array(*[F.lit(c) for c in cuts]), len(cuts) + 1)
-    got = {r["v"]: r["s"] for r in df.select("v", lookup.alias("s")).collect()}
-    for v in values:
-        assert got[v] == (0 if v is None else sum(1 for c in cuts if c < v))

@@ -17,7 +17,7 @@ def test_two_rounding_rules(spark):
 
 def test_rank_min_descending(spark):
     df = spark.createDataFrame([(1, 9.0), (2, 7.0), (3, 7.0), (4, 1.0), (5, None)], "id long, s double")
-    got = dict(rows(rank_desc(df, "s", buckets=2), "id", "rank"))
+    got = dict(rows(rank_desc(df, "s", slices=2), "id", "rank"))
     assert got == {1: 1, 2: 2, 3: 2, 4: 4, 5: None}
 
 
