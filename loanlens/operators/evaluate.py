@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
 from .ordered import running_totals
 
 # FIXED VALUES: class names of the original report.
@@ -19,13 +18,11 @@ CLASS_NAMES = {0: "Repaid", 1: "Defaulted"}
 
 
 def _score_counts(df: DataFrame, score: str, label: str) -> DataFrame:
-    """One row per distinct score with its positive and negative counts,
-    checkpointed: the ranking reads it several times (cut points, running
-    sums, slice totals) and must not recompute the scored rows each time."""
+    """One row per distinct score with its positive and negative counts."""
     y = F.col(label).cast("long")
-    return cut_lineage(df.where(F.col(score).isNotNull())
-                       .groupBy(F.col(score).cast("double").alias("score"))
-                       .agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg")))
+    return (df.where(F.col(score).isNotNull())
+            .groupBy(F.col(score).cast("double").alias("score"))
+            .agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg")))
 
 
 def roc_points(df: DataFrame, score: str = "risk_probability", label: str = "target") -> DataFrame:

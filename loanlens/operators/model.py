@@ -22,7 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import store
 from .prepare import (ID_COLUMN, LABEL_COLUMN, Imputation, OneHot, RobustScale,
                       numeric_feature_columns, stratified_split)
 
@@ -116,7 +116,7 @@ def split_and_prepare(features: DataFrame):
     cols = numeric_feature_columns(encoded, encoder)
     # the split table feeds the scaler fit (two passes), the class counts and
     # the solver: materialise it once instead of recomputing the split
-    split = cut_lineage(stratified_split(encoded))
+    split = store(stratified_split(encoded))
     scaler = RobustScale.fit(split.where(F.col("split") == "train"), cols)
     return imputation, encoder, scaler, cols, split
 

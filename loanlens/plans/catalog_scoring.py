@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, model, prepare, quality, report, scores
-from ..session import cut_lineage
+from ..session import store
 from ..sources.standins import EDUCATION_LEVELS, FAMILY_STATUSES, HOUSING_TYPES, OCCUPATIONS
 from .catalog import CUSTOMER_FEATURES_CTE, customer_features_df, register
 
@@ -21,7 +21,7 @@ from .catalog import CUSTOMER_FEATURES_CTE, customer_features_df, register
 
 def features_checkpointed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature table, materialised once (it feeds several fits)."""
-    return cut_lineage(customer_features_df(spark, sf_dir))
+    return store(customer_features_df(spark, sf_dir))
 
 
 def imputed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def imputed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encoded_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    imputed = cut_lineage(imputed_features(spark, sf_dir))
+    imputed = store(imputed_features(spark, sf_dir))
     return prepare.OneHot.fit(imputed).transform(imputed, keep_source=True)
 
 
@@ -44,7 +44,7 @@ def scorecard_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     feats = features_checkpointed(spark, sf_dir)
     imputed = prepare.Imputation.fit(feats).transform(feats)
     with_p = imputed.withColumn("risk_probability", scores.scorecard_probability(imputed))
-    sc = cut_lineage(scores.customer_scores(with_p))
+    sc = store(scores.customer_scores(with_p))
     return report.dashboard_view(feats, sc)
 
 
