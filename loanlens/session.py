@@ -9,11 +9,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 # the checkpoint folder in use, by application
 _LOCAL_DIRS: dict[str, str] = {}
+# applications whose executors have been sent the package
+_SHIPPED: set[str] = set()
 
 # Settings every job relies on.  Decimal and rounding semantics assume ANSI
 # mode (Spark 4 default); the UTC zone makes timestamp -> date conversions of
@@ -96,3 +99,20 @@ def drop_tables(spark: SparkSession) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(table_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="loanlens-zip-"), "loanlens.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("loanlens", os.path.relpath(path, root)))
+    sc.addPyFile(archive)          # served by the driver, so no shared folder is needed
+    _SHIPPED.add(sc.applicationId)
