@@ -12,8 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table_folder
-from . import exact_dedup, mixing, token_output
-from .common import documents
+from . import bpe, exact_dedup, mixing, token_output, toxicity
+from .common import crc32_mod, documents
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -33,10 +33,23 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(documents(spark, sf_dir), keep="last")
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digests(documents(spark, sf_dir), TOKENIZER)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = crc32_mod("doc_id", 5) == 0
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), use=~held_out)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op5_source_mixing": op5_source_mixing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_bpe": op9_bpe,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE = {
