@@ -10,9 +10,10 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table_folder
-from . import bpe, exact_dedup, mixing, token_output, toxicity
+from . import bpe, exact_dedup, mixing, secrets, token_output, toxicity
 from .common import crc32_mod, documents
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -29,6 +30,15 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken", "source", "passes")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = f"{table_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    found = secrets.scan(documents(spark, sf_dir), ledger)
+    count = lambda i: F.size(F.filter("spans", lambda s: s["kind_no"] == i)).cast("long")
+    spans = secrets.joined(F.col("spans"))       # the base rules; the ledger adds none
+    return found.select("doc_id", *[count(i).alias(f"n_{r.kind}") for i, r in enumerate(secrets.RULES)],
+                        F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(documents(spark, sf_dir), keep="last")
 
@@ -47,6 +57,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op5_source_mixing": op5_source_mixing,
+    "op6_secret_scan": op6_secret_scan,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
