@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table_folder
-from . import bpe, exact_dedup, langid, mixing, secrets, token_output, toxicity
+from . import bpe, exact_dedup, langid, mixing, near_dedup, secrets, token_output, toxicity
 from .common import crc32_mod, documents
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -25,6 +25,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.digest(token_output.read_tokens(spark, path))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(documents(spark, sf_dir))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = crc32_mod("doc_id", 3) == 1
@@ -63,6 +67,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op3_near_dedup": op3_near_dedup,
     "op4_language_id": op4_language_id,
     "op5_source_mixing": op5_source_mixing,
     "op6_secret_scan": op6_secret_scan,
