@@ -25,20 +25,16 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import json
-import re
-import unicodedata
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
+from .words import WORD_END, WordRules
 
 CACHE_PIECES = 300_000         # pieces a worker remembers; then it starts anew
 CACHE_WORDS = 700_000          # likewise, words
-WORD_END = "</w>"
 SEPARATOR = " "                # between vocabulary strings, as without a decoder
 
 
@@ -54,10 +50,12 @@ class Bpe:
     _loaded: dict = {}
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        self.rules = WordRules(path)
+        if not self.rules.known_kind:
+            raise ValueError(f"{path}: not a vocabulary of words with word ends")
+        spec = self.rules.spec
         self.vocab: dict[str, int] = spec["model"]["vocab"]
-        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        self.special = self.rules.special
         self.strings = {i: s for s, i in {**self.vocab, **self.special}.items()}
         self.by_rank = [(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in spec["model"]["merges"]]
         # a pair of ids (each below 2^20) as one integer -> rank
@@ -65,13 +63,6 @@ class Bpe:
         letters = byte_letters()
         self.inner = [self.vocab[letters[b]] for b in range(256)]
         self.final = [self.vocab[letters[b] + WORD_END] for b in range(256)]
-        split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        # the file's \s is Unicode white space; Python's has four control characters more
-        self.words = regex.compile(split["pattern"]["Regex"].replace(r"[^\s", r"[^\p{White_Space}"))
-        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")"
-                              if self.special else "(?!)")
-        self.odd = re.compile("[\x1c-\x1f]")
-        self.space = regex.compile(r"\p{White_Space}+")
         self.word_ids: dict[str, list[int]] = {}
         self.pieces: dict[str, tuple[str, str]] = {}
 
@@ -133,21 +124,16 @@ class Bpe:
         return ids
 
     def _piece(self, piece: str) -> list[int]:
-        # lower case letter by letter: no special form of a final sigma
-        normal = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-        return [i for w in self.words.findall(normal) for i in self._word(w)]
-
-    def _between(self, text: str) -> list[str]:
-        return self.space.split(text) if self.odd.search(text) else text.split()
+        return [i for w in self.rules.words(piece) for i in self._word(w)]
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text."""
         ids: list[int] = []
-        for part in self.cut.split(text):
+        for part in self.rules.cut.split(text):
             if part in self.special:
                 ids.append(self.special[part])
             else:
-                for piece in self._between(part):
+                for piece in self.rules.between(part):
                     ids.extend(self._piece(piece))
         return ids
 
@@ -159,11 +145,11 @@ class Bpe:
         if len(self.pieces) > CACHE_PIECES:
             self.pieces.clear()
         known, found = self.pieces, []
-        for part in self.cut.split(text):
+        for part in self.rules.cut.split(text):
             if part in self.special:
                 found.append((str(self.special[part]), part))
                 continue
-            row = self._between(part)
+            row = self.rules.between(part)
             for piece in row:
                 if piece not in known:
                     ids = self._piece(piece)

@@ -24,7 +24,6 @@ result; extra columns are ignored by ``classes`` and kept by ``survivors``.
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -33,46 +32,20 @@ from pyspark.sql import functions as F
 
 from ..session import store
 from .common import text_of
+from .hashing import GOLDEN, WORD, mix, word_hashes
 from .linking import link, shared_buckets
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
 DOCS_AT_ONCE = 1024
-CACHE_WORDS = 400_000
-_WORD = re.compile(r"\w+")
-_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-_known: dict[str, int] = {}
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """splitmix64's finisher: a 64-bit hash of 64-bit integers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _word_hashes(words: list[str]) -> np.ndarray:
-    got = list(map(_known.get, words))
-    if None in got:
-        if len(_known) > CACHE_WORDS:
-            _known.clear()
-        for i, (w, h) in enumerate(zip(words, got)):
-            if h is None:
-                h = _known.get(w)
-                if h is None:
-                    digest = hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=8).digest()
-                    h = _known[w] = int.from_bytes(digest, "little")
-                got[i] = h
-    return np.array(got, np.uint64)
-
 
 def shingles(texts: list[str], size: int = SHINGLE):
     """The weighted shingles of each text: hashes ascending per text, weights,
     and the bounds of each text in them."""
-    rows = [_WORD.findall(t.lower()) for t in texts]
+    rows = [WORD.findall(t.lower()) for t in texts]
     lengths = np.array([len(r) for r in rows], np.int64)
-    h = _word_hashes([w for r in rows for w in r])
+    h = word_hashes([w for r in rows for w in r])
     counts = np.where(lengths >= size, lengths - size + 1, np.minimum(lengths, 1))
     ends = np.cumsum(lengths)
     doc = np.repeat(np.arange(len(rows)), counts)
@@ -81,7 +54,7 @@ def shingles(texts: list[str], size: int = SHINGLE):
     s = width.astype(np.uint64)
     padded = np.concatenate([h, np.zeros(size, np.uint64)])
     for k in range(size):
-        s = np.where(k < width, _mix(s * _GOLDEN + padded[start + k]), s)
+        s = np.where(k < width, mix(s * GOLDEN + padded[start + k]), s)
     order = np.lexsort((s, doc))
     s, doc = s[order], doc[order]
     new = np.ones(len(s), bool)
@@ -103,11 +76,11 @@ def prob_min_hash(tokens: np.ndarray, weights: np.ndarray, bounds: np.ndarray, r
     seed = np.uint64(0)
     with np.errstate(over="ignore"):
         while len(active):
-            seed += _GOLDEN
-            draw = _mix(tokens[active] + seed)
+            seed += GOLDEN
+            draw = mix(tokens[active] + seed)
             u = ((draw >> np.uint64(11)).astype(float) + 0.5) * 2.0 ** -53
             time[active] -= np.log(u) / weights[active]
-            place = doc[active] * registers + (_mix(draw + _GOLDEN) % np.uint64(registers)).astype(np.int64)
+            place = doc[active] * registers + (mix(draw + GOLDEN) % np.uint64(registers)).astype(np.int64)
             t = time[active]
             np.minimum.at(first, place, t)
             won = t == first[place]
@@ -120,10 +93,10 @@ def prob_min_hash(tokens: np.ndarray, weights: np.ndarray, bounds: np.ndarray, r
 
 
 def _band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    key = np.zeros((len(signature), bands), np.uint64) + np.arange(1, bands + 1, dtype=np.uint64) * _GOLDEN
+    key = np.zeros((len(signature), bands), np.uint64) + np.arange(1, bands + 1, dtype=np.uint64) * GOLDEN
     with np.errstate(over="ignore"):
         for k in range(rows):
-            key = _mix(key + signature[:, k::rows][:, :bands])
+            key = mix(key + signature[:, k::rows][:, :bands])
     return key.view(np.int64)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table_folder
-from . import bpe, exact_dedup, langid, mixing, near_dedup, secrets, token_output, toxicity
+from . import bpe, exact_dedup, langid, mixing, near_dedup, secrets, spotsigs, token_output, toxicity
 from .common import crc32_mod, documents
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -54,6 +54,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(documents(spark, sf_dir), keep="last")
 
 
+def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_likeness(documents(spark, sf_dir))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(documents(spark, sf_dir), TOKENIZER)
 
@@ -72,6 +76,7 @@ QUERIES = {
     "op5_source_mixing": op5_source_mixing,
     "op6_secret_scan": op6_secret_scan,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_spotsigs": op8_spotsigs,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
 }

@@ -9,13 +9,14 @@ Bloom filter on ``doc_id``.  Stripes are the unit of parallel reads; a filter
 on ``doc_id`` prunes files and stripes by their statistics and row groups by
 index and Bloom filter.
 
-Encoding a text equals encoding its white-space separated pieces one after
-the other when the tokenizer's pre-tokenizer drops white space (as
-``word_bpe_49k.json`` does).  Pieces repeat, so each worker keeps the ids of
-the pieces it has seen (at most ``CACHE_PIECES``) and hands only new ones to
-the library.  Texts that hold a special token's string, or control
-characters that Python but not the tokenizer takes for white space, are
-encoded whole.
+Encoding a text equals encoding its words one after the other when the
+tokenizer's pre-tokenizer drops white space and marks word ends (as that of
+``word_bpe_49k.json`` does).  Words repeat, so each worker keeps the ids of the
+white-space separated pieces and the words it has seen (it starts anew after
+``CACHE_PIECES``) and hands only new words to the library, many in one string.
+Texts that hold a special token's string, or control characters that Python
+but not the tokenizer takes for white space, and all texts under a vocabulary
+of another kind are encoded whole.
 
 Cases: null text is empty and gets the end id alone; a null id sorts first;
 repeated ids are ordered by text; an empty table gives an empty folder of
@@ -33,17 +34,45 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, text_of
+from .words import WORD_END, WordRules
 
 END_ID = 2
-CACHE_PIECES = 1 << 19         # pieces a worker remembers; then it starts anew
+CACHE_PIECES = 700_000         # pieces a worker remembers; then it starts anew
+WORDS_AT_ONCE = 2000
 STRIPE_BYTES = 64 << 20
 ROW_INDEX_STRIDE = 1000
 BLOOM_FPP = 0.01
 _SCHEMA = ("doc_id long, part int, pos long, start_in_part long, n_tokens long, token_ids array<int>")
 
 
+class _Ragged:
+    """Id sequences one after the other; ``starts[n]:starts[n + 1]`` is number n."""
+
+    def __init__(self):
+        self.ids, self.starts = np.empty(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
+        self.count = self.used = 0
+
+    def append(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        while self.count + len(lengths) + 1 > len(self.starts):
+            self.starts = np.resize(self.starts, 2 * len(self.starts))
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.starts[self.count + 1:self.count + 1 + len(lengths)] = self.used + np.cumsum(lengths)
+        self.used += len(ids)
+        self.count += len(lengths)
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sequences of ``numbers`` joined, and where each ends."""
+        first = self.starts[numbers]
+        lengths = self.starts[numbers + 1] - first
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.arange(total) + np.repeat(first - (ends - lengths), lengths)], ends
+
+
 class PieceEncoder:
-    """Encodes texts with a tokenizers file; remembers the ids of pieces."""
+    """Encodes texts with a tokenizers file; remembers the ids of pieces and words."""
 
     _loaded: dict = {}
 
@@ -52,8 +81,12 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join(["[\x1c-\x1f]", *map(re.escape, specials)]))
+        self.rules = WordRules(path)
+        # texts with these are encoded whole
+        self.whole = re.compile("|".join(["[\x1c-\x1f]", *map(re.escape, self.rules.special)]))
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends_word[[i for s, i in vocabulary.items() if s.endswith(WORD_END)]] = True
         self.forget()
 
     @classmethod
@@ -63,48 +96,43 @@ class PieceEncoder:
         return cls._loaded[path]
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids = np.empty(1 << 16, np.int32)
-        self.starts = np.zeros(1 << 14, np.int64)      # starts[n]:starts[n + 1] holds piece n
-        self.used = 0
+        self.piece_number: dict[str, int] = {}
+        self.word_number: dict[str, int] = {}
+        self.piece_ids, self.word_ids = _Ragged(), _Ragged()
 
     def _learn(self, pieces: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        first, total = len(self.number), int(lengths.sum())
-        while self.used + total > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        while first + len(found) + 1 > len(self.starts):
-            self.starts = np.resize(self.starts, 2 * len(self.starts))
-        self.ids[self.used:self.used + total] = np.fromiter((i for x in found for i in x), np.int32, total)
-        self.starts[first + 1:first + 1 + len(found)] = self.used + np.cumsum(lengths)
-        self.used += total
-        self.number.update(zip(pieces, range(first, first + len(pieces))))
+        rows = [self.rules.words(p) for p in pieces]
+        words = [w for row in rows for w in row]
+        new = list(dict.fromkeys(w for w in words if w not in self.word_number))
+        # many words in one string; the library's ids show where each ends
+        for lo in range(0, len(new), WORDS_AT_ONCE):
+            text = " ".join(new[lo:lo + WORDS_AT_ONCE])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+            self.word_ids.append(ids, np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1))
+        self.word_number.update(zip(new, range(len(self.word_number), len(self.word_number) + len(new))))
+        assert self.word_ids.count == len(self.word_number), "a word came back as several"
+        ids, ends = self.word_ids.take(np.array([self.word_number[w] for w in words], np.int64))
+        upto = np.concatenate([[0], ends])[np.cumsum([0, *map(len, rows)])]
+        self.piece_ids.append(ids, np.diff(upto))
+        self.piece_number.update(zip(pieces, range(len(self.piece_number), len(self.piece_number) + len(pieces))))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.number) > CACHE_PIECES:
+        if len(self.piece_number) > CACHE_PIECES:
             self.forget()
-        special = [self.whole.search(t) is not None for t in texts]
-        pieces = [[] if odd else t.split() for t, odd in zip(texts, special)]
-        known = self.number
-        new = list(dict.fromkeys(p for row in pieces for p in row if p not in known))
-        if new:
-            self._learn(new)
-        out = []
-        for text, row, odd in zip(texts, pieces, special):
-            if odd:
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-                out.append(np.array(ids, np.int32))
-                continue
-            n = np.fromiter(map(known.__getitem__, row), np.int64, len(row))
-            first = self.starts[n]
-            lengths = self.starts[n + 1] - first
-            ends = np.cumsum(lengths)
-            total = int(ends[-1]) if len(ends) else 0
-            at = np.arange(total) + np.repeat(first - (ends - lengths), lengths)
-            out.append(self.ids[at])
-        return out
+        whole = [not self.rules.known_kind or self.whole.search(t) is not None for t in texts]
+        rows = [[] if odd else t.split() for t, odd in zip(texts, whole)]
+        flat = [p for row in rows for p in row]
+        numbers = list(map(self.piece_number.get, flat))
+        if None in numbers:
+            new = [i for i, n in enumerate(numbers) if n is None]
+            self._learn(list(dict.fromkeys([flat[i] for i in new])))
+            for i in new:
+                numbers[i] = self.piece_number[flat[i]]
+        ids, ends = self.piece_ids.take(np.array(numbers, np.int64))
+        upto = np.concatenate([[0], ends])[np.cumsum([0, *map(len, rows)])]
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int32) if odd else ids[a:b]
+                for t, odd, a, b in zip(texts, whole, upto, upto[1:])]
 
 
 def _encode_part(tokenizer_path: str, end_id: int | None):
