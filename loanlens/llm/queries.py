@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table_folder
-from . import bpe, exact_dedup, langid, mixing, near_dedup, secrets, spotsigs, token_output, toxicity
+from . import bpe, exact_dedup, langid, license_scan, mixing, near_dedup, secrets, spotsigs, token_output, toxicity
 from .common import crc32_mod, documents
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -25,6 +25,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.digest(token_output.read_tokens(spark, path))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(documents(spark, sf_dir))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(documents(spark, sf_dir))
 
@@ -71,6 +75,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op2_license_scan": op2_license_scan,
     "op3_near_dedup": op3_near_dedup,
     "op4_language_id": op4_language_id,
     "op5_source_mixing": op5_source_mixing,
