@@ -125,13 +125,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         weights: tuple = WEIGHTS, max_repeat: int = MAX_REPEAT, block: int = BLOCK,
         shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
     """One row per input row: ``doc_id, source, size, source_size, target, taken,
-    passes, spans``.
+    passes, spans, text_key`` (a hash of the text).
 
     ``taken`` = ``passes`` times the whole document plus the words (0-based,
     half open) in ``spans``."""
     body = text_of(text_col)
     sized = store(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
                               word_count(body).alias("size"),
+                              F.xxhash64(body).alias("text_key"),
                               F.xxhash64(F.lit(seed), F.col(id_col), body).alias("order")))
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, max_repeat).withColumn("all", F.lit(0))
@@ -167,4 +168,40 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return (dealt.join(quotas, ["src", "shard"])
             .withColumn("spans", chosen["spans"])
             .select("doc_id", "source", "size", "source_size", "target",
-                    chosen["taken"].alias("taken"), "passes", "spans"))
+                    chosen["taken"].alias("taken"), "passes", "spans", "text_key"))
+
+
+def materialise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                length_col: str = "n_chars", **options) -> DataFrame:
+    """The mixed documents with the columns of ``docs``: each row once per whole
+    pass, then the words of its chosen blocks (joined by a space) as a further
+    row, its ``length_col`` counted anew.
+
+    Rows find their decision by id and text; rows that repeat both are told
+    apart by their number among themselves."""
+    plan = mix(docs, id_col, text_col, source_col, **options)
+    taken = (plan.groupBy(F.col("doc_id").alias("mix_id"), F.col("text_key").alias("mix_key"))
+             .agg(F.collect_list(F.struct("passes", "spans")).alias("mix_dealt"), F.sum("taken").alias("mix_taken"))
+             .where("mix_taken > 0").drop("mix_taken"))
+    column = lambda c: F.col(f"`{c}`")
+    body = text_of(column(text_col))
+    rows = docs.join(taken, column(id_col).eqNullSafe(F.col("mix_id")) & (F.xxhash64(body) == F.col("mix_key")))
+    same = Window.partitionBy("mix_id", "mix_key").orderBy("mix_key")          # repeated rows only
+    rows = rows.withColumn("mix_own", F.element_at("mix_dealt", F.row_number().over(same)))
+    spans, passes = F.col("mix_own")["spans"], F.col("mix_own")["passes"].cast("int")
+    copies = F.concat(F.array_repeat(F.lit(True), passes),
+                      F.when(F.size(spans) > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))
+    rows = rows.withColumn("mix_whole", F.explode(copies))
+    words = F.regexp_extract_all(body, F.lit(WORD), F.lit(0))
+    part = F.array_join(F.flatten(F.transform(spans, lambda s: F.slice(
+        words, s["start"].cast("int") + 1, (s["stop"] - s["start"]).cast("int")))), " ")
+    out = []
+    for c in docs.columns:
+        if c == text_col:
+            out.append(F.when(F.col("mix_whole"), column(c)).otherwise(part).alias(c))
+        elif c == length_col:
+            out.append(F.when(F.col("mix_whole"), column(c))
+                       .otherwise(F.char_length(part).cast(docs.schema[c].dataType)).alias(c))
+        else:
+            out.append(column(c))
+    return rows.select(*out)

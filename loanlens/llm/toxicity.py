@@ -181,23 +181,38 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, id_col: s
     return FactorizationMachine.fit([cut[i] for i in order], toxic[order] if len(order) else np.zeros(0))
 
 
+def _score_texts(m: FactorizationMachine, texts: list[str | None]) -> np.ndarray:
+    features = m.features
+    return m.score([np.array(sorted({f for w in set(_WORD.findall((text or "").lower())) for f in features(w)}),
+                             np.int64) for text in texts])
+
+
 def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id",
           text_col: str = "text") -> DataFrame:
     """``doc_id, score, predicted`` for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)     # FEATURES rows and 2**HASH_BITS places
 
     def run(batches):
-        m = shared.value
-        features = m.features
         for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                rows.append(np.array(sorted({f for w in set(_WORD.findall(text.lower())) for f in features(w)}),
-                                     np.int64))
-            s = m.score(rows)
+            s = _score_texts(shared.value, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))],
                 names=["doc_id", "score", "predicted"])
 
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("body"))
             .mapInArrow(run, "doc_id long, score double, predicted int"))
+
+
+def keep_clean(docs: DataFrame, model: FactorizationMachine, text_col: str = "text",
+               threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, columns unchanged, that score below ``threshold``;
+    each is decided where it is scored, so nothing shuffles."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            keep = _score_texts(shared.value, batch.column(at).to_pylist()) < threshold
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
