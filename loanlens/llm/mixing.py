@@ -180,28 +180,23 @@ def materialise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows find their decision by id and text; rows that repeat both are told
     apart by their number among themselves."""
     plan = mix(docs, id_col, text_col, source_col, **options)
-    taken = (plan.groupBy(F.col("doc_id").alias("mix_id"), F.col("text_key").alias("mix_key"))
-             .agg(F.collect_list(F.struct("passes", "spans")).alias("mix_dealt"), F.sum("taken").alias("mix_taken"))
-             .where("mix_taken > 0").drop("mix_taken"))
-    column = lambda c: F.col(f"`{c}`")
-    body = text_of(column(text_col))
-    rows = docs.join(taken, column(id_col).eqNullSafe(F.col("mix_id")) & (F.xxhash64(body) == F.col("mix_key")))
-    same = Window.partitionBy("mix_id", "mix_key").orderBy("mix_key")          # repeated rows only
-    rows = rows.withColumn("mix_own", F.element_at("mix_dealt", F.row_number().over(same)))
-    spans, passes = F.col("mix_own")["spans"], F.col("mix_own")["passes"].cast("int")
+    taken = (plan.groupBy("doc_id", "text_key")
+             .agg(F.collect_list(F.struct("passes", "spans")).alias("dealt"), F.sum("taken").alias("taken"))
+             .where("taken > 0").drop("taken"))
+    body = text_of(F.col(f"row.`{text_col}`"))
+    rows = (docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text_of(F.col(f"`{text_col}`"))).alias("key"),
+                        F.struct("*").alias("row"))
+            .join(taken, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key"))))
+    same = Window.partitionBy("id", "key").orderBy("key")                      # repeated rows only
+    rows = rows.withColumn("own", F.element_at("dealt", F.row_number().over(same)))
+    spans, passes = F.col("own")["spans"], F.col("own")["passes"].cast("int")
     copies = F.concat(F.array_repeat(F.lit(True), passes),
                       F.when(F.size(spans) > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))
-    rows = rows.withColumn("mix_whole", F.explode(copies))
+    rows = rows.select("row", "own", F.explode(copies).alias("whole"))
     words = F.regexp_extract_all(body, F.lit(WORD), F.lit(0))
     part = F.array_join(F.flatten(F.transform(spans, lambda s: F.slice(
         words, s["start"].cast("int") + 1, (s["stop"] - s["start"]).cast("int")))), " ")
-    out = []
-    for c in docs.columns:
-        if c == text_col:
-            out.append(F.when(F.col("mix_whole"), column(c)).otherwise(part).alias(c))
-        elif c == length_col:
-            out.append(F.when(F.col("mix_whole"), column(c))
-                       .otherwise(F.char_length(part).cast(docs.schema[c].dataType)).alias(c))
-        else:
-            out.append(column(c))
-    return rows.select(*out)
+    changed = {text_col: part, length_col: F.char_length(part)}
+    return rows.select(*[
+        (F.when(F.col("whole"), F.col(f"row.`{c}`")).otherwise(changed[c].cast(docs.schema[c].dataType))
+         if c in changed else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -181,4 +181,5 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     """The rows of ``docs`` that stay: one document of each class (rows that
     repeat the class's id all stay; remove exact copies first)."""
     kept = classes(docs, id_col, text_col, **options).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.struct("*").alias("row"))
+    return rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")
