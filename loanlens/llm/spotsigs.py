@@ -140,7 +140,7 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("body"))
     cuts = rows.agg(F.percentile_approx("doc_id", [i / slices for i in range(1, slices)] or [0.5],
                                         10 * slices)).first()[0]                  # slices - 1 numbers
-    splits = [-float("inf"), *sorted({float(c) for c in cuts or []}), float("inf")]
+    splits = [-float("inf"), *sorted({float(c) for c in cuts or [0]}), float("inf")]
     rows = Bucketizer(splits=splits, inputCol="value", outputCol="slice").transform(
         rows.withColumn("value", F.coalesce(F.col("doc_id").cast("double"), F.lit(-float("inf"))))).drop("value")
     heads = sorted(rows.groupBy("slice").agg(F.max("doc_id")).collect(), reverse=True)    # a row per slice
