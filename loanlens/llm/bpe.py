@@ -31,21 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
-from .words import WORD_END, WordRules
+from .words import WORD_END, WordRules, byte_letters
 
 CACHE_PIECES = 300_000         # pieces a worker remembers; then it starts anew
 CACHE_WORDS = 700_000          # likewise, words
 SEPARATOR = " "                # between vocabulary strings, as without a decoder
 
 
-def byte_letters() -> dict[int, str]:
-    """A printable letter for each byte: itself where printable, else the
-    next code point from 256 on (the usual byte-level alphabet)."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(printable)]
-    return {**{b: chr(b) for b in printable}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
-
-
 class Bpe:
     _loaded: dict = {}
 

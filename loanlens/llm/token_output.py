@@ -12,11 +12,9 @@ index and Bloom filter.
 Encoding a text equals encoding its words one after the other when the
 tokenizer's pre-tokenizer drops white space and marks word ends (as that of
 ``word_bpe_49k.json`` does).  Words repeat, so each worker keeps the ids of the
-white-space separated pieces and the words it has seen (it starts anew after
-``CACHE_PIECES``) and hands only new words to the library, many in one string.
-Texts that hold a special token's string, or control characters that Python
-but not the tokenizer takes for white space, and all texts under a vocabulary
-of another kind are encoded whole.
+words it has seen (it starts anew after ``CACHE_WORDS``) and hands only new
+words to the library.  Texts that hold a special token's
+string, and all texts under a vocabulary of another kind, are encoded whole.
 
 Cases: null text is empty and gets the end id alone; a null id sorts first;
 repeated ids are ordered by text; an empty table gives an empty folder of
@@ -27,6 +25,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +33,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, text_of
-from .words import WORD_END, WordRules
+from .words import WordRules, byte_letters
 
 END_ID = 2
-CACHE_PIECES = 700_000         # pieces a worker remembers; then it starts anew
-WORDS_AT_ONCE = 2000
+CACHE_WORDS = 700_000          # words a worker remembers; then it starts anew
 STRIPE_BYTES = 64 << 20
 ROW_INDEX_STRIDE = 1000
 BLOOM_FPP = 0.01
@@ -72,7 +70,7 @@ class _Ragged:
 
 
 class PieceEncoder:
-    """Encodes texts with a tokenizers file; remembers the ids of pieces and words."""
+    """Encodes texts with a tokenizers file; remembers the ids of words."""
 
     _loaded: dict = {}
 
@@ -82,11 +80,9 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.rules = WordRules(path)
-        # texts with these are encoded whole
-        self.whole = re.compile("|".join(["[\x1c-\x1f]", *map(re.escape, self.rules.special)]))
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        self.ends_word[[i for s, i in vocabulary.items() if s.endswith(WORD_END)]] = True
+        # texts with one of these are encoded whole
+        self.special = re.compile("|".join(map(re.escape, self.rules.special)) or "(?!)")
+        self.letters = byte_letters()
         self.forget()
 
     @classmethod
@@ -96,40 +92,34 @@ class PieceEncoder:
         return cls._loaded[path]
 
     def forget(self) -> None:
-        self.piece_number: dict[str, int] = {}
-        self.word_number: dict[str, int] = {}
-        self.piece_ids, self.word_ids = _Ragged(), _Ragged()
-
-    def _learn(self, pieces: list[str]) -> None:
-        rows = [self.rules.words(p) for p in pieces]
-        words = [w for row in rows for w in row]
-        new = list(dict.fromkeys(w for w in words if w not in self.word_number))
-        # many words in one string; the library's ids show where each ends
-        for lo in range(0, len(new), WORDS_AT_ONCE):
-            text = " ".join(new[lo:lo + WORDS_AT_ONCE])
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
-            self.word_ids.append(ids, np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1))
-        self.word_number.update(zip(new, range(len(self.word_number), len(self.word_number) + len(new))))
-        assert self.word_ids.count == len(self.word_number), "a word came back as several"
-        ids, ends = self.word_ids.take(np.array([self.word_number[w] for w in words], np.int64))
-        upto = np.concatenate([[0], ends])[np.cumsum([0, *map(len, rows)])]
-        self.piece_ids.append(ids, np.diff(upto))
-        self.piece_number.update(zip(pieces, range(len(self.piece_number), len(self.piece_number) + len(pieces))))
+        self.number: dict[str, int] = {}
+        self.ids = _Ragged()
+
+    def _learn(self, words: list[str]) -> None:
+        # words are cut and normalised: the library's model alone has to encode
+        # them, their bytes written as letters
+        model = self.tokenizer.model
+        spelled = [w if w.isascii() and w.isprintable() else w.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
+                   for w in words]
+        found = [[t.id for t in model.tokenize(w)] for w in spelled]
+        self.ids.append(np.fromiter(chain.from_iterable(found), np.int32),
+                        np.fromiter(map(len, found), np.int64, len(found)))
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.piece_number) > CACHE_PIECES:
+        if len(self.number) > CACHE_WORDS:
             self.forget()
-        whole = [not self.rules.known_kind or self.whole.search(t) is not None for t in texts]
-        rows = [[] if odd else t.split() for t, odd in zip(texts, whole)]
-        flat = [p for row in rows for p in row]
-        numbers = list(map(self.piece_number.get, flat))
+        whole = [not self.rules.known_kind or self.special.search(t) is not None for t in texts]
+        rows = [[] if odd else self.rules.words(t) for t, odd in zip(texts, whole)]
+        flat = list(chain.from_iterable(rows))
+        numbers = list(map(self.number.get, flat))
         if None in numbers:
             new = [i for i, n in enumerate(numbers) if n is None]
             self._learn(list(dict.fromkeys([flat[i] for i in new])))
             for i in new:
-                numbers[i] = self.piece_number[flat[i]]
-        ids, ends = self.piece_ids.take(np.array(numbers, np.int64))
+                numbers[i] = self.number[flat[i]]
+        ids, ends = self.ids.take(np.array(numbers, np.int64))
         upto = np.concatenate([[0], ends])[np.cumsum([0, *map(len, rows)])]
         return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int32) if odd else ids[a:b]
                 for t, odd, a, b in zip(texts, whole, upto, upto[1:])]
