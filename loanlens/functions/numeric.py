@@ -35,8 +35,9 @@ def safe_ratio(num: Column, den: Column) -> Column:
 
 
 def clip(c: Column, lo: float, hi: float) -> Column:
-    """Limit to [lo, hi]; null stays null."""
-    return F.when(c.isNull(), F.lit(None)).otherwise(F.greatest(F.lit(lo), F.least(F.lit(hi), c)))
+    """Limit to [lo, hi]; null and NaN stay as they are."""
+    d = c.cast("double")
+    return F.when(d.isNull() | F.isnan(d), d).otherwise(F.greatest(F.lit(lo), F.least(F.lit(hi), d)))
 
 
 def nan_to_null(c: Column) -> Column:
@@ -47,12 +48,12 @@ def nan_to_null(c: Column) -> Column:
 def exact_quotient(total: Column, count: Column) -> Column:
     """total / count for a decimal total and an integer count, null on 0.
 
-    The operand types are narrowed (decimal(30,4) / decimal(12,0)) so that
-    Spark keeps 12 fraction digits in the quotient; a plain ``avg`` of
+    The total is narrowed to decimal(30,4), for which Spark keeps 12 fraction
+    digits in the quotient whatever the count's precision; a plain ``avg`` of
     decimal(18,4) keeps 8.  That is enough for rounding at 1-3 digits to
-    agree with exact arithmetic.
+    agree with exact arithmetic.  Any bigint count fits the divisor.
     """
-    den = F.nullif(count, F.lit(0)).cast(T.DecimalType(12, 0))
+    den = F.nullif(count, F.lit(0)).cast(T.DecimalType(20, 0))
     return total.cast(T.DecimalType(30, 4)) / den
 
 
@@ -72,5 +73,4 @@ def years_from_days(days: Column, digits: int = 1) -> Column:
 
 def int_div(a: Column, b: int) -> Column:
     """Integer division truncating toward zero (SQL `int / int`)."""
-    q = a.cast("long") / F.lit(b)
-    return F.when(q >= 0, F.floor(q)).otherwise(F.ceil(q)).cast("long")
+    return F.call_function("div", a.cast("long"), F.lit(b).cast("long"))

@@ -26,14 +26,17 @@ def _score_counts(df: DataFrame, score: str, label: str) -> DataFrame:
 
 
 def roc_points(df: DataFrame, score: str = "risk_probability", label: str = "target") -> DataFrame:
-    """M6 - one point per distinct threshold t: tpr/fpr of ``score >= t``."""
+    """M6 - one point per distinct threshold t: tpr/fpr of ``score >= t``, and
+    the curve's start (0, 0) at an infinite threshold."""
     ranked = running_totals(_score_counts(df, score, label), ["score"], ["pos", "neg"])
     tp = F.col("pos_total") - F.col("pos_before")
     fp = F.col("neg_total") - F.col("neg_before")
-    return ranked.select(
+    points = ranked.select(
         F.col("score").alias("threshold"),
         (tp.cast("double") / F.nullif(F.col("pos_total"), F.lit(0)).cast("double")).alias("tpr"),
         (fp.cast("double") / F.nullif(F.col("neg_total"), F.lit(0)).cast("double")).alias("fpr"))
+    start = df.sparkSession.createDataFrame([(float("inf"), 0.0, 0.0)], points.schema)
+    return points.union(start)
 
 
 def auc_ks(df: DataFrame, score: str = "risk_probability", label: str = "target") -> DataFrame:
@@ -44,7 +47,8 @@ def auc_ks(df: DataFrame, score: str = "risk_probability", label: str = "target"
     gap = (tp.cast("double") / F.col("pos_total").cast("double")
            - fp.cast("double") / F.col("neg_total").cast("double"))
     # pairs (positive, negative) with the negative scored lower, ties half
-    wins = F.col("pos") * (2 * F.col("neg_before") + F.col("neg"))
+    wins = (F.col("pos").cast("decimal(18,0)")
+            * (2 * F.col("neg_before").cast("decimal(18,0)") + F.col("neg")).cast("decimal(20,0)"))
     return ranked.agg(
         (F.sum(wins).cast("double")
          / (F.lit(2.0) * F.first("pos_total").cast("double") * F.first("neg_total").cast("double")))

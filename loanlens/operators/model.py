@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,16 +56,22 @@ class RiskModel:
 
     # ---- preparation shared by training and scoring
     def prepare(self, features: DataFrame) -> DataFrame:
-        encoded = self.encoder.transform(self.imputation.transform(features))
-        for c in self.feature_columns:           # F8: align to training columns
-            if c not in encoded.columns:
-                encoded = encoded.withColumn(c, F.lit(0))
-        scaled = self.scaler.transform(encoded)
-        return VectorAssembler(inputCols=self.feature_columns, outputCol="features").transform(scaled)
+        return self.assemble(self.encoder.transform(self.imputation.transform(features)))
+
+    def assemble(self, encoded: DataFrame) -> DataFrame:
+        """Adds the scaled model inputs as one vector; other columns stay raw,
+        so scores and reports need no join back to them."""
+        missing = {c: F.lit(0) for c in self.feature_columns if c not in encoded.columns}   # F8
+        aligned = encoded.withColumns(missing) if missing else encoded
+        return aligned.withColumn("features", array_to_vector(
+            F.array(*[self.scaler.column(c) for c in self.feature_columns]))).drop(*missing)
 
     def predict(self, features: DataFrame) -> DataFrame:
-        """M3/M4/M12 - probability of default and class at 0.5."""
-        out = self.classifier.transform(self.prepare(features))
+        """M3/M4/M12 - the imputed rows with probability of default and class at 0.5."""
+        return self.predict_encoded(self.encoder.transform(self.imputation.transform(features)))
+
+    def predict_encoded(self, encoded: DataFrame) -> DataFrame:
+        out = self.classifier.transform(self.assemble(encoded))
         return (out.withColumn("risk_probability", vector_to_array("probability")[1])
                 .drop("features", "rawPrediction", "probability"))
 
@@ -117,12 +123,13 @@ def split_and_prepare(features: DataFrame):
     # the split table feeds the scaler fit (two passes), the class counts and
     # the solver: materialise it once instead of recomputing the split
     split = store(stratified_split(encoded))
-    scaler = RobustScale.fit(split.where(F.col("split") == "train"), cols)
+    scaler = RobustScale.fit(split.where(F.col("split") == "train"), cols,
+                             binary=[*encoder.output_columns, "is_not_employed"])
     return imputation, encoder, scaler, cols, split
 
 
 def train(features: DataFrame, max_iter: int = MAX_ITER):
-    """M1/M2 - returns (model, split frame with ``split`` column, iterations)."""
+    """M1/M2 - returns (model, encoded rows with their ``split``, iterations)."""
     imputation, encoder, scaler, cols, split = split_and_prepare(features)
     scaled = scaler.transform(split)
     assembled = VectorAssembler(inputCols=cols, outputCol="features").transform(scaled)
@@ -132,4 +139,4 @@ def train(features: DataFrame, max_iter: int = MAX_ITER):
                             standardization=False, fitIntercept=True, maxIter=max_iter)
     fitted = lr.fit(train_rows)
     model = RiskModel(imputation, encoder, scaler, cols, fitted)
-    return model, split.select(ID_COLUMN, "split"), fitted.summary.totalIterations
+    return model, split, fitted.summary.totalIterations

@@ -7,6 +7,7 @@ back as literals.  The data itself never leaves the executors.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -33,7 +34,6 @@ UNKNOWN_OCCUPATION = "Unknown"
 CLIP_LIMIT = 10.0
 TEST_SHARE_TENTHS = 2          # 20 % test share
 SPLIT_SEED = 42
-MAX_LEVELS = 10000             # guard: a text column with more levels is not categorical
 
 # Helper column names used by the melted (feature, value) form.
 _FEATURE, _VALUE = "feature", "value"
@@ -61,6 +61,28 @@ def column_quantiles(df: DataFrame, columns: list[str], probs: dict[str, float])
     return out
 
 
+def binary_quantiles(df: DataFrame, columns: list[str], probs: dict[str, float]) -> dict[str, dict]:
+    """The quantiles of 0/1 columns, from their row counts and sums."""
+    if not columns:
+        return {}
+    r = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(columns)],
+               *[F.sum(F.col(c).cast("long")).alias(f"k{i}") for i, c in enumerate(columns)]).first()
+    out = {}
+    for i, c in enumerate(columns):
+        n, zeros = r[f"n{i}"], r[f"n{i}"] - (r[f"k{i}"] or 0)
+
+        def at(p: float) -> float | None:
+            if n == 0:
+                return None
+            pos = (n - 1) * p
+            lo, hi = math.floor(pos), math.ceil(pos)
+            low, high = float(lo >= zeros), float(hi >= zeros)
+            return low + (high - low) * (pos - lo)
+
+        out[c] = {name: at(p) for name, p in probs.items()}
+    return out
+
+
 # ---------------------------------------------------------------- imputation
 @dataclass
 class Imputation:
@@ -101,10 +123,7 @@ class OneHot:
     def fit(cls, df: DataFrame, columns: list[str] = CATEGORICAL_COLUMNS) -> "OneHot":
         pairs = melt_text(df, columns).distinct()
         found: dict[str, list[str]] = {c: [] for c in columns}
-        rows = pairs.limit(MAX_LEVELS * len(columns) + 1).collect()  # bounded by the guard below
-        if len(rows) > MAX_LEVELS * len(columns):
-            raise ValueError("too many levels for one-hot encoding")
-        for r in rows:
+        for r in pairs.collect():      # one row per output column, as the encoding itself has
             found[r[_FEATURE]].append(r[_VALUE])
         return cls({c: sorted(v)[1:] for c, v in found.items()})
 
@@ -144,12 +163,20 @@ def stratified_split(df: DataFrame, label: str = LABEL_COLUMN, id_col: str = ID_
                      seed: int = SPLIT_SEED) -> DataFrame:
     """F10 - adds ``split`` ('train'/'test'): within each class the rows with
     the smallest hashes, round(0.2 * class size) of them, are the test set.
-    Exact class shares; ranks come from ``running_totals`` (no global sort)."""
-    h = df.withColumn("_h", split_hash(id_col, seed)).withColumn("_one", F.lit(1))
-    ranked = running_totals(h, ["_h", id_col], ["_one"], by=[label])
-    test_n = F.floor((F.col("_one_total") * TEST_SHARE_TENTHS * 2 + 10) / 20)
-    return (ranked.withColumn("split", F.when(F.col("_one_before") < test_n, "test").otherwise("train"))
-            .drop("_h", "_one", "_one_before", "_one_total"))
+    Exact class shares.  Only (label, hash, id) is ranked (``running_totals``);
+    the last test row of each class then is a threshold that a filter applies
+    to the wide rows, which never move.  A null label or id is training data."""
+    h = split_hash(id_col, seed)
+    narrow = (df.where(F.col(label).isNotNull() & F.col(id_col).isNotNull())
+              .select(F.col(label).alias("label"), h.alias("hash"), F.col(id_col).alias("id")))
+    ranked = running_totals(narrow.withColumn("one", F.lit(1)), ["hash", "id"], ["one"], by=["label"])
+    test_n = F.floor((F.col("one_total") * TEST_SHARE_TENTHS * 2 + 10) / 20)
+    last = ranked.where(F.col("one_before") == test_n - 1).collect()        # one row per class
+    is_test = F.lit(False)
+    for r in last:
+        is_test = is_test | ((F.col(label) == r["label"]) & (
+            (h < r["hash"]) | ((h == r["hash"]) & (F.col(id_col) <= r["id"]))))
+    return df.withColumn("split", F.when(is_test, "test").otherwise("train"))
 
 
 # ---------------------------------------------------------------- scaling
@@ -161,8 +188,13 @@ class RobustScale:
     spread: dict[str, float] = field(default_factory=dict)
 
     @classmethod
-    def fit(cls, df: DataFrame, columns: list[str]) -> "RobustScale":
-        q = column_quantiles(df, columns, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    def fit(cls, df: DataFrame, columns: list[str], binary: list[str] | None = None) -> "RobustScale":
+        """``binary``: columns of 0 and 1, whose quartiles follow from their
+        counts in one aggregation; only the others are ranked."""
+        binary = [c for c in binary or [] if c in columns]
+        probs = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+        q = column_quantiles(df, [c for c in columns if c not in binary], probs)
+        q |= binary_quantiles(df, binary, probs)
         center, spread = {}, {}
         for c in columns:
             iqr = (q[c]["q75"] or 0.0) - (q[c]["q25"] or 0.0)
@@ -170,12 +202,13 @@ class RobustScale:
             spread[c] = iqr if iqr != 0 else 1.0
         return cls(center, spread)
 
+    def column(self, c: str, clip_limit: float | None = CLIP_LIMIT) -> Column:
+        """The scaled (and clipped) value of one column."""
+        v = (F.col(f"`{c}`").cast("double") - F.lit(self.center[c])) / F.lit(self.spread[c])
+        return clip(v, -clip_limit, clip_limit) if clip_limit is not None else v
+
     def transform(self, df: DataFrame, clip_limit: float | None = CLIP_LIMIT) -> DataFrame:
-        cols = {}
-        for c in self.center:
-            v = (F.col(c).cast("double") - F.lit(self.center[c])) / F.lit(self.spread[c])
-            cols[c] = clip(v, -clip_limit, clip_limit) if clip_limit is not None else v
-        return df.withColumns(cols)
+        return df.withColumns({c: self.column(c, clip_limit) for c in self.center})
 
 
 def target_correlations(df: DataFrame, columns: list[str], label: str = LABEL_COLUMN) -> DataFrame:

@@ -34,16 +34,21 @@ def dashboard_view(features: DataFrame, scores: DataFrame) -> DataFrame:
     return f.join(s, "sk_id_curr", "inner").select(*DASHBOARD_FEATURES, *DASHBOARD_SCORES)
 
 
+def _units(c: Column, scale: int) -> Column:
+    """The value as a whole number of 1/scale units; sums reach 38 digits."""
+    return F.round(c.cast("double") * scale).cast("decimal(28,0)")
+
+
 def fixed_sum(c: Column, digits: int) -> Column:
     """Exact sum of values with at most ``digits`` decimals, as double."""
     scale = 10 ** digits
-    return (F.sum(F.round(c.cast("double") * scale).cast("long")).cast("double") / F.lit(float(scale)))
+    return F.sum(_units(c, scale)).cast("double") / F.lit(float(scale))
 
 
 def fixed_mean(c: Column, digits: int) -> Column:
     """Exact mean of values with at most ``digits`` decimals (nulls ignored)."""
     scale = 10 ** digits
-    total = F.sum(F.round(c.cast("double") * scale).cast("long")).cast("double")
+    total = F.sum(_units(c, scale)).cast("double")
     return total / (F.lit(float(scale)) * F.nullif(F.count(c), F.lit(0)).cast("double"))
 
 
@@ -99,11 +104,12 @@ def trends_by_segment(view: DataFrame, segment: str = "risk_segment") -> DataFra
 
 
 def collection_queue(view: DataFrame, max_rank: int = 100) -> DataFrame:
-    """R15 / T5 - customers with collection rank <= max_rank (ties may add rows)."""
+    """R15 / T5 - customers with collection rank <= max_rank (ties may add rows),
+    best rank first, 6 columns."""
     return (view.where(F.col("collection_rank") <= max_rank)
+            .orderBy("collection_rank", "sk_id_curr")
             .select("sk_id_curr", "risk_score", "amt_credit", "collection_priority_score",
-                    "avg_dpd_overall", "max_dpd_ever", "collection_rank")
-            .orderBy("collection_rank", "sk_id_curr"))
+                    "avg_dpd_overall", "max_dpd_ever"))
 
 
 def dpd_bucket(avg_dpd: Column) -> Column:

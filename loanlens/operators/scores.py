@@ -122,14 +122,14 @@ def frequency_share(df: DataFrame, column: str, digits: int = 3) -> DataFrame:
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("count"))
     total = counts.agg(F.sum("count")).scalar()
     share = numpy_round(F.col("count") / total, digits) * 100
-    return counts.select(column, "count", share.alias("pct"))
+    return counts.select(column, "count", share.alias("pct")).orderBy(F.col("count").desc(), column)
 
 
 def mean_target_by(df: DataFrame, column: str, target: str = "target") -> DataFrame:
     """A24 - observed default rate per segment."""
     return df.groupBy(column).agg(
         (F.sum(F.col(target).cast("long")).cast("double") / F.count(target).cast("double"))
-        .alias("default_rate"))
+        .alias("default_rate")).orderBy(F.col("default_rate").desc(), column)
 
 
 # Fixed scorecard used where a SQL-checkable probability is needed in place

@@ -11,41 +11,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, model, prepare, quality, report, scores
-from ..session import store
+from ..operators import evaluate, features, model, prepare, quality, report, scores
 from ..sources.standins import EDUCATION_LEVELS, FAMILY_STATUSES, HOUSING_TYPES, OCCUPATIONS
 from .catalog import CUSTOMER_FEATURES_CTE, customer_features_df, register
+from . import views
+from .stored import stored
 
 # ------------------------------------------------------------------ Spark side
 
 
-def features_checkpointed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feature table, materialised once (it feeds several fits)."""
-    return store(customer_features_df(spark, sf_dir))
+def features_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored feature table (IO4)."""
+    return stored(spark, sf_dir, "customer_features", lambda: customer_features_df(spark, sf_dir))
 
 
 def imputed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    feats = features_checkpointed(spark, sf_dir)
-    return prepare.Imputation.fit(feats).transform(feats)
+    feats = features_table(spark, sf_dir)
+    return stored(spark, sf_dir, "imputed", lambda: prepare.Imputation.fit(feats).transform(feats))
 
 
 def encoded_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    imputed = store(imputed_features(spark, sf_dir))
+    imputed = imputed_features(spark, sf_dir)
     return prepare.OneHot.fit(imputed).transform(imputed, keep_source=True)
 
 
 def scorecard_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    imputed = imputed_features(spark, sf_dir)
-    with_p = imputed.withColumn("risk_probability", scores.scorecard_probability(imputed))
-    return scores.customer_scores(with_p)
+    """The stored scores (IO7): reports and histograms read these."""
+    def build() -> DataFrame:
+        imputed = imputed_features(spark, sf_dir)
+        return scores.customer_scores(
+            imputed.withColumn("risk_probability", scores.scorecard_probability(imputed)))
+    return stored(spark, sf_dir, "customer_scores", build)
 
 
 def scorecard_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    feats = features_checkpointed(spark, sf_dir)
-    imputed = prepare.Imputation.fit(feats).transform(feats)
-    with_p = imputed.withColumn("risk_probability", scores.scorecard_probability(imputed))
-    sc = store(scores.customer_scores(with_p))
-    return report.dashboard_view(feats, sc)
+    return report.dashboard_view(features_table(spark, sf_dir), scorecard_scores(spark, sf_dir))
 
 
 def scorecard_test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def scorecard_test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scaled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    feats = features_checkpointed(spark, sf_dir)
+    feats = features_table(spark, sf_dir)
     _, _, scaler, cols, split = model.split_and_prepare(feats)
     return scaler.transform(split).select("sk_id_curr", "split", *cols)
 
@@ -179,17 +179,25 @@ def _fixed_mean(x: str, digits: int) -> str:
 # ------------------------------------------------------------------ preparation
 register("prepared_features", ENCODED_CTE + "\nSELECT * FROM encoded")(encoded_features)
 
+def _missing_sql(columns: list[str]) -> str:
+    return " + ".join(f"COUNT(*) FILTER (WHERE {c} IS NULL)" for c in columns)
+
+
+# every cell, before and after the imputation
 register("imputation_completeness", IMPUTED_CTE + f"""
-SELECT CAST({' + '.join(f'COUNT(*) FILTER (WHERE {c} IS NULL)' for c in _ZERO + _MEDIAN + ['employment_years', 'occupation_type'])}
-       AS BIGINT) AS missing_cells FROM imputed""")(
-    lambda spark, d: quality.total_missing_cells(
-        imputed_features(spark, d), _ZERO + _MEDIAN + ["employment_years", "occupation_type"]))
+SELECT 'before' AS stage, CAST({_missing_sql(features.FEATURE_COLUMNS)} AS BIGINT) AS missing_cells
+FROM customer_features
+UNION ALL SELECT 'after', CAST({_missing_sql([*features.FEATURE_COLUMNS, 'is_not_employed'])} AS BIGINT)
+FROM imputed""")(
+    lambda spark, d: quality.total_missing_cells(features_table(spark, d)).select(
+        F.lit("before").alias("stage"), "missing_cells").union(
+        quality.total_missing_cells(imputed_features(spark, d)).select(F.lit("after"), "missing_cells")))
 
 register("category_levels", CUSTOMER_FEATURES_CTE + f"""
 SELECT {', '.join(f'COUNT(DISTINCT {c}) AS {c}_levels' for c in prepare.CATEGORICAL_COLUMNS)}
 FROM customer_features""")(
     lambda spark, d: quality.distinct_per_category(
-        customer_features_df(spark, d), prepare.CATEGORICAL_COLUMNS))
+        features_table(spark, d), prepare.CATEGORICAL_COLUMNS))
 
 register("split_class_balance", SPLIT_CTE + """
 SELECT split, COUNT(*) AS rows, AVG(CAST(target AS DOUBLE)) AS default_rate FROM split GROUP BY split""")(
@@ -225,7 +233,7 @@ register("top_collection_priority", SCORES_CTE + """
 SELECT s.sk_id_curr, s.risk_score, f.amt_credit, s.collection_priority_score, s.collection_rank
 FROM customer_scores s JOIN customer_features f ON s.sk_id_curr = f.sk_id_curr
 ORDER BY s.collection_priority_score DESC, s.sk_id_curr LIMIT 10""")(
-    lambda spark, d: scores.top_priority(scorecard_scores(spark, d), customer_features_df(spark, d)))
+    lambda spark, d: scores.top_priority(scorecard_scores(spark, d), features_table(spark, d)))
 
 register("risk_score_histogram", SCORES_CTE + """,
 span AS (SELECT min(risk_score) AS lo, max(risk_score) AS hi FROM customer_scores),
@@ -259,6 +267,19 @@ FROM customer_scores""")(
     lambda spark, d: quality.numeric_summary(
         scorecard_scores(spark, d), "risk_score", digits=1))
 
+for _col in ("collection_priority_score", "health_score"):
+    register(f"{_col}_summary", SCORES_CTE + f"""
+SELECT COUNT({_col}) AS "count", {_fixed_mean(_col, 1)} AS mean,
+  stddev_samp({_col}) AS std, min({_col}) AS "min",
+  quantile_cont({_col}, 0.25) AS q25, quantile_cont({_col}, 0.5) AS q50,
+  quantile_cont({_col}, 0.75) AS q75, max({_col}) AS "max"
+FROM customer_scores""")(
+        (lambda col: lambda spark, d: quality.numeric_summary(scorecard_scores(spark, d), col, digits=1))(_col))
+
+register("feature_preview", CUSTOMER_FEATURES_CTE + """
+SELECT * FROM customer_features ORDER BY sk_id_curr LIMIT 20""")(
+    lambda spark, d: views.preview(features_table(spark, d)))
+
 # ------------------------------------------------------------------ reports
 register("dashboard_view", VIEW_CTE + "\nSELECT * FROM vw_customer_dashboard")(scorecard_view)
 
@@ -300,8 +321,7 @@ FROM vw_customer_dashboard GROUP BY risk_segment""")(
     lambda spark, d: report.trends_by_segment(scorecard_view(spark, d)))
 
 register("collection_queue", VIEW_CTE + """
-SELECT sk_id_curr, risk_score, amt_credit, collection_priority_score, avg_dpd_overall, max_dpd_ever,
-  collection_rank
+SELECT sk_id_curr, risk_score, amt_credit, collection_priority_score, avg_dpd_overall, max_dpd_ever
 FROM vw_customer_dashboard WHERE collection_rank <= 100 ORDER BY collection_rank, sk_id_curr""")(
     lambda spark, d: report.collection_queue(scorecard_view(spark, d)))
 
@@ -351,7 +371,8 @@ FROM roc""")(lambda spark, d: evaluate.auc_ks(scorecard_test_rows(spark, d)))
 
 register("scorecard_roc_points", TEST_CTE + f"""
 SELECT score AS threshold, CAST(tp AS {D}) / CAST(NULLIF(p_total, 0) AS {D}) AS tpr,
-  CAST(fp AS {D}) / CAST(NULLIF(n_total, 0) AS {D}) AS fpr FROM roc""")(
+  CAST(fp AS {D}) / CAST(NULLIF(n_total, 0) AS {D}) AS fpr FROM roc
+UNION ALL SELECT 'Infinity'::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE""")(
     lambda spark, d: evaluate.roc_points(scorecard_test_rows(spark, d)))
 
 register("scorecard_confusion_matrix", TEST_CTE + """
@@ -388,15 +409,21 @@ UNION ALL SELECT 'weighted avg', p0 * w0 + p1 * w1, r0 * w0 + r1 * w1, f0 * w0 +
 
 # ------------------------------------------------------------------ fitted model (no SQL oracle)
 def _fit(spark: SparkSession, sf_dir: str):
-    feats = features_checkpointed(spark, sf_dir)
+    feats = features_table(spark, sf_dir)
     fitted, split, iterations = model.train(feats)
     return feats, fitted, split, iterations
 
 
+def _model_test_rows(spark: SparkSession, sf_dir: str):
+    """The held-out rows with the fitted model's probability and class, and
+    the solver's iterations; only they are scored."""
+    _, fitted, split, iterations = _fit(spark, sf_dir)
+    return fitted.predict_encoded(split.where(F.col("split") == "test")), iterations
+
+
 def risk_model_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1-M5, M7: fit, then AUC and KS on the held-out rows."""
-    feats, fitted, split, iterations = _fit(spark, sf_dir)
-    test = fitted.predict(feats).join(split.where(F.col("split") == "test"), "sk_id_curr")
+    test, iterations = _model_test_rows(spark, sf_dir)
     return evaluate.auc_ks(test).withColumn("iterations", F.lit(iterations))
 
 
@@ -409,9 +436,7 @@ def risk_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_customer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M12 + B1-B9 with the fitted model's probabilities."""
     feats, fitted, _, _ = _fit(spark, sf_dir)
-    imputed = fitted.imputation.transform(feats)
-    probs = fitted.predict(feats).select("sk_id_curr", "risk_probability")
-    return scores.customer_scores(imputed.join(probs, "sk_id_curr"))
+    return scores.customer_scores(fitted.predict(feats))
 
 
 register("risk_model_evaluation")(risk_model_evaluation)
@@ -419,12 +444,7 @@ register("risk_drivers")(risk_drivers)
 register("model_customer_scores")(model_customer_scores)
 
 
-def _model_test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    feats, fitted, split, _ = _fit(spark, sf_dir)
-    return fitted.predict(feats).join(split.where(F.col("split") == "test"), "sk_id_curr")
-
-
 register("risk_model_confusion_matrix")(
-    lambda spark, d: evaluate.confusion_matrix(_model_test_rows(spark, d)))
+    lambda spark, d: evaluate.confusion_matrix(_model_test_rows(spark, d)[0]))
 register("risk_model_classification_report")(
-    lambda spark, d: evaluate.classification_report(_model_test_rows(spark, d)))
+    lambda spark, d: evaluate.classification_report(_model_test_rows(spark, d)[0]))

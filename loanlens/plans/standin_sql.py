@@ -7,7 +7,7 @@ Used only by the oracle queries: each oracle statement starts with
 from __future__ import annotations
 
 from ..sources.standins import (CARD_LIMIT, DUE_SHIFT_DAYS, EDUCATION_LEVELS, FAMILY_STATUSES,
-                                HOUSING_TYPES, OCCUPATIONS, REFERENCE_DATE)
+                                HOUSING_TYPES, OCCUPATIONS, PUNCTUAL, REFERENCE_DATE)
 
 
 def _case(index_sql: str, labels: list[str]) -> str:
@@ -69,6 +69,9 @@ raw_installments_payments AS (
     CAST(date_diff('day', DATE '{REFERENCE_DATE}', CAST(o_orderdate AS DATE)) + {DUE_SHIFT_DAYS}
          AS {D}) AS days_instalment,
     CASE WHEN {_UNPAID} THEN NULL
+         WHEN o_custkey % {PUNCTUAL} = 0
+           THEN CAST(date_diff('day', DATE '{REFERENCE_DATE}', CAST(o_orderdate AS DATE)) + {DUE_SHIFT_DAYS}
+                     - l_linenumber AS {D})
          ELSE CAST(date_diff('day', DATE '{REFERENCE_DATE}', CAST(l_shipdate AS DATE)) AS {D})
     END AS days_entry_payment,
     CAST(l_extendedprice AS {D}) AS amt_instalment,
@@ -99,8 +102,9 @@ raw_pos_cash_balance AS (
     CAST(24 AS {D}) AS cnt_instalment,
     CAST(event_id % 24 AS {D}) AS cnt_instalment_future,
     CASE WHEN event_type = 'error' THEN 'Completed' ELSE 'Active' END AS name_contract_status,
-    CAST(greatest(CAST(floor(value) AS INTEGER) - 200, 0) AS INTEGER) AS sk_dpd,
-    CAST(greatest(CAST(floor(value) AS INTEGER) - 400, 0) AS INTEGER) AS sk_dpd_def
+    CAST(CASE WHEN user_id % 5 = 0 THEN 0
+         ELSE (user_id % 5 - 1) * 30 + 1 + CAST(floor(abs(value)) AS INTEGER) % 30 END AS INTEGER) AS sk_dpd,
+    CAST(greatest(CAST(floor(abs(value)) AS INTEGER) - 400, 0) AS INTEGER) AS sk_dpd_def
   FROM events
 )"""
 
@@ -120,6 +124,18 @@ raw_bureau AS (
   FROM orders
 )"""
 
+APPLICATION_DELIVERIES = """
+application_deliveries AS (
+  SELECT sk_id_curr FROM raw_application_train
+  UNION ALL SELECT sk_id_curr FROM raw_application_train WHERE sk_id_curr % 11 = 0
+  UNION ALL SELECT NULL FROM raw_application_train WHERE sk_id_curr % 101 = 0)"""
+
+BUREAU_DELIVERIES = """
+bureau_deliveries AS (
+  SELECT sk_id_bureau FROM raw_bureau
+  UNION ALL SELECT sk_id_bureau FROM raw_bureau WHERE sk_id_bureau % 97 = 0
+  UNION ALL SELECT NULL FROM raw_bureau WHERE sk_id_bureau % 997 = 0)"""
+
 RAW_CTES = {
     "raw_application_train": RAW_APPLICATION_TRAIN,
     "raw_installments_payments": RAW_INSTALLMENTS_PAYMENTS,

@@ -51,12 +51,11 @@ def score_table(spark: SparkSession, features_path: str, scores_path: str, model
     """E3 - score the stored feature table with a fitted model (or the fixed
     scorecard when ``model`` is None) and write ``customer_scores`` (IO7)."""
     feats = files.read_table(spark, features_path)
-    imputed = (model.imputation if model is not None else prepare.Imputation.fit(feats)).transform(feats)
     if model is None:
+        imputed = prepare.Imputation.fit(feats).transform(feats)
         with_p = imputed.withColumn("risk_probability", scores.scorecard_probability(imputed))
     else:
-        probs = model.predict(feats).select("sk_id_curr", "risk_probability")
-        with_p = imputed.join(probs, "sk_id_curr")
+        with_p = model.predict(feats)
     files.write_table(scores.customer_scores(with_p), scores_path)
     return files.read_table(spark, scores_path)
 

@@ -3,7 +3,7 @@
 The original lending files are not available, so every raw table is derived
 from the given parquet tables with plain column arithmetic (no sampling, no
 row caps): the derived tables grow exactly with the inputs.  The same
-derivations are written as SQL in ``loanlens.plans.oracle`` so that DuckDB
+derivations are written as SQL in ``loanlens.plans.standin_sql`` so that DuckDB
 can rebuild identical inputs.
 
 | lending table              | from                 |
@@ -28,6 +28,8 @@ from .schemas import AMOUNT
 REFERENCE_DATE = "2001-08-01"
 # Installment due day = order day + this many days.
 DUE_SHIFT_DAYS = 36
+# Every PUNCTUAL-th customer pays what they pay before it is due.
+PUNCTUAL = 4
 # Card limit of every account that is not in status 'P' (those get 0).
 CARD_LIMIT = 500000
 
@@ -127,15 +129,17 @@ def installments(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_returnflag", "l_linestatus", "l_shipdate")
     o = _tables(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     unpaid = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")
+    due = _dec(_days_from_ref(F.col("o_orderdate")) + DUE_SHIFT_DAYS)
     j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
     return j.select(
         F.col("l_orderkey").alias("sk_id_prev"),
         F.col("o_custkey").alias("sk_id_curr"),
         _dec(F.col("l_suppkey") % 3).alias("num_instalment_version"),
         F.col("l_linenumber").cast("int").alias("num_instalment_number"),
-        _dec(_days_from_ref(F.col("o_orderdate")) + DUE_SHIFT_DAYS).alias("days_instalment"),
+        due.alias("days_instalment"),
         F.when(unpaid, F.lit(None).cast(AMOUNT))
-         .otherwise(_dec(_days_from_ref(F.col("l_shipdate")))).alias("days_entry_payment"),
+         .when(F.col("o_custkey") % PUNCTUAL == 0, due - F.col("l_linenumber"))
+         .otherwise(_dec(_days_from_ref(F.col("l_shipdate")))).cast(AMOUNT).alias("days_entry_payment"),
         _dec(F.col("l_extendedprice")).alias("amt_instalment"),
         F.when(unpaid, F.lit(None).cast(AMOUNT))
          .otherwise(_dec(_dec(F.col("l_extendedprice")) * (1 - _dec(F.col("l_discount")))))
@@ -159,7 +163,8 @@ def credit_card_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pos_cash_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _tables(spark, sf_dir, "events")
     eid = F.col("event_id")
-    floor_value = F.floor(F.col("value")).cast("int")
+    floor_value = F.floor(F.abs(F.col("value"))).cast("int")
+    group = F.col("user_id") % 5
     return e.select(
         eid.alias("sk_id_prev"),
         F.col("user_id").alias("sk_id_curr"),
@@ -168,7 +173,9 @@ def pos_cash_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
         _dec(eid % 24).alias("cnt_instalment_future"),
         F.when(F.col("event_type") == "error", F.lit("Completed"))
          .otherwise(F.lit("Active")).alias("name_contract_status"),
-        F.greatest(floor_value - 200, F.lit(0)).alias("sk_dpd"),
+        # a fifth of the customers each: never overdue, then 1-30, 31-60, 61-90, 91-120 days
+        F.when(group == 0, F.lit(0))
+         .otherwise((group - 1) * 30 + 1 + floor_value % 30).cast("int").alias("sk_dpd"),
         F.greatest(floor_value - 400, F.lit(0)).alias("sk_dpd_def"),
     )
 
@@ -189,6 +196,23 @@ def bureau(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def application_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of an application feed before it is accepted: every 11th customer
+    was delivered twice and every 101st once more without a key."""
+    k = applications(spark, sf_dir).select("sk_id_curr")
+    key = F.col("sk_id_curr")
+    return (k.union(k.where(key % 11 == 0))
+            .union(k.where(key % 101 == 0).select(F.lit(None).cast("long"))))
+
+
+def bureau_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of a bureau feed before it is accepted, in the same manner."""
+    k = bureau(spark, sf_dir).select("sk_id_bureau")
+    key = F.col("sk_id_bureau")
+    return (k.union(k.where(key % 97 == 0))
+            .union(k.where(key % 997 == 0).select(F.lit(None).cast("long"))))
+
+
 def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """All five raw tables, keyed like the original table names."""
     return {
