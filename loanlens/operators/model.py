@@ -19,12 +19,13 @@ from dataclasses import dataclass
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import store
-from .prepare import (ID_COLUMN, LABEL_COLUMN, Imputation, OneHot, RobustScale,
+from .prepare import (LABEL_COLUMN, Imputation, OneHot, RobustScale,
                       numeric_feature_columns, stratified_split)
+from .quality import assert_complete
 
 MAX_ITER = 1000
 INVERSE_REGULARISATION = 1.0   # C
@@ -97,6 +98,17 @@ class RiskModel:
                    LogisticRegressionModel.load(os.path.join(path, "classifier")))
 
 
+def linear_probability(scaler: RobustScale, coefficients: dict[str, float], intercept: float,
+                       present: list[str]) -> Column:
+    """M3 for a stored coefficient set: sigmoid of the dot product with the
+    scaled features; a feature absent from the data counts as 0 (F8)."""
+    z = F.lit(float(intercept))
+    for name, weight in coefficients.items():
+        x = scaler.column(name) if name in present else F.lit(0.0)
+        z = z + F.lit(float(weight)) * x
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+
+
 def feature_importance(spark: SparkSession, names: list[str], coefficients) -> DataFrame:
     """M11 - ``feature_importance``: rank by |coefficient| (ties by name).
 
@@ -117,6 +129,7 @@ def split_and_prepare(features: DataFrame):
     split, fit the scaler on the training rows."""
     imputation = Imputation.fit(features)
     imputed = imputation.transform(features)
+    assert_complete(imputed)                                 # F6: stop before training
     encoder = OneHot.fit(imputed)
     encoded = encoder.transform(imputed)
     cols = numeric_feature_columns(encoded, encoder)

@@ -407,6 +407,63 @@ UNION ALL SELECT 'weighted avg', p0 * w0 + p1 * w1, r0 * w0 + r1 * w1, f0 * w0 +
     lambda spark, d: evaluate.classification_report(scorecard_test_rows(spark, d)))
 
 
+# ------------------------------------------------------------------ a stored coefficient set
+# Weights by rule, so that scaling, alignment, dot product, sigmoid, class and
+# ranking can be stated in SQL; the last feature occurs in no data (F8).
+FIXED_INTERCEPT = -0.25
+FIXED_COEFFICIENTS = {c: ((i * 37) % 41 - 20) / 64 for i, c in enumerate([*MODEL_COLUMNS, "occupation_type_Pilots"])}
+PROBABILITY_DIGITS = 6
+
+_FIXED_SCALED_CTE = SPLIT_CTE + f""",
+q AS (SELECT {_Q_SEL} FROM split WHERE split = 'train'),
+scaled AS (SELECT s.sk_id_curr, s.target, s.split, {', '.join(_scaled(c) for c in MODEL_COLUMNS)}
+           FROM split s CROSS JOIN q),
+fixed_scores AS (
+  SELECT *, 1 / (1 + exp(-({' + '.join([f'({FIXED_INTERCEPT})::{D}'] + [
+      f'({FIXED_COEFFICIENTS[c]})::{D} * {_q(c)}' for c in MODEL_COLUMNS])}))) AS p FROM scaled)"""
+
+
+def _fixed_rows(spark: SparkSession, sf_dir: str):
+    _, _, scaler, cols, split = model.split_and_prepare(features_table(spark, sf_dir))
+    p = model.linear_probability(scaler, FIXED_COEFFICIENTS, FIXED_INTERCEPT, cols)
+    return split.withColumn("risk_probability", p), scaler, cols
+
+
+def fixed_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3/M4/M12/F8 - everyone's probability and class under the stored coefficients."""
+    rows, _, _ = _fixed_rows(spark, sf_dir)
+    return rows.select("sk_id_curr", "split", F.round("risk_probability", PROBABILITY_DIGITS).alias("risk_probability"),
+                       (F.col("risk_probability") > 0.5).cast("int").alias("prediction"))
+
+
+register("fixed_model_scores", _FIXED_SCALED_CTE + f"""
+SELECT sk_id_curr, split, round(p, {PROBABILITY_DIGITS}) AS risk_probability,
+  CAST(p > 0.5 AS INTEGER) AS prediction FROM fixed_scores""")(fixed_model_scores)
+
+
+def fixed_model_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M10/M11/T4/R14 - the 15 largest coefficients with their rank and
+    direction, and the feature's mean scaled value over all customers."""
+    rows, scaler, cols = _fixed_rows(spark, sf_dir)
+    means = rows.agg(*[F.avg(scaler.column(c)).alias(f"m{i}") for i, c in enumerate(cols)])
+    long = means.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"m{i}").alias("mean_scaled"))
+                                           for i, c in enumerate(cols)])))
+    ranked = model.feature_importance(spark, list(FIXED_COEFFICIENTS), FIXED_COEFFICIENTS.values())
+    return (ranked.where("rank <= 15").join(long, "feature", "left")
+            .withColumn("mean_scaled", F.round(F.coalesce("mean_scaled", F.lit(0.0)), PROBABILITY_DIGITS) + 0.0))
+
+
+register("fixed_model_drivers", _FIXED_SCALED_CTE + f""",
+weights(feature, coefficient) AS (VALUES {', '.join(f"('{c}', ({w})::{D})" for c, w in FIXED_COEFFICIENTS.items())}),
+means AS (UNPIVOT (SELECT {', '.join(f'avg({_q(c)}) AS {_q(c)}' for c in MODEL_COLUMNS)} FROM scaled)
+          ON {', '.join(map(_q, MODEL_COLUMNS))} INTO NAME feature VALUE mean_scaled)
+SELECT feature, coefficient, abs(coefficient) AS abs_coefficient, rank,
+  CASE WHEN coefficient > 0 THEN 'Increases Risk' ELSE 'Decreases Risk' END AS direction,
+  round(coalesce(mean_scaled, 0.0), {PROBABILITY_DIGITS}) + 0.0::DOUBLE AS mean_scaled
+FROM (SELECT *, CAST(row_number() OVER (ORDER BY abs(coefficient) DESC, feature) AS INTEGER) AS rank FROM weights)
+LEFT JOIN means USING (feature) WHERE rank <= 15""")(fixed_model_drivers)
+
+
 # ------------------------------------------------------------------ fitted model (no SQL oracle)
 def _fit(spark: SparkSession, sf_dir: str):
     feats = features_table(spark, sf_dir)

@@ -1,65 +1,39 @@
-"""IO4/IO5/T2/T7: named views, materialised tables and previews.
+"""IO5/T2/T7: named views and previews.
 
 ``register_views`` exposes the staged applications, the feature table, the
 scores and the reporting view as temporary views, so the original SQL can be
-run with ``spark.sql`` against them.  ``materialise_features`` is the
-CREATE TABLE AS step: the feature table is written once (replacing any
-previous version) and read back, so model fitting and scoring start from
-the stored table instead of recomputing the joins.
+run with ``spark.sql`` against them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import clean, features, prepare, report, scores
-from ..sources import files, standins
+from ..operators import clean, features, report
 
 
-def register_views(spark: SparkSession, sf_dir: str, scored: DataFrame | None = None) -> dict[str, DataFrame]:
-    raw = standins.raw_tables(spark, sf_dir)
+def build_features(raw: dict[str, DataFrame]) -> DataFrame:
+    """The feature table from the five raw tables."""
+    return features.customer_features(
+        clean.staged_applications(raw["raw_application_train"]), raw["raw_installments_payments"],
+        raw["raw_credit_card_balance"], raw["raw_pos_cash_balance"], raw["raw_bureau"])
+
+
+def register_views(raw: dict[str, DataFrame], scored: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Temporary views over raw tables, whatever they were loaded from."""
     for name, df in raw.items():
         df.createOrReplaceTempView(name)
-    stg = clean.staged_applications(raw["raw_application_train"])
-    stg.createOrReplaceTempView("stg_application_train")
-    feats = features.customer_features(stg, raw["raw_installments_payments"],
-                                       raw["raw_credit_card_balance"], raw["raw_pos_cash_balance"],
-                                       raw["raw_bureau"])
-    feats.createOrReplaceTempView("customer_features")
-    out = {"stg_application_train": stg, "customer_features": feats}
+    out = {"stg_application_train": clean.staged_applications(raw["raw_application_train"]),
+           "customer_features": build_features(raw)}
     if scored is not None:
-        scored.createOrReplaceTempView("customer_scores")
-        view = report.dashboard_view(feats, scored)
-        view.createOrReplaceTempView("vw_customer_dashboard")
-        out.update(customer_scores=scored, vw_customer_dashboard=view)
+        out["customer_scores"] = scored
+        out["vw_customer_dashboard"] = report.dashboard_view(out["customer_features"], scored)
+    for name, df in out.items():
+        df.createOrReplaceTempView(name)
     return out
 
 
-def materialise_features(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
-    """IO4 - write ``customer_features`` (replace) and return the stored table."""
-    raw = standins.raw_tables(spark, sf_dir)
-    stg = clean.staged_applications(raw["raw_application_train"])
-    feats = features.customer_features(stg, raw["raw_installments_payments"],
-                                       raw["raw_credit_card_balance"], raw["raw_pos_cash_balance"],
-                                       raw["raw_bureau"])
-    files.write_table(feats, path)
-    return files.read_table(spark, path)
-
-
-def score_table(spark: SparkSession, features_path: str, scores_path: str, model=None) -> DataFrame:
-    """E3 - score the stored feature table with a fitted model (or the fixed
-    scorecard when ``model`` is None) and write ``customer_scores`` (IO7)."""
-    feats = files.read_table(spark, features_path)
-    if model is None:
-        imputed = prepare.Imputation.fit(feats).transform(feats)
-        with_p = imputed.withColumn("risk_probability", scores.scorecard_probability(imputed))
-    else:
-        with_p = model.predict(feats)
-    files.write_table(scores.customer_scores(with_p), scores_path)
-    return files.read_table(spark, scores_path)
-
-
 def preview(df: DataFrame, n: int = 20, key: str = "sk_id_curr") -> DataFrame:
     """T2/T7 - a deterministic ``LIMIT n`` preview (first keys)."""
     return df.orderBy(F.col(key)).limit(n)

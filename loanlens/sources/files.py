@@ -7,6 +7,7 @@ rerun is idempotent.  Nothing here collects data to the driver.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import schemas
@@ -16,30 +17,47 @@ from . import schemas
 _UNUSED_NULL_TOKEN = "\u0001"
 
 
-def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_raw_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
     """IO2 - bulk CSV load with a header line and a fixed positional schema.
 
     Any value that does not parse into its declared type aborts the load
-    (FAILFAST), as a database bulk load would.  Header names are not used;
-    columns are matched by position.
+    (FAILFAST), as a database bulk load would.  A condition over all columns,
+    true for every row, keeps them in every read: a count or a narrow select
+    checks every field as well.  Header names are not used; columns are
+    matched by position.  Quotes inside a
+    quoted field are doubled and a backslash is an ordinary character.
+    ``multi_line`` allows line breaks inside quoted fields; a file read that
+    way cannot be split, so give such a load in many files.
     """
-    return (
+    loaded = (
         spark.read.schema(schema)
         .option("header", "true")
         .option("enforceSchema", "true")
         .option("mode", "FAILFAST")
+        .option("quote", '"').option("escape", '"')
+        .option("multiLine", str(multi_line).lower())
         .option("nullValue", _UNUSED_NULL_TOKEN)
         .option("emptyValue", "")
         .csv(path)
     )
+    return loaded.where(F.xxhash64(*loaded.columns) >= F.lit(-2 ** 63))
 
 
-def read_raw_tables(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
+def read_raw_tables(spark: SparkSession, paths: dict[str, str], multi_line: bool = False) -> dict[str, DataFrame]:
     """IO2 x5 - ``paths`` maps raw table name -> CSV path."""
-    return {name: read_raw_csv(spark, path, schemas.RAW_SCHEMAS[name])
+    return {name: read_raw_csv(spark, path, schemas.RAW_SCHEMAS[name], multi_line)
             for name, path in paths.items()}
 
 
+def write_raw_csv(df: DataFrame, path: str, schema: str) -> None:
+    """The counterpart of ``read_raw_csv``: every column of the layout, in file
+    order (null where ``df`` lacks it), null unquoted and empty text quoted."""
+    columns = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+               for f in T.StructType.fromDDL(schema)]
+    (df.select(*columns).write.mode("overwrite").option("header", "true")
+     .option("quote", '"').option("escape", '"').option("emptyValue", '""').csv(path))
+
+
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """IO3 / IO4 / IO7 - replace a table stored as Parquet."""
     w = df.write.mode("overwrite")

@@ -1,9 +1,8 @@
-"""IO1 - the five raw lending schemas.
+"""IO1 - the five raw lending schemas, as Spark DDL.
 
 The column lists below are FIXED VALUES: they are the positional layout of
 the public lending CSV files (column names lower-cased, in file order) and
 must stay exactly as written for positional CSV loading to work.
-Type codes: L = bigint, I = int, D = decimal(18,4), S = string.
 """
 
 from __future__ import annotations
@@ -12,99 +11,79 @@ from pyspark.sql import types as T
 
 AMOUNT = T.DecimalType(18, 4)
 
-_TYPE_CODES = {
-    "L": T.LongType(),
-    "I": T.IntegerType(),
-    "D": AMOUNT,
-    "S": T.StringType(),
-}
-
-# ---- FIXED VALUES: raw file layouts (name:type, file order) ---------------
-APPLICATION_TRAIN_LAYOUT = """
-sk_id_curr:L target:I name_contract_type:S code_gender:S flag_own_car:S
-flag_own_realty:S cnt_children:I amt_income_total:D amt_credit:D amt_annuity:D
-amt_goods_price:D name_type_suite:S name_income_type:S name_education_type:S
-name_family_status:S name_housing_type:S region_population_relative:D
-days_birth:I days_employed:I days_registration:D days_id_publish:I
-own_car_age:D flag_mobil:I flag_emp_phone:I flag_work_phone:I
-flag_cont_mobile:I flag_phone:I flag_email:I occupation_type:S
-cnt_fam_members:D region_rating_client:I region_rating_client_w_city:I
-weekday_appr_process_start:S hour_appr_process_start:I
-reg_region_not_live_region:I reg_region_not_work_region:I
-live_region_not_work_region:I reg_city_not_live_city:I
-reg_city_not_work_city:I live_city_not_work_city:I organization_type:S
-ext_source_1:D ext_source_2:D ext_source_3:D
-apartments_avg:D basementarea_avg:D years_beginexpluatation_avg:D
-years_build_avg:D commonarea_avg:D elevators_avg:D entrances_avg:D
-floorsmax_avg:D floorsmin_avg:D landarea_avg:D livingapartments_avg:D
-livingarea_avg:D nonlivingapartments_avg:D nonlivingarea_avg:D
-apartments_mode:D basementarea_mode:D years_beginexpluatation_mode:D
-years_build_mode:D commonarea_mode:D elevators_mode:D entrances_mode:D
-floorsmax_mode:D floorsmin_mode:D landarea_mode:D livingapartments_mode:D
-livingarea_mode:D nonlivingapartments_mode:D nonlivingarea_mode:D
-apartments_medi:D basementarea_medi:D years_beginexpluatation_medi:D
-years_build_medi:D commonarea_medi:D elevators_medi:D entrances_medi:D
-floorsmax_medi:D floorsmin_medi:D landarea_medi:D livingapartments_medi:D
-livingarea_medi:D nonlivingapartments_medi:D nonlivingarea_medi:D
-fondkapremont_mode:S housetype_mode:S totalarea_mode:D wallsmaterial_mode:S
-emergencystate_mode:S obs_30_cnt_social_circle:D def_30_cnt_social_circle:D
-obs_60_cnt_social_circle:D def_60_cnt_social_circle:D
-days_last_phone_change:D
-flag_document_2:I flag_document_3:I flag_document_4:I flag_document_5:I
-flag_document_6:I flag_document_7:I flag_document_8:I flag_document_9:I
-flag_document_10:I flag_document_11:I flag_document_12:I flag_document_13:I
-flag_document_14:I flag_document_15:I flag_document_16:I flag_document_17:I
-flag_document_18:I flag_document_19:I flag_document_20:I flag_document_21:I
-amt_req_credit_bureau_hour:D amt_req_credit_bureau_day:D
-amt_req_credit_bureau_week:D amt_req_credit_bureau_mon:D
-amt_req_credit_bureau_qrt:D amt_req_credit_bureau_year:D
+# ---- FIXED VALUES: raw file layouts (file order) ---------------------------
+APPLICATION_TRAIN = """
+sk_id_curr bigint, target int, name_contract_type string, code_gender string, flag_own_car string,
+flag_own_realty string, cnt_children int, amt_income_total decimal(18,4), amt_credit decimal(18,4),
+amt_annuity decimal(18,4), amt_goods_price decimal(18,4), name_type_suite string, name_income_type
+string, name_education_type string, name_family_status string, name_housing_type string,
+region_population_relative decimal(18,4), days_birth int, days_employed int, days_registration
+decimal(18,4), days_id_publish int, own_car_age decimal(18,4), flag_mobil int, flag_emp_phone int,
+flag_work_phone int, flag_cont_mobile int, flag_phone int, flag_email int, occupation_type string,
+cnt_fam_members decimal(18,4), region_rating_client int, region_rating_client_w_city int,
+weekday_appr_process_start string, hour_appr_process_start int, reg_region_not_live_region int,
+reg_region_not_work_region int, live_region_not_work_region int, reg_city_not_live_city int,
+reg_city_not_work_city int, live_city_not_work_city int, organization_type string, ext_source_1
+decimal(18,4), ext_source_2 decimal(18,4), ext_source_3 decimal(18,4), apartments_avg decimal(18,4),
+basementarea_avg decimal(18,4), years_beginexpluatation_avg decimal(18,4), years_build_avg
+decimal(18,4), commonarea_avg decimal(18,4), elevators_avg decimal(18,4), entrances_avg
+decimal(18,4), floorsmax_avg decimal(18,4), floorsmin_avg decimal(18,4), landarea_avg decimal(18,4),
+livingapartments_avg decimal(18,4), livingarea_avg decimal(18,4), nonlivingapartments_avg
+decimal(18,4), nonlivingarea_avg decimal(18,4), apartments_mode decimal(18,4), basementarea_mode
+decimal(18,4), years_beginexpluatation_mode decimal(18,4), years_build_mode decimal(18,4),
+commonarea_mode decimal(18,4), elevators_mode decimal(18,4), entrances_mode decimal(18,4),
+floorsmax_mode decimal(18,4), floorsmin_mode decimal(18,4), landarea_mode decimal(18,4),
+livingapartments_mode decimal(18,4), livingarea_mode decimal(18,4), nonlivingapartments_mode
+decimal(18,4), nonlivingarea_mode decimal(18,4), apartments_medi decimal(18,4), basementarea_medi
+decimal(18,4), years_beginexpluatation_medi decimal(18,4), years_build_medi decimal(18,4),
+commonarea_medi decimal(18,4), elevators_medi decimal(18,4), entrances_medi decimal(18,4),
+floorsmax_medi decimal(18,4), floorsmin_medi decimal(18,4), landarea_medi decimal(18,4),
+livingapartments_medi decimal(18,4), livingarea_medi decimal(18,4), nonlivingapartments_medi
+decimal(18,4), nonlivingarea_medi decimal(18,4), fondkapremont_mode string, housetype_mode string,
+totalarea_mode decimal(18,4), wallsmaterial_mode string, emergencystate_mode string,
+obs_30_cnt_social_circle decimal(18,4), def_30_cnt_social_circle decimal(18,4),
+obs_60_cnt_social_circle decimal(18,4), def_60_cnt_social_circle decimal(18,4),
+days_last_phone_change decimal(18,4), flag_document_2 int, flag_document_3 int, flag_document_4 int,
+flag_document_5 int, flag_document_6 int, flag_document_7 int, flag_document_8 int, flag_document_9
+int, flag_document_10 int, flag_document_11 int, flag_document_12 int, flag_document_13 int,
+flag_document_14 int, flag_document_15 int, flag_document_16 int, flag_document_17 int,
+flag_document_18 int, flag_document_19 int, flag_document_20 int, flag_document_21 int,
+amt_req_credit_bureau_hour decimal(18,4), amt_req_credit_bureau_day decimal(18,4),
+amt_req_credit_bureau_week decimal(18,4), amt_req_credit_bureau_mon decimal(18,4),
+amt_req_credit_bureau_qrt decimal(18,4), amt_req_credit_bureau_year decimal(18,4)
 """
 
-INSTALLMENTS_PAYMENTS_LAYOUT = """
-sk_id_prev:L sk_id_curr:L num_instalment_version:D num_instalment_number:I
-days_instalment:D days_entry_payment:D amt_instalment:D amt_payment:D
+INSTALLMENTS_PAYMENTS = """
+sk_id_prev bigint, sk_id_curr bigint, num_instalment_version decimal(18,4), num_instalment_number
+int, days_instalment decimal(18,4), days_entry_payment decimal(18,4), amt_instalment decimal(18,4),
+amt_payment decimal(18,4)
 """
 
-CREDIT_CARD_BALANCE_LAYOUT = """
-sk_id_prev:L sk_id_curr:L months_balance:I amt_balance:D
-amt_credit_limit_actual:I amt_drawings_atm_current:D amt_drawings_current:D
-amt_drawings_other_current:D amt_drawings_pos_current:D
-amt_inst_min_regularity:D amt_payment_current:D amt_payment_total_current:D
-amt_receivable_principal:D amt_recivable:D amt_total_receivable:D
-cnt_drawings_atm_current:D cnt_drawings_current:I cnt_drawings_other_current:D
-cnt_drawings_pos_current:D cnt_instalment_mature_cum:D
-name_contract_status:S sk_dpd:I sk_dpd_def:I
+CREDIT_CARD_BALANCE = """
+sk_id_prev bigint, sk_id_curr bigint, months_balance int, amt_balance decimal(18,4),
+amt_credit_limit_actual int, amt_drawings_atm_current decimal(18,4), amt_drawings_current
+decimal(18,4), amt_drawings_other_current decimal(18,4), amt_drawings_pos_current decimal(18,4),
+amt_inst_min_regularity decimal(18,4), amt_payment_current decimal(18,4), amt_payment_total_current
+decimal(18,4), amt_receivable_principal decimal(18,4), amt_recivable decimal(18,4),
+amt_total_receivable decimal(18,4), cnt_drawings_atm_current decimal(18,4), cnt_drawings_current
+int, cnt_drawings_other_current decimal(18,4), cnt_drawings_pos_current decimal(18,4),
+cnt_instalment_mature_cum decimal(18,4), name_contract_status string, sk_dpd int, sk_dpd_def int
 """
 
-POS_CASH_BALANCE_LAYOUT = """
-sk_id_prev:L sk_id_curr:L months_balance:I cnt_instalment:D
-cnt_instalment_future:D name_contract_status:S sk_dpd:I sk_dpd_def:I
+POS_CASH_BALANCE = """
+sk_id_prev bigint, sk_id_curr bigint, months_balance int, cnt_instalment decimal(18,4),
+cnt_instalment_future decimal(18,4), name_contract_status string, sk_dpd int, sk_dpd_def int
 """
 
-BUREAU_LAYOUT = """
-sk_id_curr:L sk_id_bureau:L credit_active:S credit_currency:S days_credit:I
-credit_day_overdue:I days_credit_enddate:D days_enddate_fact:D
-amt_credit_max_overdue:D cnt_credit_prolong:I amt_credit_sum:D
-amt_credit_sum_debt:D amt_credit_sum_limit:D amt_credit_sum_overdue:D
-credit_type:S days_credit_update:I amt_annuity:D
+BUREAU = """
+sk_id_curr bigint, sk_id_bureau bigint, credit_active string, credit_currency string, days_credit
+int, credit_day_overdue int, days_credit_enddate decimal(18,4), days_enddate_fact decimal(18,4),
+amt_credit_max_overdue decimal(18,4), cnt_credit_prolong int, amt_credit_sum decimal(18,4),
+amt_credit_sum_debt decimal(18,4), amt_credit_sum_limit decimal(18,4), amt_credit_sum_overdue
+decimal(18,4), credit_type string, days_credit_update int, amt_annuity decimal(18,4)
 """
-# ---- end of fixed values ---------------------------------------------------
-
-
-def layout_to_schema(layout: str) -> T.StructType:
-    fields = []
-    for token in layout.split():
-        name, code = token.split(":")
-        fields.append(T.StructField(name, _TYPE_CODES[code], True))
-    return T.StructType(fields)
-
-
-APPLICATION_TRAIN = layout_to_schema(APPLICATION_TRAIN_LAYOUT)
-INSTALLMENTS_PAYMENTS = layout_to_schema(INSTALLMENTS_PAYMENTS_LAYOUT)
-CREDIT_CARD_BALANCE = layout_to_schema(CREDIT_CARD_BALANCE_LAYOUT)
-POS_CASH_BALANCE = layout_to_schema(POS_CASH_BALANCE_LAYOUT)
-BUREAU = layout_to_schema(BUREAU_LAYOUT)
 
+# layouts by raw table, as DDL text (``T.StructType.fromDDL`` parses it)
 RAW_SCHEMAS = {
     "raw_application_train": APPLICATION_TRAIN,
     "raw_installments_payments": INSTALLMENTS_PAYMENTS,
@@ -112,9 +91,3 @@ RAW_SCHEMAS = {
     "raw_pos_cash_balance": POS_CASH_BALANCE,
     "raw_bureau": BUREAU,
 }
-
-
-def project(schema: T.StructType, columns: list[str]) -> T.StructType:
-    """Sub-schema with the named columns, in the given order."""
-    by_name = {f.name: f for f in schema.fields}
-    return T.StructType([by_name[c] for c in columns])

@@ -57,7 +57,7 @@ def test_logistic_regression_matches_objective(spark, tmp_path):
     feats = customer_features_df(spark, SF).cache()
     fitted, split, iterations = model.train(feats)
     assert iterations > 0
-    prepared = fitted.prepare(feats).join(split, "sk_id_curr").where("split = 'train'")
+    prepared = fitted.prepare(feats).join(split.select("sk_id_curr", "split"), "sk_id_curr").where("split = 'train'")
     data = prepared.select("features", "target").collect()        # tiny fixture
     X = np.array([r["features"].toArray() for r in data])
     y = np.array([r["target"] for r in data], dtype=float)

@@ -107,15 +107,47 @@ def test_scan_prunes_columns(spark):
 
 
 def test_views_and_materialised_table(spark, tmp_path):
-    from loanlens.plans import views
-    v = views.register_views(spark, "/root/testdata/sf0.001")
+    from loanlens.plans import jobs, views
+    from loanlens.sources import standins
+    raw = standins.raw_tables(spark, "/root/testdata/sf0.001")
+    v = views.register_views(raw)
     n = spark.sql("SELECT COUNT(*) FROM customer_features").first()[0]
     assert n == v["customer_features"].count()
-    stored = views.materialise_features(spark, "/root/testdata/sf0.001", str(tmp_path / "features"))
+    stored = jobs.feature_job(spark, raw, str(tmp_path / "features"))
     assert stored.count() == n
-    sc = views.score_table(spark, str(tmp_path / "features"), str(tmp_path / "scores"))
+    sc = jobs.score_job(spark, str(tmp_path / "features"), str(tmp_path / "scores"))
     assert sc.count() == n and len(sc.columns) == 10
     assert views.preview(stored).count() == 20
+    # train, save, reload, score, publish
+    jobs.train_job(spark, str(tmp_path / "features"), str(tmp_path / "model"))
+    again = jobs.score_job(spark, str(tmp_path / "features"), str(tmp_path / "scores"), str(tmp_path / "model"))
+    assert again.count() == n
+    view = jobs.publish_job(spark, str(tmp_path / "features"), str(tmp_path / "scores"))
+    assert view.count() == n and spark.table("vw_customer_dashboard").count() == n
+
+
+def test_load_job_stops_at_a_violated_key(spark, tmp_path):
+    import pytest
+
+    from loanlens.plans import jobs
+    from loanlens.sources import files, schemas
+    ddl = schemas.RAW_SCHEMAS["raw_bureau"]
+    for ids in ([1, 1], [1, None]):
+        df = spark.createDataFrame([(7, i) for i in ids], "sk_id_curr long, sk_id_bureau long")
+        files.write_raw_csv(df, str(tmp_path / "b.csv"), ddl)
+        with pytest.raises(ValueError, match="primary key"):
+            jobs.load_job(spark, {"raw_bureau": str(tmp_path / "b.csv")}, str(tmp_path / "out"))
+
+
+def test_training_stops_at_a_missing_cell(spark):
+    import pytest
+
+    from loanlens.operators import model
+    from loanlens.plans.catalog import customer_features_df
+    from pyspark.sql import functions as F
+    feats = customer_features_df(spark, "/root/testdata/sf0.001")
+    with pytest.raises(ValueError, match="missing cells"):
+        model.train(feats.withColumn("age_years", F.lit(None).cast("double")))
 
 
 def test_bucketed_layout_needs_no_shuffle_on_the_key(spark):
