@@ -171,7 +171,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         F.lit("id:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))))
     placed = store(signed.join(linked, "node", "left")
                    .select("doc_id", F.coalesce("class", alone).alias("class")))
-    named = placed.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    # stored, so that a large class is only a key of a join, whose rows can be split
+    named = store(placed.groupBy("class").agg(F.min("doc_id").alias("class_id"),
+                                              F.count(F.lit(1)).alias("class_size")))
     return (placed.join(named, "class")
             .select("doc_id", "class_id", "class_size",
                     F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")))

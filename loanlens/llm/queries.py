@@ -86,7 +86,37 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
+def _op6_sql() -> str:
+    """Spans per rule from the lengths of the matches and of the pieces between."""
+    kinds = []
+    for i, r in enumerate(secrets.RULES):
+        pattern = r.pattern.replace("'", "''")
+        kinds.append(f"""
+            SELECT doc_id, {i} AS kind_no, '{r.kind}' AS kind, regexp_extract_all(body, '{pattern}', 0) AS found,
+                   regexp_extract_all(body, '{pattern}', {r.group}) AS vals,
+                   string_split_regex(body, '{pattern}') AS gaps, {r.least} AS least
+            FROM bodies WHERE regexp_matches(body, '{pattern}')""")
+    return f"""
+        WITH bodies AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+        kinds AS ({" UNION ALL ".join(kinds)}),
+        each AS (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM kinds),
+        placed AS (
+          SELECT doc_id, kind_no, kind, len(found[i]) AS size, len(vals[i]) >= least AS ok,
+            coalesce(list_sum([len(x) for x in gaps[1:i]]), 0)
+              + coalesce(list_sum([len(x) for x in found[1:i - 1]]), 0) AS start FROM each),
+        joined AS (
+          SELECT doc_id, count(*) FILTER (WHERE kind_no = 0) AS n_assign, count(*) FILTER (WHERE kind_no = 1) AS n_access,
+            count(*) FILTER (WHERE kind_no = 2) AS n_hex,
+            string_agg(concat(kind, ':', CAST(start AS BIGINT), ':', CAST(start + size AS BIGINT)), ','
+                       ORDER BY start, kind_no) AS spans
+          FROM placed WHERE ok GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+               coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM documents d LEFT JOIN joined j ON d.doc_id = j.doc_id"""
+
+
 ORACLE = {
+    "op6_secret_scan": _op6_sql(),
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept,

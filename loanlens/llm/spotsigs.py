@@ -192,5 +192,5 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     linked = link(shared_buckets(members.distinct()), payloads, threshold)
     placed = store(rows.select("doc_id", "node").join(linked, "node", "left")
                    .select("doc_id", F.coalesce("class", "node").alias("class")))
-    named = placed.groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    named = store(placed.groupBy("class").agg(F.min("doc_id").alias("class_id")))
     return placed.join(named, "class").select("doc_id", "class_id")
