@@ -7,9 +7,12 @@ component of the links.  Only the components are wanted, so:
 1. every member of a bucket is compared with the bucket's pivot (its smallest
    node): rows linear in the bucket sizes;
 2. buckets whose members then still belong to several components get the
-   rest of the comparisons.  Such a bucket is cut into chunks of about
-   ``CHUNK_TOKENS`` tokens, and a task compares two chunks at a time, only
-   pairs of different components, and returns only a spanning set of links.
+   rest of the comparisons.  The members of such a bucket's largest component
+   need none among themselves: they and the other members are cut into chunks
+   of about ``CHUNK_TOKENS`` tokens, every chunk of others meets every chunk,
+   and a task compares two chunks at a time, only pairs of different
+   components, and returns only a spanning set of links.  With few members
+   outside the largest component its rows are copied once, however many.
 
 Every pair of a bucket is thus compared or already connected: the components
 are those of all links, and no task holds more than two chunks.
@@ -173,13 +176,20 @@ def link(shared: DataFrame, payloads: DataFrame, threshold: float, chunk_tokens:
     joined = store(components(first))
 
     placed = (shared.join(joined, "node", "left").withColumn("class", F.coalesce("class", "node")))
-    still_open = (placed.groupBy("bucket")
-                  .agg(F.min("class").alias("least"), F.max("class").alias("most"), F.sum("tokens_n").alias("tokens_all"))
-                  .where("least <> most")
-                  .select("bucket", F.ceil(F.col("tokens_all") / chunk_tokens).alias("chunks")))
-    rest = (placed.join(still_open, "bucket").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-            .select("bucket", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"),
+    still_open = (placed.groupBy("bucket", "class").agg(F.sum("tokens_n").alias("tokens"))
+                  .groupBy("bucket").agg(F.max_by("class", "tokens").alias("main"), F.max("tokens").alias("most"),
+                                         F.sum("tokens").alias("all"), F.count(F.lit(1)).alias("classes"))
+                  .where("classes > 1")
+                  .select("bucket", "main", F.ceil((F.col("all") - F.col("most")) / chunk_tokens).alias("others"),
+                          F.ceil(F.col("most") / chunk_tokens).alias("mains")))
+    # chunks of others are numbered first, then those of the largest component
+    inside = F.col("class") == F.col("main")
+    own = F.pmod(F.xxhash64("node"), F.when(inside, F.col("mains")).otherwise(F.col("others")))
+    rest = (placed.join(still_open, "bucket")
+            .withColumn("chunk", F.when(inside, F.col("others") + own).otherwise(own))
+            .withColumn("meets", F.explode(F.sequence(F.lit(0).cast("long"), F.when(inside, F.col("others"))
+                                                      .otherwise(F.col("others") + F.col("mains")) - 1)))
+            .select("bucket", F.least("chunk", "meets").alias("low"), F.greatest("chunk", "meets").alias("high"),
                     "chunk", "node", "class"))
     second = store(rest.join(payloads, "node").select("bucket", "low", "high", "chunk", "node", "class", "tokens",
                                                       "weights")
