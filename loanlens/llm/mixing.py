@@ -193,10 +193,12 @@ def materialise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     copies = F.concat(F.array_repeat(F.lit(True), passes),
                       F.when(F.size(spans) > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))
     rows = rows.select("row", "own", F.explode(copies).alias("whole"))
-    words = F.regexp_extract_all(body, F.lit(WORD), F.lit(0))
-    part = F.array_join(F.flatten(F.transform(spans, lambda s: F.slice(
-        words, s["start"].cast("int") + 1, (s["stop"] - s["start"]).cast("int")))), " ")
-    changed = {text_col: part, length_col: F.char_length(part)}
+    # the words are cut once a row, however many spans it has
+    words = F.array(F.regexp_extract_all(body, F.lit(WORD), F.lit(0)))
+    part = F.transform(words, lambda w: F.array_join(F.flatten(F.transform(spans, lambda s: F.slice(
+        w, s["start"].cast("int") + 1, (s["stop"] - s["start"]).cast("int")))), " "))[0]
+    rows = rows.withColumn("part", F.when(~F.col("whole"), part))
+    changed = {text_col: F.col("part"), length_col: F.char_length("part")}
     return rows.select(*[
         (F.when(F.col("whole"), F.col(f"row.`{c}`")).otherwise(changed[c].cast(docs.schema[c].dataType))
          if c in changed else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
