@@ -42,7 +42,7 @@ _FEATURE, _VALUE = "feature", "value"
 def melt(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
     """Wide -> long: one (feature, value) row per column per input row."""
     keep = keep or []
-    pairs = F.array(*[F.struct(F.lit(c).alias(_FEATURE), F.col(c).cast("double").alias(_VALUE))
+    pairs = F.array(*[F.struct(F.lit(c).alias(_FEATURE), F.col(f"`{c}`").cast("double").alias(_VALUE))
                       for c in columns])
     return (df.select(*keep, F.explode(pairs).alias("_p"))
             .select(*keep, F.col(f"_p.{_FEATURE}").alias(_FEATURE),
@@ -211,7 +211,20 @@ class RobustScale:
         return df.withColumns({c: self.column(c, clip_limit) for c in self.center})
 
 
+def describe_columns(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
+    """A25 over many columns - ``describe()`` with one row per column: count,
+    mean and sample std (rounded), min, exact quartiles, max.  All come from
+    the table of distinct (column, value) pairs and their row counts ``n``."""
+    v, n = F.col(_VALUE), F.col("n")
+    rows, total, squares = F.sum(n).cast("double"), F.sum(v * n), F.sum(v * v * n)
+    spread = F.greatest(F.lit(0.0), squares - total * total / rows) / F.nullif(rows - 1, F.lit(0.0))
+    q = exact_quantiles(melt(df, columns), _VALUE, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, by=[_FEATURE], extra={
+        "count": F.sum(n), "mean": F.round(total / rows, digits) + 0.0, "std": F.round(F.sqrt(spread), digits),
+        "min": F.min(v), "max": F.max(v)})
+    return q.select(_FEATURE, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+
+
 def target_correlations(df: DataFrame, columns: list[str], label: str = LABEL_COLUMN) -> DataFrame:
     """F13 - Pearson correlation of every feature with the label, one pass."""
-    return df.agg(*[F.corr(F.col(c).cast("double"), F.col(label).cast("double")).alias(c)
+    return df.agg(*[F.corr(F.col(f"`{c}`").cast("double"), F.col(label).cast("double")).alias(c)
                     for c in columns])

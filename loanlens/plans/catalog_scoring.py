@@ -221,10 +221,20 @@ q AS (SELECT {_Q_SEL} FROM split WHERE split = 'train')
 SELECT s.sk_id_curr, s.split, {', '.join(_scaled(c) for c in MODEL_COLUMNS)}
 FROM split s CROSS JOIN q""")(scaled_features)
 
-register("feature_target_correlation", IMPUTED_CTE + f"""
-SELECT {', '.join(f'corr(CAST({c} AS {D}), CAST(target AS {D})) AS {c}' for c in _NUMERIC)}
-FROM imputed""")(
-    lambda spark, d: prepare.target_correlations(imputed_features(spark, d), _NUMERIC))
+# the inputs before scaling, dummies included
+register("feature_target_correlation", ENCODED_CTE + f"""
+SELECT {', '.join(f'corr(CAST({_q(c)} AS {D}), CAST(target AS {D})) AS {_q(c)}' for c in MODEL_COLUMNS)}
+FROM encoded""")(
+    lambda spark, d: prepare.target_correlations(encoded_features(spark, d), MODEL_COLUMNS))
+
+register("scaled_features_summary", SPLIT_CTE + f""",
+q AS (SELECT {_Q_SEL} FROM split WHERE split = 'train'),
+scaled AS (SELECT {', '.join(_scaled(c) for c in _NUMERIC)} FROM split s CROSS JOIN q),
+long AS (UNPIVOT scaled ON {', '.join(map(_q, _NUMERIC))} INTO NAME feature VALUE v)
+SELECT feature, COUNT(*) AS "count", round(avg(v), 6) + 0.0::{D} AS mean, round(stddev_samp(v), 6) AS std,
+  min(v) AS "min", quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.5) AS q50,
+  quantile_cont(v, 0.75) AS q75, max(v) AS "max" FROM long GROUP BY feature""")(
+    lambda spark, d: prepare.describe_columns(scaled_features(spark, d), _NUMERIC))
 
 # ------------------------------------------------------------------ scores
 register("customer_scores", SCORES_CTE + "\nSELECT * FROM customer_scores")(scorecard_scores)
