@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import text_of
 from .words import WORD_END, WordRules, byte_letters
 
-CACHE_PIECES = 300_000         # pieces a worker remembers; then it starts anew
-CACHE_WORDS = 700_000          # likewise, words
+CACHE_PIECES = 250_000         # pieces a worker remembers; then it starts anew
+CACHE_WORDS = 500_000          # likewise, words
 SEPARATOR = " "                # between vocabulary strings, as without a decoder
 
 

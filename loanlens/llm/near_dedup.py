@@ -27,6 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ from .linking import link, shared_buckets
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
-DOCS_AT_ONCE = 1024
+DOCS_AT_ONCE, CHARS_AT_ONCE = 1024, 2_000_000      # texts a task handles together
 
 def shingles(texts: list[str], size: int = SHINGLE):
     """The weighted shingles of each text: hashes ascending per text, weights,
@@ -106,10 +107,15 @@ def _node(tokens: np.ndarray, weights: np.ndarray) -> bytes:
 
 def _parts(batches, size):
     for batch in batches:
-        for lo in range(0, batch.num_rows, DOCS_AT_ONCE):
-            rows = batch.slice(lo, DOCS_AT_ONCE)
+        lo = 0
+        lengths = pc.utf8_length(batch.column(1)).to_numpy(zero_copy_only=False)
+        while lo < batch.num_rows:
+            total = np.cumsum(lengths[lo:lo + DOCS_AT_ONCE])
+            n = max(1, int(np.searchsorted(total, CHARS_AT_ONCE, "right")))
+            rows = batch.slice(lo, n)
             with np.errstate(over="ignore"):
                 yield rows, *shingles(rows.column(1).to_pylist(), size)
+            lo += n
 
 
 def _sign(size: int, bands: int, rows: int):

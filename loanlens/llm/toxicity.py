@@ -47,7 +47,8 @@ BATCH = 256
 RATE = 0.1
 L2 = 1e-5
 SEED = 29
-CACHE_WORDS = 300_000          # words a worker remembers
+CACHE_WORDS = 100_000          # words a worker remembers
+ROWS_AT_ONCE = 512             # training rows counted together
 _WORD = re.compile(r"\w+")
 
 
@@ -55,14 +56,16 @@ def bucket(term: str) -> int:
     return zlib.crc32(term.encode("utf-8", "replace")) & ((1 << HASH_BITS) - 1)
 
 
-@lru_cache(CACHE_WORDS)
 def word_buckets(word: str) -> tuple[int, ...]:
     return (bucket(word), *(bucket("^" + word[:k]) for k in PREFIXES if len(word) > k))
 
 
+_remembered_buckets = lru_cache(CACHE_WORDS)(word_buckets)
+
+
 def buckets_of(text: str) -> np.ndarray:
     """The distinct buckets of a text, ascending."""
-    found = {b for w in set(_WORD.findall(text.lower())) for b in word_buckets(w)}
+    found = {b for w in set(_WORD.findall(text.lower())) for b in _remembered_buckets(w)}
     return np.array(sorted(found), np.int32)
 
 
@@ -92,10 +95,13 @@ class FactorizationMachine:
                    np.zeros(0), np.zeros((0, FACTORS)))
         if positive in (0, n):
             return none
-        flat = np.concatenate(rows)
-        of = np.repeat(np.arange(n), [len(r) for r in rows])
-        in_toxic = np.bincount(flat, weights=labels[of], minlength=size)
-        in_all = np.bincount(flat, minlength=size).astype(float)
+        in_toxic, in_all = np.zeros(size), np.zeros(size)
+        for lo in range(0, n, ROWS_AT_ONCE):
+            some = rows[lo:lo + ROWS_AT_ONCE]
+            flat = np.concatenate(some)
+            label = np.repeat(labels[lo:lo + ROWS_AT_ONCE], [len(r) for r in some])
+            in_toxic += np.bincount(flat, weights=label, minlength=size)
+            in_all += np.bincount(flat, minlength=size)
         share = positive / n
         # chi square of presence against the label
         expected = in_all * share
@@ -106,10 +112,9 @@ class FactorizationMachine:
         place = np.full(size, -1, np.int32)
         place[best] = np.arange(len(best))
 
-        columns = place[flat]
-        used = columns >= 0
-        columns, of = columns[used], of[used]
-        starts = np.searchsorted(of, np.arange(n + 1))
+        kept = [(lambda p: p[p >= 0])(place[r]) for r in rows]
+        columns = np.concatenate(kept)
+        starts = np.concatenate([[0], np.cumsum([len(k) for k in kept])])
         rng = np.random.default_rng(SEED)
         w0, w, v = none.w0, np.zeros(len(best)), rng.normal(0, 0.01, (len(best), FACTORS))
         g_w, g_v, g_0 = np.full(len(best), 1e-3), np.full((len(best), FACTORS), 1e-3), 1e-3
