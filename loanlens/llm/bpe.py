@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import text_of
 from .words import WORD_END, WordRules, byte_letters
 
-CACHE_PIECES = 250_000         # pieces a worker remembers; then it starts anew
-CACHE_WORDS = 500_000          # likewise, words
+CACHE_PIECES = 200_000         # pieces a worker remembers; then it starts anew
+CACHE_WORDS = 400_000          # likewise, words
 SEPARATOR = " "                # between vocabulary strings, as without a decoder
 
 
@@ -55,7 +56,7 @@ class Bpe:
         letters = byte_letters()
         self.inner = [self.vocab[letters[b]] for b in range(256)]
         self.final = [self.vocab[letters[b] + WORD_END] for b in range(256)]
-        self.word_ids: dict[str, list[int]] = {}
+        self.word_ids: dict[str, array] = {}
         self.pieces: dict[str, tuple[str, str]] = {}
 
     @classmethod
@@ -103,13 +104,13 @@ class Bpe:
                     push(queue, rank << 32 | left)
         return [s for s in symbols if s >= 0]
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> array:
         ids = self.word_ids.get(word)
         if ids is None:
             raw = word.encode("utf-8", "replace")
             symbols = [self.inner[b] for b in raw]
             symbols[-1] = self.final[raw[-1]]
-            ids = self.merge(symbols)
+            ids = array("i", self.merge(symbols))
             if len(self.word_ids) >= CACHE_WORDS:
                 self.word_ids.clear()
             self.word_ids[word] = ids
