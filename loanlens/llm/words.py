@@ -3,6 +3,10 @@
 NFC, white space to one space, lower case; then the matches of a pattern are
 the words, and a word's last symbol ends in ``</w>``.  No word spans white
 space, so a text can be cut at white space first.
+
+Letters, digits and lower case follow Python's Unicode tables (15.1 in Python
+3.13).  The library's are a little newer: letters of scripts added to Unicode
+after that count as symbols here.
 """
 
 from __future__ import annotations
