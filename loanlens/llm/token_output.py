@@ -14,7 +14,8 @@ tokenizer's pre-tokenizer drops white space and marks word ends (as that of
 ``word_bpe_49k.json`` does).  Words repeat, so each worker keeps the ids of the
 words it has seen (it starts anew after ``CACHE_WORDS``) and hands only new
 words to the library.  Texts that hold a special token's
-string, and all texts under a vocabulary of another kind, are encoded whole.
+string or code points newer than Python's Unicode tables, and all texts under
+a vocabulary of another kind, are encoded whole.
 
 Cases: null text is empty and gets the end id alone; a null id sorts first;
 repeated ids are ordered by text; an empty table gives an empty folder of
@@ -110,7 +111,8 @@ class PieceEncoder:
         """The ids of each text."""
         if len(self.number) > CACHE_WORDS:
             self.forget()
-        whole = [not self.rules.known_kind or self.special.search(t) is not None for t in texts]
+        whole = [not self.rules.known_kind or self.special.search(t) is not None or self.rules.unknown(t)
+                 for t in texts]
         rows = [[] if odd else self.rules.words(t) for t, odd in zip(texts, whole)]
         flat = list(chain.from_iterable(rows))
         numbers = list(map(self.number.get, flat))

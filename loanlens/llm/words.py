@@ -51,6 +51,14 @@ class WordRules:
         """The pieces between white space."""
         return self.space.split(text) if self.odd.search(text) else text.split()
 
+    def unknown(self, text: str) -> bool:
+        """Whether a text has code points that Python's Unicode tables lack."""
+        try:
+            text.encode("latin-1")
+            return False
+        except UnicodeEncodeError:
+            return any(unicodedata.category(c) == "Cn" for c in set(text))
+
     def words(self, piece: str) -> list[str]:
         # lower case letter by letter: no special form of a final sigma
         normal = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()

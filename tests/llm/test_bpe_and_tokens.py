@@ -48,6 +48,13 @@ def test_any_text_equals_the_library(texts):
         assert OWN.round_trip(text)[1] == decoded
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(max_size=20), max_size=4))
+def test_token_files_follow_the_library_on_unassigned_code_points(texts):
+    texts = [t.encode("utf-8", "ignore").decode() for t in [*texts, "a\u1c89a \U00010d50"]]
+    assert [i.tolist() for i in ENCODER.encode(texts)] == [expected(t)[0] for t in texts]
+
+
 def test_forgetting_changes_nothing(monkeypatch):
     monkeypatch.setattr(token_output, "CACHE_WORDS", 5)
     monkeypatch.setattr(bpe, "CACHE_PIECES", 5)
