@@ -170,7 +170,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
              .join(some, F.col("doc_id").eqNullSafe(F.col("some_id")), "left_semi"))
     payloads = store(texts.mapInArrow(_payload(size), "node binary, tokens array<long>, weights array<float>")
                      .dropDuplicates(["node"]))
-    linked = link(shared, payloads, threshold)
+    linked = store(link(shared, payloads, threshold))
 
     # texts without words are told apart by their id
     alone = F.when(F.col("tokens_n") > 0, F.col("node")).otherwise(F.unhex(F.md5(F.concat(

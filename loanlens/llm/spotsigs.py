@@ -189,7 +189,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        F.col("p.token").alias("token"))
                .select(F.xxhash64("part", "token").alias("bucket"), "node", "tokens_n"))
     payloads = nodes.withColumn("weights", F.transform("tokens", lambda t: F.lit(1.0).cast("float")))
-    linked = link(shared_buckets(members.distinct()), payloads, threshold)
+    linked = store(link(shared_buckets(members.distinct()), payloads, threshold))
     placed = store(rows.select("doc_id", "node").join(linked, "node", "left")
                    .select("doc_id", F.coalesce("class", "node").alias("class")))
     named = store(placed.groupBy("class").agg(F.min("doc_id").alias("class_id")))
