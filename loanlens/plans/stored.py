@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import store
+from ..session import drops, store
 
 # tables the lending inputs are derived from
 INPUTS = ("customer", "orders", "lineitem", "events")
@@ -36,12 +36,7 @@ def input_state(spark: SparkSession, sf_dir: str) -> tuple:
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, name, input_state(spark, sf_dir))
+    key = (spark.sparkContext.applicationId, drops(spark), sf_dir, name, input_state(spark, sf_dir))
     if key not in _TABLES:
         _TABLES[key] = store(build())
     return _TABLES[key]
-
-
-def forget() -> None:
-    """Build stored tables anew at the next use."""
-    _TABLES.clear()

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 # the checkpoint folder in use, by application
 _LOCAL_DIRS: dict[str, str] = {}
+# how often an application's tables were dropped
+_DROPS: dict[str, int] = {}
 # applications whose executors have been sent the package
 _SHIPPED: set[str] = set()
 
@@ -99,6 +101,13 @@ def drop_tables(spark: SparkSession) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(table_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    app = spark.sparkContext.applicationId
+    _DROPS[app] = _DROPS.get(app, 0) + 1
+
+
+def drops(spark: SparkSession) -> int:
+    """How often ``drop_tables`` ran; tables stored before are gone."""
+    return _DROPS.get(spark.sparkContext.applicationId, 0)
 
 
 def ship_package(spark: SparkSession) -> None:
