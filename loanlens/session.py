@@ -110,6 +110,19 @@ def drops(spark: SparkSession) -> int:
     return _DROPS.get(spark.sparkContext.applicationId, 0)
 
 
+def small_arrow_batches(spark: SparkSession, megabytes: int = 8, records: int = 2000) -> None:
+    """Hand rows to Python in batches of at most this size (the session's own
+    limits where they are lower): with Spark's 64 MB a task holds several
+    hundred MB of batches on both sides when rows are long."""
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", megabytes << 20),
+                      ("spark.sql.execution.arrow.maxRecordsPerBatch", records)):
+        text = str(spark.conf.get(key)).lower()
+        units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+        now = int(text[:-1]) * units[text[-1]] if text[-1] in units else int(text)
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once per application."""
     sc = spark.sparkContext
