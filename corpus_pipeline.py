@@ -19,7 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from loanlens.llm import bpe, exact_dedup, mixing, near_dedup, toxicity  # noqa: E402
 from loanlens.llm.common import DOCUMENT_COLUMNS, crc32_mod, documents  # noqa: E402
 from loanlens.llm.queries import TOKENIZER  # noqa: E402
-from loanlens.session import ensure_checkpoint_dir, ship_package, store  # noqa: E402
+from loanlens.session import ensure_checkpoint_dir, ship_package, small_arrow_batches, store  # noqa: E402
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,6 +72,7 @@ ORACLE_SQL = None
 def _prepare(spark: SparkSession) -> None:
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    small_arrow_batches(spark)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

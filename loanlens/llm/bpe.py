@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import text_of
 from .words import WORD_END, WordRules, byte_letters
 
-CACHE_PIECES = 200_000         # pieces a worker remembers; then it starts anew
-CACHE_WORDS = 400_000          # likewise, words
+CACHE_PIECES = 150_000         # pieces a worker remembers; then it starts anew
+CACHE_WORDS = 300_000          # likewise, words
 SEPARATOR = " "                # between vocabulary strings, as without a decoder
 
 

@@ -9,7 +9,7 @@ import numpy as np
 
 WORD = re.compile(r"\w+")
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-CACHE_WORDS = 200_000          # words a worker remembers
+CACHE_WORDS = 150_000          # words a worker remembers
 _known: dict[str, int] = {}
 
 

@@ -39,7 +39,7 @@ from .linking import link, shared_buckets
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
-DOCS_AT_ONCE, CHARS_AT_ONCE = 1024, 2_000_000      # texts a task handles together
+DOCS_AT_ONCE, CHARS_AT_ONCE = 1024, 1_000_000      # texts a task handles together
 
 def shingles(texts: list[str], size: int = SHINGLE):
     """The weighted shingles of each text: hashes ascending per text, weights,
