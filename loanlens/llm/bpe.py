@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import lean, text_of
 from .words import WORD_END, WordRules, byte_letters
 
 CACHE_PIECES = 150_000         # pieces a worker remembers; then it starts anew
@@ -191,7 +191,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, token_ids`` of every row."""
     return _rows(docs, id_col, text_col).mapInArrow(
-        _tokens(tokenizer_path), "doc_id long, n_tokens long, token_ids array<int>")
+        lean(_tokens(tokenizer_path)), "doc_id long, n_tokens long, token_ids array<int>")
 
 
 def decode(tokens: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -209,4 +209,4 @@ def round_trip_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_
                        text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: encode, then decode, every row."""
     return _rows(docs, id_col, text_col).mapInArrow(
-        _digests(tokenizer_path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        lean(_digests(tokenizer_path)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

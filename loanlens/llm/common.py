@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim          # glibc's; other C libraries lack it
+except (AttributeError, OSError):
+    _trim = None
+
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -24,3 +33,21 @@ def partitions(spark: SparkSession) -> int:
 def crc32_mod(id_column: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus`` (null id: null)."""
     return F.crc32(F.encode(F.col(id_column).cast("string"), "UTF-8")) % modulus
+
+
+def release_memory() -> None:
+    """Give memory that Arrow and the C library hold unused back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over batches, giving freed memory back at the end of each task:
+    Spark keeps idle Python workers, which would hold on to it."""
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+    return wrapped

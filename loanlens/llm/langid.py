@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import lean, text_of
 
 HIDDEN = 8
 WINDOW = 64
@@ -240,7 +240,7 @@ def fit(docs: DataFrame, use: Column | None = None, id_col: str = "doc_id", text
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], per_language / r["count"])])
     draw = F.pmod(F.xxhash64(F.lit(SEED), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
     got = (rows.where(draw < F.try_element_at(share, F.col("lang"))).select("body", "lang")
-           .mapInArrow(_sample_windows, "lang string, bytes binary").toArrow())
+           .mapInArrow(lean(_sample_windows), "lang string, bytes binary").toArrow())
     pairs = sorted(set(zip(got.column("lang").to_pylist(), got.column("bytes").to_pylist())))
     languages = sorted({lang for lang, _ in pairs})
     model = BidirectionalGru.start(languages)
@@ -275,4 +275,4 @@ def predict(docs: DataFrame, model: BidirectionalGru, id_col: str = "doc_id", te
                     names=["doc_id", "lang_pred", "score"])
 
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("body"))
-            .mapInArrow(run, "doc_id long, lang_pred string, score double"))
+            .mapInArrow(lean(run), "doc_id long, lang_pred string, score double"))

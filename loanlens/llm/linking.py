@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import store
+from .common import lean
 
 CHUNK_TOKENS = 1 << 18
 
@@ -172,7 +173,7 @@ def link(shared: DataFrame, payloads: DataFrame, threshold: float, chunk_tokens:
     of = lambda side: payloads.select(F.col("node").alias(side), F.col("tokens").alias(f"t{side}"),
                                       F.col("weights").alias(f"w{side}"))
     first = store(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "wa", "tb", "wb")
-                  .mapInArrow(_verify(threshold), "a binary, b binary"))
+                  .mapInArrow(lean(_verify(threshold)), "a binary, b binary"))
     joined = store(components(first))
 
     placed = (shared.join(joined, "node", "left").withColumn("class", F.coalesce("class", "node")))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import store
-from .common import text_of
+from .common import lean, text_of
 from .hashing import GOLDEN, WORD, mix, word_hashes
 from .linking import link, shared_buckets
 
@@ -150,7 +150,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``doc_id, node, tokens_n, bands`` of every row (no bands without words)."""
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("body"))
-            .mapInArrow(_sign(size, bands, rows), "doc_id long, node binary, tokens_n long, bands array<long>"))
+            .mapInArrow(lean(_sign(size, bands, rows)), "doc_id long, node binary, tokens_n long, bands array<long>"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
@@ -168,7 +168,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     some = store(some.select("some_id").distinct())
     texts = (docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("body"))
              .join(some, F.col("doc_id").eqNullSafe(F.col("some_id")), "left_semi"))
-    payloads = store(texts.mapInArrow(_payload(size), "node binary, tokens array<long>, weights array<float>")
+    payloads = store(texts.mapInArrow(lean(_payload(size)), "node binary, tokens array<long>, weights array<float>")
                      .dropDuplicates(["node"]))
     linked = store(link(shared, payloads, threshold))
 

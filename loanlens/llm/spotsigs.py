@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import store
-from .common import partitions, text_of
+from .common import lean, partitions, text_of
 from .hashing import GOLDEN, WORD, mix, word_hashes
 from .linking import link, shared_buckets
 
@@ -155,7 +155,7 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = rows.select("slice", F.lit(0).alias("ghost"), "doc_id", "body").union(ghosts)
     return (dealt.repartition(partitions(spark), "slice")
             .sortWithinPartitions("slice", "ghost", F.col("doc_id").desc_nulls_last(), "body")
-            .mapInArrow(_compare, _RESULT))
+            .mapInArrow(lean(_compare), _RESULT))
 
 
 def _sets(batches):
@@ -175,7 +175,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``doc_id, class_id`` (smallest id of the class) of every row.  Texts
     without words share one class."""
     rows = store(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("body"))
-                 .mapInArrow(_sets, "doc_id long, node binary, tokens array<long>"))
+                 .mapInArrow(lean(_sets), "doc_id long, node binary, tokens array<long>"))
     nodes = store(rows.where(F.size("tokens") > 0).select("node", "tokens").dropDuplicates(["node"]))
     each = nodes.select("node", F.explode("tokens").alias("token"))
     frequency = each.groupBy("token").agg(F.count(F.lit(1)).alias("sets"))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, text_of
+from .common import lean, partitions, text_of
 from .words import WordRules, byte_letters
 
 END_ID = 2
@@ -163,7 +163,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("body"))
     (rows.repartitionByRange(files or partitions(docs.sparkSession), "doc_id")
      .sortWithinPartitions("doc_id", "body")
-     .mapInArrow(_encode_part(tokenizer_path, end_id), _SCHEMA)
+     .mapInArrow(lean(_encode_part(tokenizer_path, end_id)), _SCHEMA)
      .write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", bloom_fpp)
      .option("orc.create.index", "true").option("orc.row.index.stride", row_index_stride)
      .option("orc.stripe.size", stripe_bytes).option("compression", "zstd").orc(path))
@@ -193,7 +193,7 @@ def digest(tokens: DataFrame) -> DataFrame:
     totals = tokens.groupBy("part").agg(F.sum("n_tokens").alias("ids"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)   # one row per file
     offsets = totals.select("part", F.coalesce(F.sum("ids").over(earlier), F.lit(0).cast("long")).alias("before"))
-    rows = tokens.mapInArrow(_crc32, "doc_id long, part int, pos long, start_in_part long, n_tokens long, "
+    rows = tokens.mapInArrow(lean(_crc32), "doc_id long, part int, pos long, start_in_part long, n_tokens long, "
                                      "ids_crc32 long")
     return (rows.join(offsets, "part")
             .select("doc_id", (F.col("before") + F.col("start_in_part")).alias("start"),

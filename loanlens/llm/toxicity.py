@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import lean, text_of
 
 HASH_BITS = 20
 PREFIXES = (3, 4, 5)
@@ -173,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, id_col: s
               .orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(max_train))
     rows = (docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("body"))
             .join(F.broadcast(sample), "id").select("toxic", "body", "id")
-            .mapInArrow(lambda bs: _bucket_batches(b.select(["toxic", "body"]) for b in bs),
+            .mapInArrow(lean(lambda bs: _bucket_batches(b.select(["toxic", "body"]) for b in bs)),
                         "buckets array<int>, toxic int"))
     got = rows.toArrow()                      # bounded: max_train rows of hashed buckets
     lists = got.column("buckets").combine_chunks()
@@ -205,7 +205,7 @@ def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id",
                 names=["doc_id", "score", "predicted"])
 
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("body"))
-            .mapInArrow(run, "doc_id long, score double, predicted int"))
+            .mapInArrow(lean(run), "doc_id long, score double, predicted int"))
 
 
 def keep_clean(docs: DataFrame, model: FactorizationMachine, text_col: str = "text",
@@ -220,4 +220,4 @@ def keep_clean(docs: DataFrame, model: FactorizationMachine, text_col: str = "te
             keep = _score_texts(shared.value, batch.column(at).to_pylist()) < threshold
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
