@@ -7,7 +7,10 @@ Poisson process whose rate is its weight, every arrival lands in one of
 first.  A document stops once the next arrival of each shingle comes later
 than its latest register.  Two documents agree in a register with the
 probability Jaccard index of their weighted sets, so at an index of 0.8 they
-share one of 25 bands of 5 registers with probability 0.99995.
+share one of 25 bands of 5 registers with probability 0.99995.  The same
+hashes with equal weights give the bands of the plain sets, whose registers
+agree with their Jaccard index; where a document's weights are all equal the
+two are the same.  Each index that links is thus retrieved by its own bands.
 
 Documents with equal weighted sets are one node; nodes that share a band are
 verified exactly and classed by ``linking`` (an exact similarity of
@@ -101,6 +104,24 @@ def _band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _bands(tokens: np.ndarray, weights: np.ndarray, bounds: np.ndarray, bands: int, rows: int):
+    """The band keys of each text's weighted set and of its plain set, each
+    key once, and the bounds of each text in them (none for an empty text)."""
+    sizes = np.diff(bounds)
+    weighted = _band_keys(prob_min_hash(tokens, weights, bounds, bands * rows), bands, rows)
+    # equal weights only scale the times: the plain registers are the same
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    first = np.append(weights, 1)[bounds[:-1]]
+    uneven = np.zeros(len(sizes), bool)
+    uneven[doc[weights != first[doc]]] = True
+    plain = np.zeros_like(weighted)
+    inside = uneven[doc]
+    plain[uneven] = _band_keys(prob_min_hash(tokens[inside], np.ones(inside.sum(), np.float32),
+                                             np.concatenate([[0], np.cumsum(sizes[uneven])]), bands * rows), bands, rows)
+    use = np.concatenate([np.repeat(sizes[:, None] > 0, bands, 1), uneven[:, None] & (plain != weighted)], 1)
+    return np.concatenate([weighted, plain], 1)[use], np.concatenate([[0], np.cumsum(use.sum(1))])
+
+
 def _node(tokens: np.ndarray, weights: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes() + weights.tobytes(), digest_size=16).digest()
 
@@ -121,13 +142,11 @@ def _parts(batches, size):
 def _sign(size: int, bands: int, rows: int):
     def run(batches):
         for part, tokens, weights, bounds in _parts(batches, size):
-            keys = _band_keys(prob_min_hash(tokens, weights, bounds, bands * rows), bands, rows)
-            found = np.diff(bounds) > 0
+            keys, offsets = _bands(tokens, weights, bounds, bands, rows)
             nodes = [_node(tokens[a:b], weights[a:b]) for a, b in zip(bounds, bounds[1:])]
-            offsets = np.concatenate([[0], np.cumsum(found * bands)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(nodes, pa.binary()), pa.array(np.diff(bounds), pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[found].ravel(), pa.int64()))],
+                 pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(keys, pa.int64()))],
                 names=["doc_id", "node", "tokens_n", "bands"])
     return run
 

@@ -79,6 +79,36 @@ def test_documents_against_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.class_id) for r in got.values())
 
 
+def repeated_line(seed):
+    """A text, and the same text with a line repeated: the plain index is over
+    0.8, the weighted one near 0.5."""
+    base = [f"t{seed}_{i}" for i in range(90)]
+    line = [f"r{seed}_{i}" for i in range(12)]
+    return [" ".join(base), " ".join(base + line * 50)]
+
+
+def test_pairs_alike_by_the_plain_index_only_share_a_band(spark):
+    texts = [t for seed in range(60) for t in repeated_line(seed)]
+    with np.errstate(over="ignore"):
+        (ta, wa), (tb, wb) = payloads_of(texts[:2])
+    common = len(np.intersect1d(ta, tb))
+    assert common / (len(ta) + len(tb) - common) >= 0.8 and linking.probability_jaccard(ta, wa, tb, wb) < 0.6
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
+    assert got == {i: i - i % 2 for i in range(120)}
+
+
+def test_band_keys_of_weighted_and_plain_sets():
+    texts = ["", "one two three four five six seven", "a b c d e f a b c d e f", repeated_line(0)[1]]
+    with np.errstate(over="ignore"):
+        tokens, weights, bounds = near_dedup.shingles(texts)
+        keys, at = near_dedup._bands(tokens, weights, bounds, 25, 5)
+    own = [keys[a:b].tolist() for a, b in zip(at, at[1:])]
+    assert all(len(set(k)) == len(k) for k in own)                # a bucket lists a text once
+    assert len(own[0]) == 0 and len(own[1]) == 25                # all weights equal: the sets agree
+    assert len(own[3]) > 25
+
+
 def family(n, words=60, seed=4, edits=6):
     """Copies of one text with a few words replaced, alone at random places."""
     rng = random.Random(seed)
