@@ -18,10 +18,10 @@ verified exactly and classed by ``linking`` (an exact similarity of
 or the Jaccard index of the plain sets).
 
 Cases: null text is empty; a text of fewer than ``SHINGLE`` words is one
-shingle; texts without words are alone in their classes unless their id is
-the same; repeated rows and equal texts share a class; null ids are smallest
-and name a class only if all its ids are null; an empty table gives an empty
-result; extra columns are ignored by ``classes`` and kept by ``survivors``.
+shingle; texts without words are classed by their whole text; repeated rows
+and equal texts share a class; null ids are smallest and name a class only if
+all its ids are null; an empty table gives an empty result; extra columns are
+ignored by ``classes`` and kept by ``survivors``.
 """
 
 from __future__ import annotations
@@ -126,6 +126,10 @@ def _node(tokens: np.ndarray, weights: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes() + weights.tobytes(), digest_size=16).digest()
 
 
+def _wordless(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16, person=b"wordless").digest()
+
+
 def _parts(batches, size):
     for batch in batches:
         lo = 0
@@ -143,7 +147,8 @@ def _sign(size: int, bands: int, rows: int):
     def run(batches):
         for part, tokens, weights, bounds in _parts(batches, size):
             keys, offsets = _bands(tokens, weights, bounds, bands, rows)
-            nodes = [_node(tokens[a:b], weights[a:b]) for a, b in zip(bounds, bounds[1:])]
+            nodes = [_node(tokens[a:b], weights[a:b]) if a < b else _wordless(text)
+                     for a, b, text in zip(bounds, bounds[1:], part.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(nodes, pa.binary()), pa.array(np.diff(bounds), pa.int64()),
                  pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(keys, pa.int64()))],
@@ -191,11 +196,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
                      .dropDuplicates(["node"]))
     linked = store(link(shared, payloads, threshold))
 
-    # texts without words are told apart by their id
-    alone = F.when(F.col("tokens_n") > 0, F.col("node")).otherwise(F.unhex(F.md5(F.concat(
-        F.lit("id:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))))
     placed = store(signed.join(linked, "node", "left")
-                   .select("doc_id", F.coalesce("class", alone).alias("class")))
+                   .select("doc_id", F.coalesce("class", "node").alias("class")))
     # stored, so that a large class is only a key of a join, whose rows can be split
     named = store(placed.groupBy("class").agg(F.min("doc_id").alias("class_id"),
                                               F.count(F.lit(1)).alias("class_size")))

@@ -164,3 +164,11 @@ def test_odd_documents(spark):
     assert {text_of((r.doc_id, r.text)) for r in kept.collect()} == {text_of(r) for r in ROWS}
     assert near_dedup.classes(odd_docs(spark, [])).collect() == []
     assert near_dedup.survivors(odd_docs(spark, [])).collect() == []
+
+
+def test_equal_texts_without_words_share_a_class(spark):
+    texts = {1: "", 2: None, 3: "...", 4: "...", 5: "?!", 6: "", None: "...", 7: "word", 8: "word"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.class_size) for r in near_dedup.classes(docs).collect()}
+    assert got == {1: (1, 3), 2: (1, 3), 6: (1, 3), 3: (3, 3), 4: (3, 3), None: (3, 3), 5: (5, 1), 7: (7, 2), 8: (7, 2)}
+    assert sorted(r.doc_id for r in near_dedup.survivors(docs).collect()) == [1, 3, 5, 7]
