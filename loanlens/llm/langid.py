@@ -214,16 +214,15 @@ def _windows(data: np.ndarray, bounds: np.ndarray):
 
 def _sample_windows(batches):
     for batch in batches:
-        data, langs = [], []
-        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        data = []
+        for text in batch.column(0).to_pylist():
             raw = text.encode("utf-8", "replace")
             rng = np.random.default_rng(zlib.crc32(raw))
             last = max(0, len(raw) - WINDOW)
-            for at in sorted(set(rng.integers(0, last + 1, WINDOWS_PER_DOCUMENT).tolist())):
-                data.append(raw[at:at + WINDOW].ljust(WINDOW, b"\0"))
-                langs.append(lang)
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(data, pa.binary())],
-                                         names=["lang", "bytes"])
+            data.append([raw[at:at + WINDOW].ljust(WINDOW, b"\0")
+                         for at in sorted(set(rng.integers(0, last + 1, WINDOWS_PER_DOCUMENT).tolist()))])
+        yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(data, pa.list_(pa.binary()))],
+                                         names=["id", "lang", "windows"])
 
 
 def fit(docs: DataFrame, use: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
@@ -239,8 +238,12 @@ def fit(docs: DataFrame, use: Column | None = None, id_col: str = "doc_id", text
     # a language's rows pass with the probability that leaves about per_language of them
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], per_language / r["count"])])
     draw = F.pmod(F.xxhash64(F.lit(SEED), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
-    got = (rows.where(draw < F.try_element_at(share, F.col("lang"))).select("body", "lang")
-           .mapInArrow(lean(_sample_windows), "lang string, bytes binary").toArrow())
+    # an id on several rows of a language counts once, so the sample bounds what the driver gets
+    got = (rows.where(draw < F.try_element_at(share, F.col("lang"))).select("body", "lang", "id")
+           .mapInArrow(lean(_sample_windows),
+                       f"id {rows.schema['id'].dataType.simpleString()}, lang string, windows array<binary>")
+           .groupBy("id", "lang").agg(F.min("windows").alias("windows"))
+           .select("lang", F.explode("windows").alias("bytes")).toArrow())
     pairs = sorted(set(zip(got.column("lang").to_pylist(), got.column("bytes").to_pylist())))
     languages = sorted({lang for lang, _ in pairs})
     model = BidirectionalGru.start(languages)

@@ -158,8 +158,8 @@ def _forward(cols, row, n, w0, w, v):
 def _bucket_batches(batches):
     for batch in batches:
         found = [buckets_of(t) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(0)],
-                                         names=["buckets", "toxic"])
+        yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(found, pa.list_(pa.int32())), batch.column(0)],
+                                         names=["id", "buckets", "toxic"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, id_col: str = "doc_id",
@@ -172,10 +172,11 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, id_col: s
               .groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
               .orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(max_train))
     rows = (docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("body"))
-            .join(F.broadcast(sample), "id").select("toxic", "body", "id")
-            .mapInArrow(lean(lambda bs: _bucket_batches(b.select(["toxic", "body"]) for b in bs)),
-                        "buckets array<int>, toxic int"))
-    got = rows.toArrow()                      # bounded: max_train rows of hashed buckets
+            .join(F.broadcast(sample), "id").select("toxic", "body", "id"))
+    # an id on several rows counts once, so the driver gets max_train rows of hashed buckets at most
+    got = (rows.mapInArrow(lean(_bucket_batches),
+                           f"id {rows.schema['id'].dataType.simpleString()}, buckets array<int>, toxic int")
+           .groupBy("id").agg(F.min(F.struct("buckets", "toxic")).alias("row")).select("row.*").toArrow())
     lists = got.column("buckets").combine_chunks()
     lists = lists if isinstance(lists, pa.ListArray) else pa.chunked_array(lists).combine_chunks()
     values, bounds = lists.values.to_numpy(), lists.offsets.to_numpy()

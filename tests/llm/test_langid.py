@@ -94,3 +94,11 @@ def test_odd_documents(spark):
     single = langid.fit(docs.where(F.col("lang") == "en"))
     assert {r.lang_pred for r in langid.predict(docs, single).collect()} == {"en", "und"}
     assert langid.predict(odd_docs(spark, []), model).collect() == []
+
+
+def test_a_repeated_id_is_one_training_document(spark, monkeypatch):
+    rows = [(k, f"{w} {i} " * 40, w) for k, w in ((1, "hello"), (2, "bonjour")) for i in range(200)]
+    seen = []
+    monkeypatch.setattr(langid.BidirectionalGru, "train", lambda self, windows, labels, steps: seen.append(len(windows)))
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(seen) == 1 and 2 <= seen[0] <= 2 * langid.WINDOWS_PER_DOCUMENT

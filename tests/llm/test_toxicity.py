@@ -65,3 +65,15 @@ def test_odd_documents(spark):
         one = toxicity.fit(docs, some)
         assert len({r.score for r in toxicity.score(docs, one).collect()}) == 1
     assert toxicity.score(odd_docs(spark, []), model).collect() == []
+
+
+def test_a_repeated_id_is_one_training_row(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"copy {i} of it") for i in range(300)] + [(2, "another text"), (3, None)],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    fitted = []
+    real = toxicity.FactorizationMachine.fit
+    monkeypatch.setattr(toxicity.FactorizationMachine, "fit",
+                        lambda rows, toxic: fitted.append((len(rows), toxic.tolist())) or real(rows, toxic))
+    toxicity.fit(docs, labels)
+    assert [(n, sorted(t)) for n, t in fitted] == [(3, [0.0, 0.0, 1.0])]
