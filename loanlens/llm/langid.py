@@ -8,9 +8,10 @@ states labels every byte position, and a document's probabilities are the
 mean over its letter positions (ASCII letters and bytes of 128 and up).
 
 The network is trained in numpy by backpropagation through time (Adam) on the
-driver.  Its training rows are bounded: about ``PER_LANGUAGE`` documents for
-each of the ``MAX_LANGUAGES`` most frequent languages, chosen by a hash of
-the id, ``WINDOWS_PER_DOCUMENT`` windows of each.  Prediction runs in Arrow
+driver.  It learns every language of the table.  The training rows of each are
+bounded: about ``PER_LANGUAGE`` documents, fewer (``SAMPLE`` in all, but
+``LEAST_PER_LANGUAGE`` or more) when the languages are many, chosen by a hash
+of the id, ``WINDOWS_PER_DOCUMENT`` windows of each.  Prediction runs in Arrow
 batches on every row; nothing shuffles.
 
 Cases: null text or text without any letter: ``und``, score 0; null
@@ -33,8 +34,9 @@ from .common import lean, text_of
 
 HIDDEN = 8
 WINDOW = 64
-MAX_LANGUAGES = 64
 PER_LANGUAGE = 400
+SAMPLE = 25_600
+LEAST_PER_LANGUAGE = 32
 WINDOWS_PER_DOCUMENT = 8
 STEPS = 300
 BATCH = 256
@@ -146,14 +148,16 @@ class BidirectionalGru:
         x, of, used = _windows(data, bounds)
         total = np.zeros((len(bounds) - 1, len(self.languages)))
         letters = np.zeros(len(bounds) - 1)
-        for lo in range(0, len(x), WINDOWS_AT_ONCE):
-            some = np.ascontiguousarray(x[lo:lo + WINDOWS_AT_ONCE].T)
-            mask = _LETTER[some] & (np.arange(WINDOW)[:, None] < used[lo:lo + WINDOWS_AT_ONCE])
+        # each byte has a probability for every language: fewer windows when these are many
+        n = max(1, WINDOWS_AT_ONCE * 64 // max(64, len(self.languages)))
+        for lo in range(0, len(x), n):
+            some = np.ascontiguousarray(x[lo:lo + n].T)
+            mask = _LETTER[some] & (np.arange(WINDOW)[:, None] < used[lo:lo + n])
             p, _, _, _ = self._positions(some)
             p = p.reshape(len(self.languages), *some.shape)
             p *= mask
-            np.add.at(total, of[lo:lo + WINDOWS_AT_ONCE], p.sum(1, dtype=np.float64).T)
-            np.add.at(letters, of[lo:lo + WINDOWS_AT_ONCE], mask.sum(0))
+            np.add.at(total, of[lo:lo + n], p.sum(1, dtype=np.float64).T)
+            np.add.at(letters, of[lo:lo + n], mask.sum(0))
         return total / np.maximum(letters, 1)[:, None]
 
     def loss_and_gradients(self, x: np.ndarray, y: np.ndarray):
@@ -231,15 +235,16 @@ def fit(docs: DataFrame, use: Column | None = None, id_col: str = "doc_id", text
     rows = docs.where(use) if use is not None else docs
     rows = (rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"), F.col(lang_col).alias("lang"))
             .where(F.col("id").isNotNull() & F.col("body").isNotNull() & F.col("lang").isNotNull()))
-    counts = (rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang")
-              .limit(MAX_LANGUAGES).collect())                     # at most MAX_LANGUAGES rows
+    counts = rows.groupBy("lang").count().collect()                # a row per language
     if not counts:
         return BidirectionalGru.start([])
-    # a language's rows pass with the probability that leaves about per_language of them
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], per_language / r["count"])])
+    # a language's rows pass with the probability that leaves about this many of them
+    most = min(per_language, max(LEAST_PER_LANGUAGE, SAMPLE // len(counts)))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], most / r["count"]) for r in counts],
+                                               "lang string, share double")
     draw = F.pmod(F.xxhash64(F.lit(SEED), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
     # an id on several rows of a language counts once, so the sample bounds what the driver gets
-    got = (rows.where(draw < F.try_element_at(share, F.col("lang"))).select("body", "lang", "id")
+    got = (rows.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("body", "lang", "id")
            .mapInArrow(lean(_sample_windows),
                        f"id {rows.schema['id'].dataType.simpleString()}, lang string, windows array<binary>")
            .groupBy("id", "lang").agg(F.min("windows").alias("windows"))

@@ -102,3 +102,12 @@ def test_a_repeated_id_is_one_training_document(spark, monkeypatch):
     monkeypatch.setattr(langid.BidirectionalGru, "train", lambda self, windows, labels, steps: seen.append(len(windows)))
     langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert len(seen) == 1 and 2 <= seen[0] <= 2 * langid.WINDOWS_PER_DOCUMENT
+
+
+def test_rare_languages_are_learned_too(spark):
+    names = [f"l{i:02}" for i in range(70)]
+    rows = [(i * 100 + k, f"{name} words number {k}", name) for i, name in enumerate(names) for k in range(2 + i % 3)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), steps=2)
+    assert model.languages == names
+    text = b"some words " * 3000
+    assert np.allclose(model.pooled(np.frombuffer(text, np.uint8), np.array([0, len(text)])).sum(), 1)
