@@ -1,5 +1,6 @@
 """Stored tables: reused while their inputs stay, built again when dropped."""
 
+import bench
 from loanlens.plans.stored import stored
 from loanlens.session import drop_tables, store
 
@@ -26,3 +27,15 @@ def test_a_stored_table_is_read_with_pruning(spark):
     plan = df.where("id = 3").select("twice")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<id:bigint,twice:bigint>" in plan and "EqualTo(id,3)" in plan
     assert df.where("id = 3").select("twice").collect()[0][0] == 6
+
+
+def test_every_run_of_the_benchmark_builds_its_tables(spark):
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.range(5)
+
+    for _ in range(3):
+        bench._run_spark(lambda s, sf: stored(s, sf, "timed", build), spark, SF)
+    assert len(built) == 3
