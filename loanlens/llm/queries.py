@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table_folder
-from . import (bpe, exact_dedup, langid, license_scan, mixing, near_dedup, periodic_runs, secrets, spotsigs,
-               token_output, toxicity)
+from . import (bpe, exact_dedup, langid, license_scan, mixing, near_dedup, periodic_runs, secrets, spelling,
+               spotsigs, token_output, toxicity)
 from .common import crc32_mod, documents
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -74,6 +74,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir), edit=True)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(documents(spark, sf_dir), edit=True)
 
@@ -89,6 +93,7 @@ QUERIES = {
     "op8_spotsigs": op8_spotsigs,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_periodic_runs": op12_periodic_runs,
 }
 
