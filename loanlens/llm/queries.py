@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table_folder
-from . import (bpe, exact_dedup, langid, license_scan, mixing, near_dedup, periodic_runs, secrets, spelling,
+from . import (bpe, exact_dedup, html_text, langid, license_scan, mixing, near_dedup, periodic_runs, secrets, spelling,
                spotsigs, token_output, toxicity)
 from .common import crc32_mod, documents
 
@@ -82,6 +82,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(documents(spark, sf_dir), edit=True)
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_license_scan": op2_license_scan,
@@ -95,6 +99,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_html_extraction": op13_html_extraction,
 }
 
 def _op6_sql() -> str:
