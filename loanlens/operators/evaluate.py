@@ -25,10 +25,22 @@ def _score_counts(df: DataFrame, score: str, label: str) -> DataFrame:
             .agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg")))
 
 
-def roc_points(df: DataFrame, score: str = "risk_probability", label: str = "target") -> DataFrame:
-    """M6 - one point per distinct threshold t: tpr/fpr of ``score >= t``, and
-    the curve's start (0, 0) at an infinite threshold."""
-    ranked = running_totals(_score_counts(df, score, label), ["score"], ["pos", "neg"])
+def roc_points(df: DataFrame, score: str = "risk_probability", label: str = "target",
+               drop_collinear: bool = True) -> DataFrame:
+    """M6 - tpr/fpr of ``score >= t`` at distinct thresholds t, and the curve's
+    start (0, 0) at an infinite threshold.
+
+    By default points inside a straight stretch of the curve are left out, as
+    the usual ROC routine does: the steps to a point and on to the next lower
+    threshold are these two scores' counts, so a point stays if they differ or
+    if it is the highest or the lowest.  Without it every threshold stays."""
+    counts = _score_counts(df, score, label)
+    ranked = running_totals(counts, ["score"], ["pos", "neg"], previous=["pos", "neg"] if drop_collinear else None)
+    if drop_collinear:
+        highest = ((F.col("pos_before") + F.col("pos") == F.col("pos_total"))
+                   & (F.col("neg_before") + F.col("neg") == F.col("neg_total")))
+        bends = ((F.col("pos") != F.col("pos_previous")) | (F.col("neg") != F.col("neg_previous")))
+        ranked = ranked.where(F.col("pos_previous").isNull() | highest | bends)
     tp = F.col("pos_total") - F.col("pos_before")
     fp = F.col("neg_total") - F.col("neg_before")
     points = ranked.select(
@@ -40,20 +52,20 @@ def roc_points(df: DataFrame, score: str = "risk_probability", label: str = "tar
 
 
 def auc_ks(df: DataFrame, score: str = "risk_probability", label: str = "target") -> DataFrame:
-    """M5 + M7 - exact ROC AUC (ties count one half) and KS = max(tpr - fpr)."""
+    """M5 + M7 - exact ROC AUC (ties count one half) and KS = max(tpr - fpr);
+    both null where the rows are of one class only."""
     ranked = running_totals(_score_counts(df, score, label), ["score"], ["pos", "neg"])
     tp = F.col("pos_total") - F.col("pos_before")
     fp = F.col("neg_total") - F.col("neg_before")
-    gap = (tp.cast("double") / F.col("pos_total").cast("double")
-           - fp.cast("double") / F.col("neg_total").cast("double"))
+    share = lambda part, whole: part.cast("double") / F.nullif(whole, F.lit(0)).cast("double")
+    gap = share(tp, F.col("pos_total")) - share(fp, F.col("neg_total"))
     # pairs (positive, negative) with the negative scored lower, ties half
     wins = (F.col("pos").cast("decimal(18,0)")
             * (2 * F.col("neg_before").cast("decimal(18,0)") + F.col("neg")).cast("decimal(20,0)"))
-    return ranked.agg(
-        (F.sum(wins).cast("double")
-         / (F.lit(2.0) * F.first("pos_total").cast("double") * F.first("neg_total").cast("double")))
-        .alias("auc"),
-        F.greatest(F.lit(0.0), F.max(gap)).alias("ks"))
+    pairs = F.first("pos_total").cast("double") * F.first("neg_total").cast("double")
+    best = F.max(gap)
+    return ranked.agg((F.sum(wins).cast("double") / F.nullif(F.lit(2.0) * pairs, F.lit(0.0))).alias("auc"),
+                      F.when(best.isNotNull(), F.greatest(F.lit(0.0), best)).alias("ks"))
 
 
 def confusion_matrix(df: DataFrame, label: str = "target", prediction: str = "prediction") -> DataFrame:

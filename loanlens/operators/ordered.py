@@ -1,7 +1,7 @@
-"""Order statistics without a single-partition sort.
+"""Running totals and ranks without a single-partition sort.
 
-Ranks, exact percentiles, ROC curves and stratified splits all need, for a
-row, the total weight of the rows ordered before it.  A window with an
+Ranks and ROC curves need, for a row, the total weight of the rows ordered
+before it.  A window with an
 ``orderBy`` but no ``partitionBy`` would pull every row into one task.
 Instead, at every size:
 
@@ -19,40 +19,47 @@ The result is exact; only the load balance depends on the range sampling.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import store
 
-# A value table of at most this many rows is broadcast when joined back; its
-# rows are counted first, and a larger one is joined by shuffling.
-BROADCAST_ROWS = 10_000
-
 
 def running_totals(df: DataFrame, order: list[str], weights: list[str], by: list[str] | None = None,
-                   slices: int | None = None) -> DataFrame:
+                   slices: int | None = None, previous: list[str] | None = None) -> DataFrame:
     """Adds ``<w>_before`` (sum of ``w`` over rows of the same ``by`` group that
     come earlier in ascending ``order``) and ``<w>_total`` for every weight.
 
     Rows that tie on all order columns are ordered arbitrarily, so give
     distinct order values (e.g. a grouped count table) when that matters.
     Nulls order first.  Sums keep the type ``sum`` gives the weight.
+
+    ``previous`` adds ``<c>_previous``, the column's value in the row just
+    before (null for a group's first row).  Only a slice's first row needs
+    another slice: the last row of the group's nearest earlier one.
     """
-    by = list(by or [])
+    by, previous = list(by or []), list(previous or [])
     slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sliced = store(df.repartitionByRange(slices, *by, *order)
                    .withColumn("_slice", F.spark_partition_id()))
 
-    per_slice = sliced.groupBy(*by, "_slice").agg(*[F.sum(w).alias(f"_{w}_slice") for w in weights])
+    per_slice = sliced.groupBy(*by, "_slice").agg(
+        *[F.sum(w).alias(f"_{w}_slice") for w in weights],
+        *[F.max_by(c, F.struct(*order)).alias(f"_{c}_last") for c in previous])
     group = Window.partitionBy(*by)              # at most ``slices`` rows of a group
     earlier = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_slice.select(
         *[F.col(c).alias(f"_by_{i}") for i, c in enumerate(by)], F.col("_slice").alias("_of"),
         *[F.sum(f"_{w}_slice").over(earlier).alias(f"_{w}_off") for w in weights],
-        *[F.sum(f"_{w}_slice").over(group).alias(f"{w}_total") for w in weights])
+        *[F.sum(f"_{w}_slice").over(group).alias(f"{w}_total") for w in weights],
+        *[F.lag(f"_{c}_last").over(group.orderBy("_slice")).alias(f"_{c}_carried") for c in previous])
 
     local = Window.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     inside = sliced.withColumns({f"_{w}_local": F.sum(w).over(local) for w in weights})
+    if previous:
+        before = Window.partitionBy(*by, "_slice").orderBy(*order)
+        inside = inside.withColumns({"_first": F.row_number().over(before) == 1,
+                                     **{f"_{c}_near": F.lag(c).over(before) for c in previous}})
     same = inside["_slice"] == offsets["_of"]
     for i, c in enumerate(by):
         same = same & inside[c].eqNullSafe(offsets[f"_by_{i}"])
@@ -60,61 +67,20 @@ def running_totals(df: DataFrame, order: list[str], weights: list[str], by: list
     zero = F.lit(0)
     out = out.withColumns({f"{w}_before": F.coalesce(F.col(f"_{w}_off"), zero)
                            + F.coalesce(F.col(f"_{w}_local"), zero) for w in weights})
-    return out.select(*df.columns, *[c for w in weights for c in (f"{w}_before", f"{w}_total")])
-
-
-def value_counts(df: DataFrame, value: str, by: list[str] | None = None,
-                 extra: dict[str, Column] | None = None) -> DataFrame:
-    """One row per distinct (by, value) with its row count ``n`` (nulls dropped)."""
-    by = list(by or [])
-    aggs = [F.count(F.lit(1)).alias("n")] + [c.alias(k) for k, c in (extra or {}).items()]
-    return df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(*aggs)
-
-
-def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str] | None = None,
-                    slices: int | None = None, extra: dict[str, Column] | None = None) -> DataFrame:
-    """PERCENTILE_CONT for each (name -> p): linear interpolation at
-    position p * (n - 1) over the non-null values, per ``by`` group.
-
-    The input is reduced once to its distinct values with their row counts
-    ``n``; ``running_totals`` writes that table once and ranks it.  ``extra``
-    adds aggregates over the same table (columns ``value`` and ``n``; e.g.
-    min, max, an exact weighted sum), computed in the same final aggregation.
-
-    Output: the ``by`` columns, one double column per name, then ``extra``.
-    """
-    by = list(by or [])
-    ranked = running_totals(value_counts(df, value, by), [value], ["n"], by, slices)
-    v = F.col(value).cast("double")
-    lo_hi = []
-    for name, p in probs.items():
-        pos = (F.col("n_total") - 1).cast("double") * F.lit(float(p))
-        lo, hi = F.floor(pos), F.ceil(pos)
-        covers = lambda r: (F.col("n_before") <= r) & (r < F.col("n_before") + F.col("n"))
-        lo_hi += [F.max(F.when(covers(lo), v)).alias(f"_{name}_lo"),
-                  F.max(F.when(covers(hi), v)).alias(f"_{name}_hi"),
-                  F.first(pos - lo, ignorenulls=True).alias(f"_{name}_frac")]
-    extra = extra or {}
-    picked = ranked.groupBy(*by).agg(*lo_hi, *[c.alias(k) for k, c in extra.items()])
-    cols = [F.col(c) for c in by]
-    for name in probs:
-        lo, hi, frac = F.col(f"_{name}_lo"), F.col(f"_{name}_hi"), F.col(f"_{name}_frac")
-        cols.append(F.when(frac == 0, lo).otherwise(lo + (hi - lo) * frac).alias(name))
-    return picked.select(*cols, *extra.keys())
+    out = out.withColumns({f"{c}_previous": F.when(F.col("_first"), F.col(f"_{c}_carried")).otherwise(F.col(f"_{c}_near"))
+                           for c in previous})
+    return out.select(*df.columns, *[c for w in weights for c in (f"{w}_before", f"{w}_total")],
+                      *[f"{c}_previous" for c in previous])
 
 
-def rank_desc(df: DataFrame, value: str, out: str = "rank", slices: int | None = None,
-              broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def rank_desc(df: DataFrame, value: str, out: str = "rank", slices: int | None = None) -> DataFrame:
     """W5 - ``rank(ascending=False, method='min')``: 1 + number of rows with a
     strictly greater value; ties share the rank; null values get null.
 
-    Ranks are computed on the distinct-value table.  That table is stored and
-    counted: up to ``broadcast_rows`` rows it is broadcast, so no row of
-    ``df`` moves; a larger one is joined by shuffling.
+    Ranks are computed on the distinct values and joined back; the join is
+    left to AQE, which knows the stored table's size.
     """
-    ranked = running_totals(value_counts(df, value), [value], ["n"], None, slices)
-    table = store(ranked.select(value, (F.col("n_total") - F.col("n_before") - F.col("n") + 1)
-                                .cast("int").alias(out)))
-    if table.count() <= broadcast_rows:
-        table = F.broadcast(table)
+    counted = (df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n")))
+    ranked = running_totals(counted, [value], ["n"], None, slices)
+    table = ranked.select(value, (F.col("n_total") - F.col("n_before") - F.col("n") + 1).cast("int").alias(out))
     return df.join(table, on=value, how="left")

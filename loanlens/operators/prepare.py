@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip
-from .ordered import exact_quantiles, running_totals
+from .selection import column_quantiles
 
 # FIXED VALUES: the imputation groups of the original preparation.
 ZERO_FILL_COLUMNS = [
@@ -32,41 +32,19 @@ CATEGORICAL_COLUMNS = ["name_contract_type", "code_gender", "name_education_type
 ID_COLUMN, LABEL_COLUMN = "sk_id_curr", "target"
 UNKNOWN_OCCUPATION = "Unknown"
 CLIP_LIMIT = 10.0
+QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 TEST_SHARE_TENTHS = 2          # 20 % test share
 SPLIT_SEED = 42
-
-# Helper column names used by the melted (feature, value) form.
-_FEATURE, _VALUE = "feature", "value"
-
-
-def melt(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
-    """Wide -> long: one (feature, value) row per column per input row."""
-    keep = keep or []
-    pairs = F.array(*[F.struct(F.lit(c).alias(_FEATURE), F.col(f"`{c}`").cast("double").alias(_VALUE))
-                      for c in columns])
-    return (df.select(*keep, F.explode(pairs).alias("_p"))
-            .select(*keep, F.col(f"_p.{_FEATURE}").alias(_FEATURE),
-                    F.col(f"_p.{_VALUE}").alias(_VALUE)))
-
-
-def column_quantiles(df: DataFrame, columns: list[str], probs: dict[str, float]) -> dict[str, dict]:
-    """Exact interpolated quantiles of many columns in one distributed job.
-
-    Returns {column: {name: value}} - one small row per column.
-    """
-    q = exact_quantiles(melt(df, columns), _VALUE, probs, by=[_FEATURE])
-    out = {c: {name: None for name in probs} for c in columns}
-    for r in q.collect():  # bounded: one row per column
-        out[r[_FEATURE]] = {name: r[name] for name in probs}
-    return out
+HASH_BITS, PREFIX_BITS = 60, 12
+SPLIT_FETCH = 10_000           # rows of the last prefixes that are ranked on the driver
 
 
 def binary_quantiles(df: DataFrame, columns: list[str], probs: dict[str, float]) -> dict[str, dict]:
     """The quantiles of 0/1 columns, from their row counts and sums."""
     if not columns:
         return {}
-    r = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(columns)],
-               *[F.sum(F.col(c).cast("long")).alias(f"k{i}") for i, c in enumerate(columns)]).first()
+    r = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(columns)],
+               *[F.sum(F.col(f"`{c}`").cast("long")).alias(f"k{i}") for i, c in enumerate(columns)]).first()
     out = {}
     for i, c in enumerate(columns):
         n, zeros = r[f"n{i}"], r[f"n{i}"] - (r[f"k{i}"] or 0)
@@ -124,7 +102,7 @@ class OneHot:
         pairs = melt_text(df, columns).distinct()
         found: dict[str, list[str]] = {c: [] for c in columns}
         for r in pairs.collect():      # one row per output column, as the encoding itself has
-            found[r[_FEATURE]].append(r[_VALUE])
+            found[r["feature"]].append(r["value"])
         return cls({c: sorted(v)[1:] for c, v in found.items()})
 
     @property
@@ -139,11 +117,10 @@ class OneHot:
 
 
 def melt_text(df: DataFrame, columns: list[str]) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(c).alias(_FEATURE), F.col(c).cast("string").alias(_VALUE))
+    """Wide -> long: one (feature, value) row per non-null text."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("string").alias("value"))
                       for c in columns])
-    return (df.select(F.explode(pairs).alias("_p"))
-            .select(F.col(f"_p.{_FEATURE}").alias(_FEATURE), F.col(f"_p.{_VALUE}").alias(_VALUE))
-            .where(F.col(_VALUE).isNotNull()))
+    return df.select(F.inline(pairs)).where(F.col("value").isNotNull())
 
 
 def numeric_feature_columns(df: DataFrame, encoder: OneHot) -> list[str]:
@@ -159,23 +136,68 @@ def split_hash(id_col: str = ID_COLUMN, seed: int = SPLIT_SEED) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
+def split_thresholds(df: DataFrame, label: str, id_col: str, seed: int, fetch: int = SPLIT_FETCH) -> dict:
+    """{class: (hash, id)} of the last test row of each class.
+
+    The k-th smallest hash by prefixes: rows are counted by class and the
+    hash's leading bits, the prefix that holds the k-th row is kept, and its
+    next bits are counted, until the rows left are few enough to fetch and
+    rank.  Only counts are shuffled; ``PREFIX_BITS`` bits give at most 4096 rows
+    a class and round."""
+    h = split_hash(id_col, seed)
+    rows = df.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(
+        F.col(label).alias("label"), h.alias("hash"), F.col(id_col).alias("id"))
+    wanted: dict = {}          # class -> (prefix, bits of it, rows still to skip)
+    shift = HASH_BITS - PREFIX_BITS
+    prefix = F.shiftright("hash", shift)
+    found = rows.groupBy("label", prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n")).collect()   # prefixes only
+    totals: dict = {}
+    for r in found:
+        totals[r["label"]] = totals.get(r["label"], 0) + r["n"]
+    # round(0.2 n), halves up; the k-th row is the last of the test set
+    skip = {c: (n * TEST_SHARE_TENTHS * 2 + 10) // 20 - 1 for c, n in totals.items()}
+    open_ = {c: k for c, k in skip.items() if k >= 0}
+    while True:
+        sizes = {}
+        for c, left in open_.items():
+            for r in sorted((r for r in found if r["label"] == c), key=lambda r: r["prefix"]):
+                if left < r["n"]:
+                    wanted[c], open_[c], sizes[c] = r["prefix"], left, r["n"]
+                    break
+                left -= r["n"]
+        inside = F.lit(False)
+        for c in open_:
+            inside = inside | ((F.col("label") == F.lit(c)) & (F.shiftright("hash", shift) == F.lit(wanted[c])))
+        held = rows.where(inside)
+        if shift == 0 or sum(sizes.values()) <= fetch:
+            break
+        shift = max(0, shift - PREFIX_BITS)
+        found = held.groupBy("label", F.shiftright("hash", shift).alias("prefix")).agg(F.count(F.lit(1)).alias("n")).collect()
+    last: dict = {}
+    # equal rows (one id on many rows) are one row with its count
+    few = sorted(held.groupBy("label", "hash", "id").agg(F.count(F.lit(1)).alias("n")).collect(),
+                 key=lambda r: (r["hash"], r["id"]))
+    for c, left in open_.items():
+        for r in (r for r in few if r["label"] == c):
+            if left < r["n"]:
+                last[c] = (r["hash"], r["id"])
+                break
+            left -= r["n"]
+    return last
+
+
 def stratified_split(df: DataFrame, label: str = LABEL_COLUMN, id_col: str = ID_COLUMN,
                      seed: int = SPLIT_SEED) -> DataFrame:
     """F10 - adds ``split`` ('train'/'test'): within each class the rows with
     the smallest hashes, round(0.2 * class size) of them, are the test set.
-    Exact class shares.  Only (label, hash, id) is ranked (``running_totals``);
-    the last test row of each class then is a threshold that a filter applies
-    to the wide rows, which never move.  A null label or id is training data."""
+    Exact class shares.  The last test row of each class is found by prefix
+    counts and is a threshold that a filter applies to the rows, which never
+    move.  A null label or id is training data."""
     h = split_hash(id_col, seed)
-    narrow = (df.where(F.col(label).isNotNull() & F.col(id_col).isNotNull())
-              .select(F.col(label).alias("label"), h.alias("hash"), F.col(id_col).alias("id")))
-    ranked = running_totals(narrow.withColumn("one", F.lit(1)), ["hash", "id"], ["one"], by=["label"])
-    test_n = F.floor((F.col("one_total") * TEST_SHARE_TENTHS * 2 + 10) / 20)
-    last = ranked.where(F.col("one_before") == test_n - 1).collect()        # one row per class
     is_test = F.lit(False)
-    for r in last:
-        is_test = is_test | ((F.col(label) == r["label"]) & (
-            (h < r["hash"]) | ((h == r["hash"]) & (F.col(id_col) <= r["id"]))))
+    for c, (hashed, key) in split_thresholds(df, label, id_col, seed).items():
+        is_test = is_test | ((F.col(label) == F.lit(c)) & (
+            (h < hashed) | ((h == hashed) & (F.col(id_col) <= F.lit(key)))))
     return df.withColumn("split", F.when(is_test, "test").otherwise("train"))
 
 
@@ -190,11 +212,10 @@ class RobustScale:
     @classmethod
     def fit(cls, df: DataFrame, columns: list[str], binary: list[str] | None = None) -> "RobustScale":
         """``binary``: columns of 0 and 1, whose quartiles follow from their
-        counts in one aggregation; only the others are ranked."""
+        counts in one aggregation; only the others are searched."""
         binary = [c for c in binary or [] if c in columns]
-        probs = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
-        q = column_quantiles(df, [c for c in columns if c not in binary], probs)
-        q |= binary_quantiles(df, binary, probs)
+        q = column_quantiles(df, [c for c in columns if c not in binary], QUARTILES)
+        q |= binary_quantiles(df, binary, QUARTILES)
         center, spread = {}, {}
         for c in columns:
             iqr = (q[c]["q75"] or 0.0) - (q[c]["q25"] or 0.0)
@@ -213,15 +234,20 @@ class RobustScale:
 
 def describe_columns(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
     """A25 over many columns - ``describe()`` with one row per column: count,
-    mean and sample std (rounded), min, exact quartiles, max.  All come from
-    the table of distinct (column, value) pairs and their row counts ``n``."""
-    v, n = F.col(_VALUE), F.col("n")
-    rows, total, squares = F.sum(n).cast("double"), F.sum(v * n), F.sum(v * v * n)
-    spread = F.greatest(F.lit(0.0), squares - total * total / rows) / F.nullif(rows - 1, F.lit(0.0))
-    q = exact_quantiles(melt(df, columns), _VALUE, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, by=[_FEATURE], extra={
-        "count": F.sum(n), "mean": F.round(total / rows, digits) + 0.0, "std": F.round(F.sqrt(spread), digits),
-        "min": F.min(v), "max": F.max(v)})
-    return q.select(_FEATURE, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+    mean and sample std (rounded), min, exact quartiles, max.  Mean and std
+    come from Spark's merged central moments, which do not cancel on large
+    values; the quartiles are found by refinement."""
+    q = column_quantiles(df, columns, QUARTILES)
+    value = lambda c: F.col(f"`{c}`").cast("double")
+    row = df.agg(*[x for i, c in enumerate(columns) for x in (
+        F.count(value(c)).alias(f"n{i}"), F.avg(value(c)).alias(f"mean{i}"), F.stddev_samp(value(c)).alias(f"std{i}"),
+        F.min(value(c)).alias(f"min{i}"), F.max(value(c)).alias(f"max{i}"))])
+    number = lambda x: F.lit(x).cast("double")
+    return row.select(F.inline(F.array(*[F.struct(
+        F.lit(c).alias("feature"), F.col(f"n{i}").alias("count"), (F.round(F.col(f"mean{i}"), digits) + 0.0).alias("mean"),
+        F.round(F.col(f"std{i}"), digits).alias("std"), F.col(f"min{i}").alias("min"),
+        *[number(q[c][name]).alias(name) for name in QUARTILES], F.col(f"max{i}").alias("max"))
+        for i, c in enumerate(columns)])))
 
 
 def target_correlations(df: DataFrame, columns: list[str], label: str = LABEL_COLUMN) -> DataFrame:

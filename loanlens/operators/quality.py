@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import exact_mean, exact_quotient, int_div, sql_round
 from .clean import EMPLOYED_SENTINEL, GENDER_PLACEHOLDER, INCOME_CAP
-from .ordered import exact_quantiles
+from .selection import column_quantiles
 
 
 def _pct(part: Column, whole: Column, digits: int = 2) -> Column:
@@ -19,6 +19,11 @@ def _pct(part: Column, whole: Column, digits: int = 2) -> Column:
     return sql_round(exact_quotient(part.cast("decimal(30,4)") * 100, whole), digits).cast("double")
 
 
+def _constants(values: dict[str, float | None]) -> list[Column]:
+    """Fitted numbers as columns of doubles."""
+    return [F.lit(v).cast("double").alias(name) for name, v in values.items()]
+
+
 # ---------------------------------------------------------------- keys
 def key_violations(df: DataFrame, key: str | list[str]) -> DataFrame:
     """K1/K2 - key values that occur more than once, or are null, with counts."""
@@ -111,16 +116,12 @@ def category_frequency(df: DataFrame, column: str) -> DataFrame:
 def income_outliers(app: DataFrame, income: str = "amt_income_total") -> DataFrame:
     """A7 - min, max, mean (0 digits), exact median and 99th percentile.
 
-    All five come from one pass over the table of distinct incomes and their
-    row counts ``n``; the mean is the exact weighted sum over that table.
+    The mean is an exact decimal sum; the percentiles are found by refinement.
     """
-    v, n = F.col(income), F.col("n")
-    q = exact_quantiles(app, income, {"median_income": 0.5, "p99_income": 0.99}, extra={
-        "min_income": F.min(v).cast("double"),
-        "max_income": F.max(v).cast("double"),
-        "avg_income": sql_round(exact_quotient(F.sum(v * n), F.sum(n)), 0).cast("double"),
-    })
-    return q.select("min_income", "max_income", "avg_income", "median_income", "p99_income")
+    v = F.col(income)
+    q = column_quantiles(app, [income], {"median_income": 0.5, "p99_income": 0.99})[income]
+    return app.agg(F.min(v).cast("double").alias("min_income"), F.max(v).cast("double").alias("max_income"),
+                   sql_round(exact_mean(v), 0).cast("double").alias("avg_income"), *_constants(q))
 
 
 def count_above(df: DataFrame, column: str = "amt_income_total", ceiling: int = INCOME_CAP) -> DataFrame:
@@ -177,34 +178,31 @@ def lateness_distribution(inst: DataFrame, due: str = "days_instalment",
     late = (inst.where(F.col(paid).isNotNull())
             .select((F.col(paid) - F.col(due)).alias("days_late"))
             .where(F.col("days_late") > 0))
-    return exact_quantiles(late, "days_late", {"median_late": 0.5, "p95_late": 0.95, "p99_late": 0.99},
-                           extra={"max_late": F.max("days_late").cast("double")})
+    q = column_quantiles(late, ["days_late"], {"median_late": 0.5, "p95_late": 0.95, "p99_late": 0.99})["days_late"]
+    return late.agg(F.max("days_late").cast("double").alias("max_late")).select(*_constants(q), "max_late")
 
 
 def numeric_summary(df: DataFrame, column: str, digits: int | None = None) -> DataFrame:
     """A25 - ``describe()``: count, mean, sample std, min, exact quartiles, max.
 
-    Everything is aggregated from the table of distinct values and their row
-    counts ``n`` in the quantile pass.  With ``digits`` (values known to carry
-    at most that many decimals) the mean and the variance are accumulated
-    exactly in integer units, so they do not depend on the order rows are
-    added in: var = (N * sum(n u^2) - sum(n u)^2) / (N (N - 1)).  Without it
-    the sample std is Spark's ``stddev_samp`` over the rows (a scalar
-    subquery).
+    With ``digits`` (values known to carry at most that many decimals) the
+    mean and the variance are accumulated exactly in integer units, so they do
+    not depend on the order rows are added in:
+    var = (N * sum(u^2) - sum(u)^2) / (N (N - 1)).  Without it they are Spark's
+    merged central moments.
     """
     c = F.col(column).cast("double")
-    v, n = F.col(column), F.col("n")
-    extra = {"count": F.coalesce(F.sum(n), F.lit(0)), "min": F.min(v), "max": F.max(v)}
+    mean, std = F.avg(c), F.stddev_samp(c)
     if digits is not None:
         scale = 10 ** digits
-        units = F.round(v * scale).cast("decimal(38,0)")
-        total, squares, rows = F.sum(units * n), F.sum(units * units * n), F.sum(n).cast("decimal(38,0)")
-        extra["mean"] = total.cast("double") / (F.lit(float(scale)) * F.nullif(F.sum(n), F.lit(0)).cast("double"))
+        units = F.round(c * scale).cast("decimal(19,0)")
+        total, rows = F.sum(units), F.count(c).cast("decimal(38,0)")
+        squares = F.sum((units * units).cast("decimal(38,0)"))
+        mean = total.cast("double") / (F.lit(float(scale)) * F.nullif(F.count(c), F.lit(0)).cast("double"))
         spread = (rows * squares - total * total).cast("double")
         pairs = F.nullif(rows * (rows - 1), F.lit(0)).cast("double")
-        extra["std"] = F.sqrt(spread / pairs) / F.lit(float(scale))
-    q = exact_quantiles(df.select(c.alias(column)), column, {"q25": 0.25, "q50": 0.5, "q75": 0.75},
-                        extra=extra)
-    if digits is None:
-        q = q.withColumns({"mean": df.agg(F.avg(c)).scalar(), "std": df.agg(F.stddev_samp(c)).scalar()})
-    return q.select("count", "mean", "std", "min", "max", "q25", "q50", "q75")
+        std = F.sqrt(spread / pairs) / F.lit(float(scale))
+    q = column_quantiles(df, [column], {"q25": 0.25, "q50": 0.5, "q75": 0.75})[column]
+    return (df.agg(F.count(c).alias("count"), mean.alias("mean"), std.alias("std"), F.min(c).alias("min"),
+                   F.max(c).alias("max"))
+            .select("*", *_constants(q)))

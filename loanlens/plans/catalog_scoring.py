@@ -382,6 +382,16 @@ FROM roc""")(lambda spark, d: evaluate.auc_ks(scorecard_test_rows(spark, d)))
 register("scorecard_roc_points", TEST_CTE + f"""
 SELECT score AS threshold, CAST(tp AS {D}) / CAST(NULLIF(p_total, 0) AS {D}) AS tpr,
   CAST(fp AS {D}) / CAST(NULLIF(n_total, 0) AS {D}) AS fpr FROM roc
+UNION ALL SELECT 'Infinity'::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE""")(
+    lambda spark, d: evaluate.roc_points(scorecard_test_rows(spark, d), drop_collinear=False))
+
+# a point between equal steps of the curve is left out
+register("scorecard_roc_curve", TEST_CTE + f"""
+SELECT score AS threshold, CAST(tp AS {D}) / CAST(NULLIF(p_total, 0) AS {D}) AS tpr,
+  CAST(fp AS {D}) / CAST(NULLIF(n_total, 0) AS {D}) AS fpr
+FROM (SELECT *, tp - lag(tp, 1, 0) OVER w - (lead(tp) OVER w - tp) AS bend_tp, row_number() OVER w AS nth,
+        fp - lag(fp, 1, 0) OVER w - (lead(fp) OVER w - fp) AS bend_fp FROM roc WINDOW w AS (ORDER BY score DESC))
+WHERE nth = 1 OR bend_tp IS NULL OR bend_tp <> 0 OR bend_fp <> 0
 UNION ALL SELECT 'Infinity'::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE""")(
     lambda spark, d: evaluate.roc_points(scorecard_test_rows(spark, d)))
 

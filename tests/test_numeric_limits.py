@@ -60,3 +60,28 @@ def test_split_moves_no_wide_row(spark):
     assert "Exchange" not in split._jdf.queryExecution().executedPlan().toString()
     got = {(r.target, r.split): r["count"] for r in split.groupBy("target", "split").count().collect()}
     assert got == {(1, "test"): 9, (1, "train"): 37, (0, "test"): 91, (0, "train"): 363}
+
+
+def test_one_class_has_no_auc(spark):
+    for label in (0, 1):
+        df = spark.createDataFrame([(0.9, label), (0.1, label)], "risk_probability double, target int")
+        assert tuple(evaluate.auc_ks(df).first()) == (None, None)
+
+
+def test_collinear_points_of_the_curve_are_left_out(spark):
+    import random
+    import numpy as np
+    rng = random.Random(6)
+    for trial in range(6):
+        rows = [(rng.randint(0, 40) / 40, rng.randint(0, 1)) for _ in range(rng.choice([2, 20, 300]))] + [(0.5, 0), (0.5, 1)]
+        if trial == 0:                        # straight stretches
+            rows = [(i / 20, int(i > 12)) for i in range(20)]
+        scores = sorted({s for s, _ in rows}, reverse=True)
+        tps = np.array([sum(y for s, y in rows if s >= t) for t in scores], float)
+        fps = np.array([sum(1 - y for s, y in rows if s >= t) for t in scores], float)
+        keep = np.r_[True, (np.diff(fps, 2) != 0) | (np.diff(tps, 2) != 0), True] if len(scores) > 2 else np.ones(len(scores), bool)
+        want = {(t, tp / tps[-1], fp / fps[-1]) for t, tp, fp, k in zip(scores, tps, fps, keep) if k}
+        df = spark.createDataFrame(rows, "risk_probability double, target int")
+        got = {tuple(r) for r in evaluate.roc_points(df).collect()}
+        assert got == want | {(float("inf"), 0.0, 0.0)}
+        assert len(got) < len(scores) + 1 or trial

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -6,8 +7,11 @@ from hypothesis import given, settings, strategies as st
 from conftest import rows
 import pytest
 
+from pyspark.sql import functions as F
+
 from loanlens.operators import prepare
-from loanlens.operators.ordered import exact_quantiles, rank_desc, running_totals
+from loanlens.operators.ordered import rank_desc, running_totals
+from loanlens.operators.selection import column_quantiles
 
 
 def test_running_totals_match_brute_force(spark):
@@ -47,11 +51,84 @@ def test_group_spanning_many_slices(spark):
 @given(st.lists(st.integers(-1000, 1000), min_size=1, max_size=60))
 def test_quantiles_match_numpy(spark, values):
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
-    r = exact_quantiles(df, "v", {"a": 0.25, "b": 0.5, "c": 0.99}, slices=3).first()
+    r = column_quantiles(df, ["v"], {"a": 0.25, "b": 0.5, "c": 0.99})["v"]
     for name, p in (("a", 0.25), ("b", 0.5), ("c", 0.99)):
         assert abs(r[name] - float(np.percentile(values, p * 100))) < 1e-9
 
 
+@pytest.mark.parametrize("sample", [8, 100, 20_000])
+def test_refinement_of_many_columns(spark, sample):
+    """Hot values, ties, nulls, constants, infinities and odd names; few samples take more rounds."""
+    rng = random.Random(sample)
+    n = 3000
+    columns = {"hot": [0.0 if rng.random() < 0.6 else rng.gauss(0, 1) for _ in range(n)],
+               "steps": [float(rng.randint(0, 3)) for _ in range(n)],
+               "one": [7.0] * n, "wide": [rng.choice([1e300, -1e300, rng.random()]) for _ in range(n)],
+               "a b.c": [rng.random() if i % 3 else None for i in range(n)],
+               "ends": [float("inf") if i % 50 == 0 else -float("inf") if i % 50 == 1 else float(i) for i in range(n)],
+               "none": [None] * n}
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"`{c}` double" for c in columns)).repartition(5)
+    got = column_quantiles(df, list(columns), {"lo": 0.0, "q": 0.25, "m": 0.5, "p": 0.9, "hi": 1.0}, sample)
+    for c, values in columns.items():
+        known = sorted(v for v in values if v is not None)
+        for name, p in (("lo", 0.0), ("q", 0.25), ("m", 0.5), ("p", 0.9), ("hi", 1.0)):
+            if not known:
+                assert got[c][name] is None
+                continue
+            at = p * (len(known) - 1)
+            low, high = known[math.floor(at)], known[math.ceil(at)]
+            assert got[c][name] == (low if at == math.floor(at) else low + (high - low) * (at - math.floor(at))), (c, name)
+
+
+def test_refinement_shuffles_no_rows(spark, monkeypatch):
+    """Only one row of pivots or counts leaves a task, however many rows and columns there are."""
+    from loanlens.operators import selection
+    plans = []
+
+    class Watched:
+        def __init__(self, df):
+            self.df = df
+
+        def agg(self, *columns):
+            out = self.df.agg(*columns)
+            plans.append(out._jdf.queryExecution().executedPlan().toString())
+            return out
+
+        def select(self, *columns):
+            return Watched(self.df.select(*columns))
+
+    df = spark.range(5000).select(*[(F.rand(i) * 100).alias(f"c{i}") for i in range(6)])
+    selection.column_quantiles(Watched(df), df.columns, prepare.QUARTILES, 300)
+    assert plans
+    for plan in plans:
+        assert "Generate" not in plan and "Expand" not in plan and "Sort " not in plan
+        assert plan.count("Exchange") == 1 and "Exchange SinglePartition" in plan
+
+
+def test_describe_of_large_values_with_small_spread(spark):
+    df = spark.createDataFrame([(1e9 - 1, 4.0), (1e9, None), (1e9 + 1, None)], "v double, w double").repartition(3)
+    got = {r.feature: r for r in prepare.describe_columns(df, ["v", "w"]).collect()}
+    assert (got["v"]["count"], got["v"]["mean"], got["v"]["std"]) == (3, 1e9, 1.0)
+    assert (got["w"]["count"], got["w"]["std"], got["w"]["q50"]) == (1, None, 4.0)
+    many = spark.range(1000).select((F.lit(1e9) + (F.col("id") % 3) - 1).alias("v"))
+    want = float(np.std(np.arange(1000) % 3, ddof=1))
+    assert abs(prepare.describe_columns(many, ["v"]).first()["std"] - want) < 1e-6
+
+
+def test_neighbours_across_slices(spark):
+    rng = random.Random(3)
+    data = [(g, float(v), rng.randint(1, 9)) for g in (0, 1) for v in rng.sample(range(500), 70)]
+    df = spark.createDataFrame(data, "g int, v double, w long")
+    want = {}
+    for g in (0, 1):
+        ordered = sorted((v, w) for gg, v, w in data if gg == g)
+        for i, (v, _) in enumerate(ordered):
+            want[g, v] = ordered[i - 1][1] if i else None
+    for slices in (1, 3, 16):
+        got = running_totals(df, ["v"], ["w"], by=["g"], slices=slices, previous=["w"]).collect()
+        assert {(r.g, r.v): r.w_previous for r in got} == want
+
+
 def test_rank_matches_pandas(spark):
     import pandas as pd
     vals = [round(random.Random(i).random() * 10, 1) for i in range(200)]
@@ -96,3 +173,19 @@ def test_stratified_split_shares(spark):
     assert counts[("test", 1)] == 20 and counts[("test", 0)] == 220
     again = {r["sk_id_curr"]: r["split"] for r in prepare.stratified_split(df).collect()}
     assert again == {r[0]: r[1] for r in split.select("sk_id_curr", "split").collect()}
+
+
+def test_split_by_prefixes_equals_a_full_rank(spark):
+    rng = random.Random(2)
+    data = [(rng.randint(0, 400), rng.choice([0, 0, 0, 1, None])) for _ in range(2500)] + [(None, 1), (7, 2)]
+    data += [(77, 0)] * 900                                   # one id on very many rows
+    df = spark.createDataFrame(data, "sk_id_curr long, target int")
+    hashed = {r[0]: r[1] for r in df.select("sk_id_curr", prepare.split_hash().alias("h")).distinct().collect()}
+    want = {}
+    for c in (0, 1, 2):
+        ranked = sorted((hashed[i], i) for i, t in data if t == c and i is not None)
+        k = (len(ranked) * 4 + 10) // 20
+        if k:
+            want[c] = ranked[k - 1]
+    for fetch in (10_000, 1):
+        assert prepare.split_thresholds(df, "target", "sk_id_curr", 42, fetch) == want
