@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import exact_mean, exact_quotient, int_div, sql_round
+from ..session import store
 from .clean import EMPLOYED_SENTINEL, GENDER_PLACEHOLDER, INCOME_CAP
 from .selection import column_quantiles
 
@@ -24,6 +25,11 @@ def _constants(values: dict[str, float | None]) -> list[Column]:
     return [F.lit(v).cast("double").alias(name) for name, v in values.items()]
 
 
+def _one_row(df: DataFrame, values: dict[str, float | None]) -> DataFrame:
+    """Fitted numbers as a table of one row."""
+    return df.sparkSession.range(1).select(*_constants(values))
+
+
 # ---------------------------------------------------------------- keys
 def key_violations(df: DataFrame, key: str | list[str]) -> DataFrame:
     """K1/K2 - key values that occur more than once, or are null, with counts."""
@@ -119,9 +125,11 @@ def income_outliers(app: DataFrame, income: str = "amt_income_total") -> DataFra
     The mean is an exact decimal sum; the percentiles are found by refinement.
     """
     v = F.col(income)
-    q = column_quantiles(app, [income], {"median_income": 0.5, "p99_income": 0.99})[income]
-    return app.agg(F.min(v).cast("double").alias("min_income"), F.max(v).cast("double").alias("max_income"),
-                   sql_round(exact_mean(v), 0).cast("double").alias("avg_income"), *_constants(q))
+    known = app.agg(F.count(v).alias("n"), F.min(v).cast("double").alias("min_income"),
+                    F.max(v).cast("double").alias("max_income"),
+                    sql_round(exact_mean(v), 0).cast("double").alias("avg_income")).first()
+    q = column_quantiles(app, [income], {"median_income": 0.5, "p99_income": 0.99}, counts={income: known["n"]})[income]
+    return _one_row(app, {**{c: known[c] for c in ("min_income", "max_income", "avg_income")}, **q})
 
 
 def count_above(df: DataFrame, column: str = "amt_income_total", ceiling: int = INCOME_CAP) -> DataFrame:
@@ -175,11 +183,14 @@ def class_balance(df: DataFrame, split: str = "split", target: str = "target") -
 def lateness_distribution(inst: DataFrame, due: str = "days_instalment",
                           paid: str = "days_entry_payment") -> DataFrame:
     """A12 - exact p50/p95/p99 and max of lateness over late, paid rows."""
-    late = (inst.where(F.col(paid).isNotNull())
-            .select((F.col(paid) - F.col(due)).alias("days_late"))
-            .where(F.col("days_late") > 0))
-    q = column_quantiles(late, ["days_late"], {"median_late": 0.5, "p95_late": 0.95, "p99_late": 0.99})["days_late"]
-    return late.agg(F.max("days_late").cast("double").alias("max_late")).select(*_constants(q), "max_late")
+    # stored: the refinement reads this one column several times, not the rows behind it
+    late = store(inst.where(F.col(paid).isNotNull())
+                 .select((F.col(paid) - F.col(due)).alias("days_late"))
+                 .where(F.col("days_late") > 0))
+    known = late.agg(F.count("days_late").alias("n"), F.max("days_late").cast("double").alias("max_late")).first()
+    q = column_quantiles(late, ["days_late"], {"median_late": 0.5, "p95_late": 0.95, "p99_late": 0.99},
+                         counts={"days_late": known["n"]})["days_late"]
+    return _one_row(late, {**q, "max_late": known["max_late"]})
 
 
 def numeric_summary(df: DataFrame, column: str, digits: int | None = None) -> DataFrame:

@@ -6,7 +6,8 @@ counts, to hold it.  A round is two aggregations over all columns at once:
 
 1. pivots: per open bracket the approximate percentiles around the position,
    from at most about ``SAMPLE`` of the values inside (drawn at random; fewer
-   values are taken all, and then the sketch is exact);
+   values are taken all; the percentile's error bound is then below half a
+   place, so its answer is the value and the search ends);
 2. counts: how many values lie below and at each pivot.
 
 The counts narrow the bracket to one pivot (found) or to the values strictly
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE = 20_000                # sketches have twice this accuracy, so they are exact for a sample of it
+SAMPLE = 20_000                # a sketch's error is at most inside / (2 * SAMPLE) places
 _DRAW = "_drawn"
 
 
@@ -52,12 +53,12 @@ def _double(c: str) -> Column:
 
 
 def _pivots(df: DataFrame, open_: list[_Bracket], sample: int, seed: int) -> dict[str, list[float]]:
-    """Values around the open positions of each column.  Positions of one
-    bracket share its sketch."""
+    """Values around the open positions of each column, or the value itself
+    where the sketch took all.  Positions of one bracket share its sketch."""
     shared: dict[tuple, list[_Bracket]] = {}
     for b in open_:
         shared.setdefault((b.column, b.low, b.high), []).append(b)
-    sketches = []
+    sketches, asked = [], []
     for (name, _, _), held in shared.items():
         c, first = _double(name), held[0]
         share = min(1.0, sample / first.inside)
@@ -68,12 +69,17 @@ def _pivots(df: DataFrame, open_: list[_Bracket], sample: int, seed: int) -> dic
             # wide enough for the sampling error; an exact sketch needs the middle only
             slack = 0.0 if share >= 1 else 4 * math.sqrt(p * (1 - p) / sample) + 2 / sample
             ps |= {max(0.0, p - slack), p, min(1.0, p + slack)}
-        sketches.append(F.percentile_approx(F.when(inside, c), F.array(*[F.lit(x) for x in sorted(ps)]),
+        asked.append(sorted(ps))
+        sketches.append(F.percentile_approx(F.when(inside, c), F.array(*[F.lit(x) for x in asked[-1]]),
                                             F.lit(2 * sample + 100)))
     row = df.select("*", F.rand(seed).alias(_DRAW)).agg(*[k.alias(f"p{i}") for i, k in enumerate(sketches)]).first()
     out: dict[str, list[float]] = {}
-    for i, (name, _, _) in enumerate(shared):
-        out.setdefault(name, []).extend(row[f"p{i}"] or [])
+    for i, ((name, _, _), held) in enumerate(shared.items()):
+        if held[0].inside <= sample:
+            for b in held:
+                b.value = row[f"p{i}"][asked[i].index((b.at - b.below + 0.5) / b.inside)]
+        else:
+            out.setdefault(name, []).extend(row[f"p{i}"] or [])
     return {name: list(dict.fromkeys(xs)) for name, xs in out.items()}
 
 
@@ -90,7 +96,7 @@ def _narrow(df: DataFrame, open_: list[_Bracket], pivots: dict[str, list[float]]
     by_column: dict[str, list[tuple[float, int, int]]] = {}
     for i, (name, x) in enumerate(at):
         by_column.setdefault(name, []).append((x, row[f"u{i}"], row[f"t{i}"]))
-    for b in open_:
+    for b in (b for b in open_ if b.value is None):
         above = b.below + b.inside                         # values up to the bracket's end
         for x, under, upto in by_column.get(b.column, ()):
             if under <= b.at < upto:
@@ -119,14 +125,15 @@ def order_statistics(df: DataFrame, positions: dict[str, list[int]], counts: dic
 
 
 def column_quantiles(df: DataFrame, columns: list[str], probs: dict[str, float],
-                     sample: int = SAMPLE) -> dict[str, dict[str, float | None]]:
+                     sample: int = SAMPLE, counts: dict[str, int] | None = None) -> dict[str, dict[str, float | None]]:
     """PERCENTILE_CONT of many columns: linear interpolation at position
     p * (n - 1) over the non-null values.  {column: {name: value}}, None for a
-    column without values."""
+    column without values.  ``counts``: the columns' non-null values, where known."""
     if not columns:
         return {}
-    n = df.agg(*[F.count(_double(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    counts = {c: n[f"n{i}"] for i, c in enumerate(columns)}
+    if counts is None:
+        n = df.agg(*[F.count(_double(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+        counts = {c: n[f"n{i}"] for i, c in enumerate(columns)}
     at = {c: {name: p * (counts[c] - 1) for name, p in probs.items()} for c in columns if counts[c]}
     positions = {c: [k for pos in wanted.values() for k in (math.floor(pos), math.ceil(pos))] for c, wanted in at.items()}
     found = order_statistics(df, positions, counts, sample)
