@@ -8,13 +8,16 @@ registered as well, without an oracle.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, features, model, prepare, quality, report, scores
 from ..sources.standins import EDUCATION_LEVELS, FAMILY_STATUSES, HOUSING_TYPES, OCCUPATIONS
-from .catalog import CUSTOMER_FEATURES_CTE, customer_features_df, register
-from . import views
+from ..session import table_folder
+from . import jobs, views
+from .catalog import CUSTOMER_FEATURES_CTE, csv_files, customer_features_df, register
 from .stored import stored
 
 # ------------------------------------------------------------------ Spark side
@@ -293,6 +296,17 @@ SELECT * FROM customer_features ORDER BY sk_id_curr LIMIT 20""")(
 # ------------------------------------------------------------------ reports
 register("dashboard_view", VIEW_CTE + "\nSELECT * FROM vw_customer_dashboard")(scorecard_view)
 
+
+
+def csv_dashboard_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reporting view by way of all jobs and their gates: CSV files,
+    published raw tables, features, scores, view."""
+    folder = f"{table_folder(spark)}/jobs-{uuid.uuid4().hex}"
+    return jobs.run_all(spark, csv_files(spark, sf_dir, folder), f"{folder}/tables")
+
+
+register("csv_dashboard_view", VIEW_CTE + "\nSELECT * FROM vw_customer_dashboard")(csv_dashboard_view)
+
 register("portfolio_kpis", VIEW_CTE + f"""
 SELECT COUNT(*) AS total_portfolio,
   {_fixed_sum('amt_credit', 4)} AS total_loan_exposure,

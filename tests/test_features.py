@@ -113,16 +113,17 @@ def test_views_and_materialised_table(spark, tmp_path):
     v = views.register_views(raw)
     n = spark.sql("SELECT COUNT(*) FROM customer_features").first()[0]
     assert n == v["customer_features"].count()
-    stored = jobs.feature_job(spark, raw, str(tmp_path / "features"))
+    folder = str(tmp_path / "tables")
+    stored = jobs.feature_job(spark, raw, folder)
     assert stored.count() == n
-    sc = jobs.score_job(spark, str(tmp_path / "features"), str(tmp_path / "scores"))
+    sc = jobs.score_job(spark, folder)
     assert sc.count() == n and len(sc.columns) == 10
     assert views.preview(stored).count() == 20
     # train, save, reload, score, publish
-    jobs.train_job(spark, str(tmp_path / "features"), str(tmp_path / "model"))
-    again = jobs.score_job(spark, str(tmp_path / "features"), str(tmp_path / "scores"), str(tmp_path / "model"))
+    jobs.train_job(spark, folder, str(tmp_path / "model"))
+    again = jobs.score_job(spark, folder, str(tmp_path / "model"))
     assert again.count() == n
-    view = jobs.publish_job(spark, str(tmp_path / "features"), str(tmp_path / "scores"))
+    view = jobs.publish_job(spark, folder)
     assert view.count() == n and spark.table("vw_customer_dashboard").count() == n
 
 
