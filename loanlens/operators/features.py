@@ -246,3 +246,17 @@ def customer_features(stg: DataFrame, inst: DataFrame, cc: DataFrame, pos: DataF
                   bureau_features(bureau, key)):
         out = out.join(child, on=key, how="left")
     return out.select(*FEATURE_COLUMNS)
+
+
+def child_activity(installments: DataFrame, cards: DataFrame) -> DataFrame:
+    """Per customer with installments: how many, how many unpaid, the card
+    months and the latest one (J1, J2).  Both sides are reduced by the customer key first;
+    over tables bucketed on it (K3) neither that nor the join shuffles."""
+    paid = installments.groupBy("sk_id_curr").agg(
+        F.count(F.lit(1)).alias("installments"),
+        F.count_if(F.col("days_entry_payment").isNull()).alias("unpaid"))
+    months = cards.groupBy("sk_id_curr").agg(F.count(F.lit(1)).alias("card_months"),
+                                             F.max("months_balance").alias("latest_month"))
+    return (paid.join(months.hint("merge"), "sk_id_curr", "left")
+            .select("sk_id_curr", "installments", "unpaid", F.coalesce("card_months", F.lit(0)).alias("card_months"),
+                    "latest_month"))

@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, features, model, prepare, quality, report, scores
+from ..operators import evaluate, features, model, newton, prepare, quality, report, scores
 from ..sources.standins import EDUCATION_LEVELS, FAMILY_STATUSES, HOUSING_TYPES, OCCUPATIONS
 from ..session import table_folder
 from . import jobs, views
@@ -459,20 +459,35 @@ fixed_scores AS (
 
 def _fixed_rows(spark: SparkSession, sf_dir: str):
     _, _, scaler, cols, split = model.split_and_prepare(features_table(spark, sf_dir))
-    p = model.linear_probability(scaler, FIXED_COEFFICIENTS, FIXED_INTERCEPT, cols)
-    return split.withColumn("risk_probability", p), scaler, cols
+    return newton.LinearModel(scaler, FIXED_COEFFICIENTS, FIXED_INTERCEPT).predict(split), scaler, cols
 
 
 def fixed_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3/M4/M12/F8 - everyone's probability and class under the stored coefficients."""
     rows, _, _ = _fixed_rows(spark, sf_dir)
+    return _rounded(rows)
+
+
+def _rounded(rows: DataFrame) -> DataFrame:
     return rows.select("sk_id_curr", "split", F.round("risk_probability", PROBABILITY_DIGITS).alias("risk_probability"),
-                       (F.col("risk_probability") > 0.5).cast("int").alias("prediction"))
+                       "prediction")
 
 
-register("fixed_model_scores", _FIXED_SCALED_CTE + f"""
+_FIXED_SCORES = _FIXED_SCALED_CTE + f"""
 SELECT sk_id_curr, split, round(p, {PROBABILITY_DIGITS}) AS risk_probability,
-  CAST(p > 0.5 AS INTEGER) AS prediction FROM fixed_scores""")(fixed_model_scores)
+  CAST(p > 0.5 AS INTEGER) AS prediction FROM fixed_scores"""
+register("fixed_model_scores", _FIXED_SCORES)(fixed_model_scores)
+
+
+def reloaded_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IO8 - the stored coefficient set saved, loaded again and applied to everyone."""
+    _, _, scaler, _, split = model.split_and_prepare(features_table(spark, sf_dir))
+    path = f"{table_folder(spark)}/model-{uuid.uuid4().hex}"
+    newton.LinearModel(scaler, FIXED_COEFFICIENTS, FIXED_INTERCEPT).save(spark, path)
+    return _rounded(newton.LinearModel.load(spark, path).predict(split))
+
+
+register("reloaded_model_scores", _FIXED_SCORES)(reloaded_model_scores)
 
 
 def fixed_model_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -498,6 +513,98 @@ FROM (SELECT *, CAST(row_number() OVER (ORDER BY abs(coefficient) DESC, feature)
 LEFT JOIN means USING (feature) WHERE rank <= 15""")(fixed_model_drivers)
 
 
+# ------------------------------------------------------------------ a fitted model of three inputs
+SMALL_INPUTS = ["ext_source_2", "ext_source_3", "num_late_payments"]
+_SMALL_STEPS = 12              # of the SQL form; Newton steps change nothing after about 7
+
+
+def _small_model_sql() -> str:
+    """The Newton steps, unrolled: sums over the training rows, elimination of
+    the symmetric system, back substitution."""
+    d = len(SMALL_INPUTS) + 1
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    x = ["1.0::DOUBLE"] + [f"t.x{i}" for i in range(1, d)]
+    parts = [f""",
+q AS (SELECT {", ".join(f"quantile_cont(CAST({c} AS {D}), {p}) AS {c}__{n}" for c in SMALL_INPUTS
+                        for n, p in prepare.QUARTILES.items())} FROM split WHERE split = 'train'),
+inputs AS MATERIALIZED (SELECT s.sk_id_curr, s.split, s.target, CAST(s.target AS {D}) AS y, {", ".join(
+    f"{_scaled(c).rsplit(' AS ', 1)[0]} AS x{i}" for i, c in enumerate(SMALL_INPUTS, 1))} FROM split s CROSS JOIN q),
+train AS MATERIALIZED (
+  SELECT *, CAST(COUNT(*) OVER () AS {D}) / (2.0::DOUBLE * CAST(COUNT(*) OVER (PARTITION BY target) AS {D})) AS w
+  FROM inputs WHERE split = 'train'),
+beta0 AS (SELECT {", ".join(f"0.0::DOUBLE AS b{i}" for i in range(d))})"""]
+    z = "b.b0" + "".join(f" + b.b{i} * t.x{i}" for i in range(1, d))
+    for k in range(_SMALL_STEPS):
+        ridge = lambda i, j: "" if i != j or i == 0 else f" + {1 / model.INVERSE_REGULARISATION}::DOUBLE"
+        parts.append(f""",
+sums{k} AS (SELECT {", ".join(f"max(b{i}) AS b{i}" for i in range(d))},
+  {", ".join(f"sum(w * (p - y) * {x[i]}){'' if i == 0 else f' + {1 / model.INVERSE_REGULARISATION}::DOUBLE * max(b{i})'} AS r{i}"
+             for i in range(d))},
+  {", ".join(f"sum(w * p * (1 - p) * {x[i]} * {x[j]}){ridge(i, j)} AS h{i}{j}" for i, j in pairs)}
+  FROM (SELECT t.*, b.*, 1 / (1 + exp(-({z}))) AS p FROM train t CROSS JOIN beta{k} b) t)""")
+        last = f"sums{k}"
+        for e in range(d - 1):                 # eliminate below row e
+            cell = lambda i, j: f"h{i}{j} - h{e}{i} * h{e}{j} / h{e}{e}" if i > e else f"h{i}{j}"  # noqa: E731,B023
+            parts.append(f""",
+gone{k}_{e} AS (SELECT {", ".join(f"b{i}" for i in range(d))},
+  {", ".join(f"{f'r{i} - h{e}{i} / h{e}{e} * r{e}' if i > e else f'r{i}'} AS r{i}" for i in range(d))},
+  {", ".join(f"{cell(i, j)} AS h{i}{j}" for i, j in pairs)} FROM {last})""")
+            last = f"gone{k}_{e}"
+        for i in reversed(range(d)):           # back substitution
+            known = "".join(f" - h{i}{j} * d{j}" for j in range(i + 1, d))
+            parts.append(f""",
+back{k}_{i} AS (SELECT *, (r{i}{known}) / h{i}{i} AS d{i} FROM {last})""")
+            last = f"back{k}_{i}"
+        parts.append(f""",
+beta{k + 1} AS MATERIALIZED (SELECT {", ".join(f"b{i} - d{i} AS b{i}" for i in range(d))} FROM {last})""")
+    parts.append(f""",
+small AS (SELECT t.*, 1 / (1 + exp(-({z}))) AS p FROM inputs t CROSS JOIN beta{_SMALL_STEPS} b)""")
+    return SPLIT_CTE + "".join(parts)
+
+
+_SMALL_CTE = _small_model_sql()
+
+
+def _small_model(spark: SparkSession, sf_dir: str) -> tuple[newton.LinearModel, DataFrame]:
+    split = prepare.stratified_split(imputed_features(spark, sf_dir))
+    return newton.LinearModel.fit(split, SMALL_INPUTS), split
+
+
+def small_model_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1/M2/M10 - the fitted coefficients, one row each."""
+    fitted, _ = _small_model(spark, sf_dir)
+    return fitted.terms(spark).select("term", F.round("coefficient", PROBABILITY_DIGITS).alias("coefficient"))
+
+
+def small_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3/M4/M12 - everyone's probability and class under the fitted model."""
+    fitted, split = _small_model(spark, sf_dir)
+    return _rounded(fitted.predict(split))
+
+
+def small_model_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5/M7 - AUC and KS of the fitted model on the held-out rows."""
+    fitted, split = _small_model(spark, sf_dir)
+    got = evaluate.auc_ks(fitted.predict(split.where(F.col("split") == "test")))
+    return got.select(*[F.round(c, PROBABILITY_DIGITS).alias(c) for c in ("auc", "ks")])
+
+
+register("small_model_coefficients", _SMALL_CTE + f"""
+SELECT unnest(['intercept', {", ".join(f"'{c}'" for c in SMALL_INPUTS)}]) AS term,
+  unnest([{", ".join(f"round(b{i}, {PROBABILITY_DIGITS})" for i in range(len(SMALL_INPUTS) + 1))}]) AS coefficient
+FROM beta{_SMALL_STEPS}""")(small_model_coefficients)
+register("small_model_scores", _SMALL_CTE + f"""
+SELECT sk_id_curr, split, round(p, {PROBABILITY_DIGITS}) AS risk_probability, CAST(p > 0.5 AS INTEGER) AS prediction
+FROM small""")(small_model_scores)
+register("small_model_evaluation", _SMALL_CTE + f""",
+counts AS (SELECT p, SUM(target) AS pos, SUM(1 - target) AS neg FROM small WHERE split = 'test' GROUP BY p),
+steps AS (SELECT pos, neg, SUM(pos) OVER (ORDER BY p DESC) AS tp, SUM(neg) OVER (ORDER BY p DESC) AS fp,
+            SUM(pos) OVER () AS all_pos, SUM(neg) OVER () AS all_neg FROM counts)
+SELECT round(CAST(SUM(pos * (2 * (all_neg - fp) + neg)) AS {D}) / CAST(2 * max(all_pos) * max(all_neg) AS {D}), {PROBABILITY_DIGITS}) AS auc,
+  round(greatest(0.0::DOUBLE, max(CAST(tp AS {D}) / CAST(all_pos AS {D}) - CAST(fp AS {D}) / CAST(all_neg AS {D}))), {PROBABILITY_DIGITS}) AS ks
+FROM steps""")(small_model_evaluation)
+
+
 # ------------------------------------------------------------------ fitted model (no SQL oracle)
 def _fit(spark: SparkSession, sf_dir: str):
     feats = features_table(spark, sf_dir)

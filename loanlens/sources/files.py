@@ -66,14 +66,17 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     w.parquet(path)
 
 
-def save_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
+def save_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> None:
     """K3 - the access path on the customer key.
 
     Child tables re-read by several feature jobs are stored bucketed and
     sorted by the key, so later joins and aggregations on it need no shuffle.
+    The rows are dealt to the buckets first, so a bucket is one file.
+    ``path``: where the table's files go (else the warehouse).
     """
-    (df.write.mode("overwrite").format("parquet")
-       .bucketBy(buckets, key).sortBy(key).saveAsTable(table))
+    dealt = df.repartition(buckets, key)
+    w = dealt.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
+    (w.option("path", path) if path else w).saveAsTable(table)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

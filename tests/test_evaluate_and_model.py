@@ -78,3 +78,27 @@ def test_logistic_regression_matches_objective(spark, tmp_path):
     imp = fitted.coefficients(spark).orderBy("rank").collect()
     assert imp[0]["rank"] == 1 and imp[0]["abs_coefficient"] >= imp[-1]["abs_coefficient"]
     feats.unpersist()
+
+
+def test_newton_steps_agree_with_the_ml_fit(spark):
+    """M1/M2: both solve the same objective."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from loanlens.operators import newton
+    from loanlens.plans import catalog_scoring as cs
+    fitted, split = cs._small_model(spark, "/root/testdata/sf0.01")
+    scaled = fitted.scaler.transform(split.where("split = 'train'"))
+    rows, n = model.balanced_weights(VectorAssembler(inputCols=cs.SMALL_INPUTS, outputCol="features").transform(scaled))
+    ml = LogisticRegression(labelCol="target", weightCol=model.WEIGHT_COLUMN, regParam=1.0 / n, standardization=False,
+                            maxIter=500, tol=1e-12).fit(rows)
+    want = [ml.intercept, *ml.coefficients]
+    got = [fitted.intercept, *fitted.coefficients.values()]
+    assert all(abs(a - b) < 1e-4 for a, b in zip(got, want)), (got, want)
+    assert all(abs(c) > 1e-3 for c in got)
+    path = f"/tmp/loanlens-linear-{n}"
+    fitted.save(spark, path)
+    again = newton.LinearModel.load(spark, path)
+    assert again == fitted
+    # a column the data lacks counts as 0
+    few = split.select("sk_id_curr", "ext_source_2").limit(3)
+    assert all(0 < r.risk_probability < 1 for r in fitted.predict(few).collect())

@@ -164,3 +164,12 @@ def test_bucketed_layout_needs_no_shuffle_on_the_key(spark):
     plan = grouped._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     assert sorted(grouped.collect()) == sorted(features.missed_payments(inst).collect())
+
+
+def test_bucketed_children_are_joined_without_a_shuffle(spark):
+    """K3: no exchange on the customer key, and no broadcast of a child table."""
+    from loanlens.plans.catalog import QUERIES
+    df = QUERIES["bucketed_child_activity"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    assert df.count() > 0
