@@ -20,8 +20,9 @@ or the Jaccard index of the plain sets).
 Cases: null text is empty; a text of fewer than ``SHINGLE`` words is one
 shingle; texts without words are classed by their whole text; repeated rows
 and equal texts share a class; null ids are smallest and name a class only if
-all its ids are null; an empty table gives an empty result; extra columns are
-ignored by ``classes`` and kept by ``survivors``.
+all its ids are null; an id on several rows names rows, not one document: each
+is decided by its own text; an empty table gives an empty result; extra
+columns are ignored by ``classes`` and kept by ``survivors``.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import store
@@ -150,9 +151,9 @@ def _sign(size: int, bands: int, rows: int):
             nodes = [_node(tokens[a:b], weights[a:b]) if a < b else _wordless(text)
                      for a, b, text in zip(bounds, bounds[1:], part.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(nodes, pa.binary()), pa.array(np.diff(bounds), pa.int64()),
+                [part.column(0), part.column(2), pa.array(nodes, pa.binary()), pa.array(np.diff(bounds), pa.int64()),
                  pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(keys, pa.int64()))],
-                names=["doc_id", "node", "tokens_n", "bands"])
+                names=["doc_id", "text_id", "node", "tokens_n", "bands"])
     return run
 
 
@@ -170,17 +171,23 @@ def _payload(size: int):
     return run
 
 
+def _text_id(body: Column) -> Column:
+    return F.unhex(F.md5(F.encode(body, "UTF-8")))
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
                bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, node, tokens_n, bands`` of every row (no bands without words)."""
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("body"))
-            .mapInArrow(lean(_sign(size, bands, rows)), "doc_id long, node binary, tokens_n long, bands array<long>"))
+    """``doc_id, text_id, node, tokens_n, bands`` of every row (no bands without
+    words); ``text_id`` is the whole text's 128-bit hash."""
+    body = text_of(text_col)
+    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("body"), _text_id(body).alias("text_id"))
+            .mapInArrow(lean(_sign(size, bands, rows)),
+                        "doc_id long, text_id binary, node binary, tokens_n long, bands array<long>"))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
+def _placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
             size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per input row: ``doc_id, class_id`` (the class's smallest id),
-    ``class_size, kept``."""
+    """Of every row: ``doc_id, text_id, class_id, class_size, kept``."""
     signed = store(signatures(docs, id_col, text_col, size, bands, rows))
     nodes = signed.where("tokens_n > 0").groupBy("node").agg(F.min("doc_id").alias("some_id"),
                                                             F.first("tokens_n").alias("tokens_n"),
@@ -197,18 +204,29 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     linked = store(link(shared, payloads, threshold))
 
     placed = store(signed.join(linked, "node", "left")
-                   .select("doc_id", F.coalesce("class", "node").alias("class")))
-    # stored, so that a large class is only a key of a join, whose rows can be split
-    named = store(placed.groupBy("class").agg(F.min("doc_id").alias("class_id"),
-                                              F.count(F.lit(1)).alias("class_size")))
+                   .select("doc_id", "text_id", F.coalesce("class", "node").alias("class")))
+    # the smallest known id, then the smallest hash of its texts; stored, so
+    # that a large class is only a key of a join, whose rows can be split
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_id"))
+    named = store(placed.groupBy("class").agg(first.alias("first"), F.count(F.lit(1)).alias("class_size")))
     return (placed.join(named, "class")
-            .select("doc_id", "class_id", "class_size",
-                    F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")))
+            .select("doc_id", "text_id", F.col("first.doc_id").alias("class_id"), "class_size",
+                    (F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+                     & (F.col("text_id") == F.col("first.text_id"))).alias("kept")))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per input row: ``doc_id, class_id`` (the class's smallest id),
+    ``class_size, kept``.  Options: threshold, size, bands, rows."""
+    return _placed(docs, id_col, text_col, **options).drop("text_id")
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each class (rows that
-    repeat the class's id all stay; remove exact copies first)."""
-    kept = classes(docs, id_col, text_col, **options).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.struct("*").alias("row"))
-    return rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")
+    """The rows of ``docs`` that stay: one document of each class, matched by
+    id and text (rows that repeat both all stay; remove exact copies first)."""
+    kept = (_placed(docs, id_col, text_col, **options).where("kept")
+            .select(F.col("doc_id").alias("kept_id"), F.col("text_id").alias("kept_text")).distinct())
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), _text_id(text_of(F.col(f"`{text_col}`"))).alias("hash"),
+                       F.struct("*").alias("row"))
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_text"))
+    return rows.join(kept, same, "left_semi").select("row.*")

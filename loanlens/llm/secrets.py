@@ -2,10 +2,13 @@
 functions only).
 
 Every version of every path is content-addressed: its blob is the sha256 of
-its text.  The ledger, a Parquet folder, holds one row for each blob and rule
-version scanned so far with the spans found.  A scan reads only blobs the
-ledger lacks under its rule version, each once however many rows carry it,
-appends them, and joins the spans of all rows' blobs back to the rows.  Blobs
+its text.  The ledger, a Parquet folder with a part for each rule version,
+holds a row for each blob scanned so far with the spans found.  A rule
+version is the hash of the rules, so other rules never meet old findings.  A
+scan reads only blobs the ledger lacks under its rule version, each once
+however many rows carry it, appends them, and joins the spans of all rows'
+blobs back to the rows.  Scans at once or a retried one may append a blob
+twice, with equal spans; it is read as one.  Blobs
 are grouped with a map-side combine, so a text that a third of the rows share
 reaches the shuffle once per task.
 
@@ -20,7 +23,8 @@ as it is; other columns are ignored.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+from dataclasses import astuple, dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,10 +50,14 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),
 )
-RULE_VERSION = "base-1"
 _SPANS = "array<struct<start:bigint,kind_no:int,stop:bigint>>"
 
 
+def rule_version(rules: tuple[Rule, ...] = RULES) -> str:
+    """The name of this very list of rules."""
+    return hashlib.sha256(repr([astuple(r) for r in rules]).encode()).hexdigest()[:32]
+
+
 def rule_spans(text: Column, rule: Rule, number: int) -> Column:
     """The rule's spans in ``text``, in order, as (start, kind_no, stop)."""
     matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
@@ -85,35 +93,39 @@ def _exists(df: DataFrame, path: str) -> bool:
     return folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).exists(folder)
 
 
-_LEDGER = f"blob binary, rule_version string, spans {_SPANS}"
+_LEDGER = f"blob binary, spans {_SPANS}, rule_version string"
+
+
+def _scanned(docs: DataFrame, ledger: str, rules: tuple[Rule, ...]) -> DataFrame:
+    """The ledger's part of this rule version."""
+    return (docs.sparkSession.read.schema(_LEDGER).parquet(ledger)
+            .where(F.col("rule_version") == rule_version(rules)).select("blob", "spans"))
 
 
-def unseen_blobs(docs: DataFrame, ledger: str, rule_version: str = RULE_VERSION,
-                 text_col: str = "text") -> DataFrame:
-    """``blob, body`` of the distinct texts the ledger lacks under the rule version."""
+def unseen_blobs(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """``blob, body`` of the distinct texts the ledger lacks under these rules."""
     rows = docs.select(text_of(text_col).alias("body")).select(
         F.unhex(F.sha2("body", 256)).alias("blob"), "body")
     blobs = rows.distinct()
-    if not _exists(docs, ledger):
+    if not _exists(docs, f"{ledger}/rule_version={rule_version(rules)}"):
         return blobs
-    seen = (docs.sparkSession.read.schema(_LEDGER).parquet(ledger)
-            .where(F.col("rule_version") == rule_version).select("blob"))
-    return blobs.join(seen, "blob", "left_anti")
+    return blobs.join(_scanned(docs, ledger, rules).select("blob"), "blob", "left_anti")
 
 
-def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION,
+def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES,
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scan what the ledger lacks, append it, and return ``doc_id, blob, spans``
     for every row of ``docs`` (spans: start, kind_no, stop)."""
-    new = unseen_blobs(docs, ledger, rule_version, text_col).select(
-        "blob", F.lit(rule_version).alias("rule_version"), text_spans(F.col("body"), rules).alias("spans"))
-    new.write.mode("append").parquet(ledger)
-    known = (docs.sparkSession.read.schema(_LEDGER).parquet(ledger)
-             .where(F.col("rule_version") == rule_version).select("blob", "spans"))
+    new = unseen_blobs(docs, ledger, rules, text_col).select(
+        "blob", text_spans(F.col("body"), rules).alias("spans"), F.lit(rule_version(rules)).alias("rule_version"))
+    new.write.mode("append").partitionBy("rule_version").parquet(ledger)
     paths = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text_of(text_col), 256)).alias("blob"))
+    if not _exists(docs, f"{ledger}/rule_version={rule_version(rules)}"):      # nothing was ever scanned
+        return paths.select("doc_id", "blob", F.array().cast(_SPANS).alias("spans"))
     # blobs without findings (most) need no row to join; the hot blob's rows
     # are split by AQE when the join shuffles
-    return (paths.join(known.where(F.size("spans") > 0), "blob", "left")
+    known = _scanned(docs, ledger, rules).where(F.size("spans") > 0).dropDuplicates(["blob"])
+    return (paths.join(known, "blob", "left")
             .select("doc_id", "blob", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans")))
 
 

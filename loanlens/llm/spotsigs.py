@@ -53,7 +53,6 @@ ANCHORS = frozenset((
 ).split())
 CHAIN = 2
 THRESHOLD = 0.8
-SLICES_PER_PARTITION = 4
 ROWS_AT_ONCE = 256
 
 
@@ -136,7 +135,7 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     replaced by the beginning of the next document, descending id; after the
     last comes the first), and the likeness to both."""
     spark = docs.sparkSession
-    slices = slices or SLICES_PER_PARTITION * partitions(spark)
+    slices = slices or partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("body"))
     cuts = rows.agg(F.percentile_approx("doc_id", [i / slices for i in range(1, slices)] or [0.5],
                                         10 * slices)).first()[0]                  # slices - 1 numbers
@@ -153,7 +152,7 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ghosts = (rows.drop("slice").join(F.broadcast(target), F.col("doc_id").eqNullSafe(F.col("head")))
               .select("slice", F.lit(1).alias("ghost"), "doc_id", "body"))
     dealt = rows.select("slice", F.lit(0).alias("ghost"), "doc_id", "body").union(ghosts)
-    return (dealt.repartition(partitions(spark), "slice")
+    return (dealt.repartitionById(len(splits) - 1, F.col("slice").cast("int"))      # a slice is a partition
             .sortWithinPartitions("slice", "ghost", F.col("doc_id").desc_nulls_last(), "body")
             .mapInArrow(lean(_compare), _RESULT))
 

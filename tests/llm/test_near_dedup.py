@@ -172,3 +172,17 @@ def test_equal_texts_without_words_share_a_class(spark):
     got = {r.doc_id: (r.class_id, r.class_size) for r in near_dedup.classes(docs).collect()}
     assert got == {1: (1, 3), 2: (1, 3), 6: (1, 3), 3: (3, 3), 4: (3, 3), None: (3, 3), 5: (5, 1), 7: (7, 2), 8: (7, 2)}
     assert sorted(r.doc_id for r in near_dedup.survivors(docs).collect()) == [1, 3, 5, 7]
+
+
+def test_an_id_on_several_rows_is_decided_by_each_text(spark):
+    """Id 5 stands on a near copy of document 1 and on a text of its own."""
+    base = " ".join(f"word{i}" for i in range(60))
+    other = " ".join(f"thing{i}" for i in range(60))
+    last = " ".join(f"item{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, base), (5, base + " more"), (5, other), (7, last + " x"), (7, last)],
+                                 "doc_id long, text string")
+    got = sorted((r.doc_id, r.class_id, r.class_size, r.kept) for r in near_dedup.classes(docs).collect())
+    assert got[0] == (1, 1, 2, True) and got[1:3] == [(5, 1, 2, False), (5, 5, 1, True)]
+    assert sorted(r[3] for r in got[3:]) == [False, True]
+    kept = sorted((r.doc_id, r.text) for r in near_dedup.survivors(docs).collect())
+    assert kept[:2] == [(1, base), (5, other)] and len(kept) == 3 and kept[2][0] == 7

@@ -64,7 +64,7 @@ def test_ledger_scans_only_unseen_blobs_and_rule_versions(spark, tmp_path):
     assert spark.read.parquet(ledger).count() == len({text_of(r) for r in ROWS})
     # a new rule version scans every blob again, and old findings stay
     rules = (secrets.Rule("word", "word[0-9]+", 0, 7),)
-    again = secrets.scan(everything, ledger, rules, "words-1")
+    again = secrets.scan(everything, ledger, rules)
     assert spark.read.parquet(ledger).count() == 2 * len({text_of(r) for r in ROWS})
     want = [[(m.start(), 0, m.end()) for m in re.finditer("word[0-9]+", text_of(r)) if len(m[0]) >= 7] for r in ROWS]
     assert rows_of(again) == sorted(zip([r[0] for r in ROWS], want), key=str)
@@ -75,3 +75,26 @@ def test_empty_table(spark, tmp_path):
     assert secrets.scan(odd_docs(spark, []), ledger).collect() == []
     assert rows_of(secrets.scan(odd_docs(spark, ROWS[:3]), ledger)) == sorted(
         ((r[0], brute(text_of(r))) for r in ROWS[:3]), key=str)
+
+
+def test_other_rules_never_meet_old_findings(spark, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    docs = spark.createDataFrame([(1, 'key: abc password = "0123456789abcdef0123456789abcdef"')], "doc_id long, text string")
+    assert len(secrets.scan(docs, ledger).first().spans) == 2
+    rules = (secrets.Rule("key", "key: [a-z]+", 0, 3),)
+    assert [tuple(x) for x in secrets.scan(docs, ledger, rules).first().spans] == [(0, 0, 8)]
+    assert len(secrets.scan(docs, ledger).first().spans) == 2
+    assert secrets.rule_version(rules) != secrets.rule_version()
+
+
+def test_blobs_appended_twice_are_read_as_one(spark, tmp_path, monkeypatch):
+    """Two scans that begin before either appends, as after a retried job."""
+    ledger = str(tmp_path / "ledger")
+    docs = odd_docs(spark)
+    want = rows_of(secrets.scan(docs, ledger))
+    right = secrets.unseen_blobs
+    monkeypatch.setattr(secrets, "unseen_blobs", lambda d, _, *rest: right(d, str(tmp_path / "none"), *rest))
+    assert rows_of(secrets.scan(docs, ledger)) == want
+    monkeypatch.undo()
+    assert secrets.unseen_blobs(docs, ledger).count() == 0
+    assert rows_of(secrets.scan(docs, ledger)) == want
