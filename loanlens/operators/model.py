@@ -17,13 +17,14 @@ import os
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoderModel, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import store
-from .prepare import (LABEL_COLUMN, Imputation, OneHot, RobustScale,
+from .levels import LevelVectors
+from .prepare import (CATEGORICAL_COLUMNS, ID_COLUMN, LABEL_COLUMN, Imputation, OneHot, RobustScale,
                       numeric_feature_columns, stratified_split)
 from .quality import assert_complete
 
@@ -49,43 +50,59 @@ def balanced_weights(train: DataFrame, label: str = LABEL_COLUMN) -> tuple[DataF
 
 @dataclass
 class RiskModel:
+    """Numeric inputs and common levels as one dense vector, the other levels
+    as sparse ones, so the number of levels adds no columns to a plan."""
     imputation: Imputation
-    encoder: OneHot
-    scaler: RobustScale
-    feature_columns: list[str]
-    classifier: LogisticRegressionModel
+    levels: LevelVectors
+    scaler: RobustScale                 # of the numeric inputs
+    numeric_columns: list[str]
+    classifier: LogisticRegressionModel | None
 
     # ---- preparation shared by training and scoring
     def prepare(self, features: DataFrame) -> DataFrame:
-        return self.assemble(self.encoder.transform(self.imputation.transform(features)))
+        return self.assemble(self.imputation.transform(features))
 
-    def assemble(self, encoded: DataFrame) -> DataFrame:
+    def assemble(self, imputed: DataFrame) -> DataFrame:
         """Adds the scaled model inputs as one vector; other columns stay raw,
         so scores and reports need no join back to them."""
-        missing = {c: F.lit(0) for c in self.feature_columns if c not in encoded.columns}   # F8
-        aligned = encoded.withColumns(missing) if missing else encoded
-        return aligned.withColumn("features", array_to_vector(
-            F.array(*[self.scaler.column(c) for c in self.feature_columns]))).drop(*missing)
+        missing = {c: F.lit(None).cast("string") for c in self.levels.columns if c not in imputed.columns}
+        aligned = imputed.withColumns(missing) if missing else imputed
+        # F8: an input the data lacks counts as a raw 0
+        numbers = [self.scaler.column(c) if c in imputed.columns else self.scaler.scaled(c, F.lit(0))
+                   for c in self.numeric_columns]
+        dense = array_to_vector(F.array(*numbers, *self.levels.scaled_columns(imputed.columns)))
+        with_parts = self.levels.transform(aligned.withColumn("_dense", dense))
+        return (VectorAssembler(inputCols=["_dense", *self.levels.vectors], outputCol="features")
+                .transform(with_parts).drop("_dense", *self.levels.vectors, *missing))
 
     def predict(self, features: DataFrame) -> DataFrame:
         """M3/M4/M12 - the imputed rows with probability of default and class at 0.5."""
-        return self.predict_encoded(self.encoder.transform(self.imputation.transform(features)))
+        return self.predict_imputed(self.imputation.transform(features))
 
-    def predict_encoded(self, encoded: DataFrame) -> DataFrame:
-        out = self.classifier.transform(self.assemble(encoded))
+    def predict_imputed(self, imputed: DataFrame) -> DataFrame:
+        out = self.classifier.transform(self.assemble(imputed))
         return (out.withColumn("risk_probability", vector_to_array("probability")[1])
                 .drop("features", "rawPrediction", "probability"))
 
+    @property
+    def input_names(self) -> list[str | None]:
+        """The name of every place of the vector; None where no row holds a value."""
+        dense, sparse = self.levels.names
+        return [*self.numeric_columns, *dense, *sparse]
+
     def coefficients(self, spark: SparkSession) -> DataFrame:
         """M10/M11 - one row per feature: coefficient, |coefficient|, rank, direction."""
-        return feature_importance(spark, self.feature_columns, self.classifier.coefficients)
+        pairs = [(name, c) for name, c in zip(self.input_names, self.classifier.coefficients.toArray()) if name]
+        return feature_importance(spark, [name for name, _ in pairs], [c for _, c in pairs])
 
     # ---- IO8 persistence
     def save(self, path: str) -> None:
         self.classifier.write().overwrite().save(os.path.join(path, "classifier"))
-        state = {"medians": self.imputation.medians, "levels": self.encoder.levels,
+        self.levels.indexer.write().overwrite().save(os.path.join(path, "indexer"))
+        self.levels.encoder.write().overwrite().save(os.path.join(path, "encoder"))
+        state = {"medians": self.imputation.medians, "columns": self.levels.columns, "common": self.levels.common,
                  "center": self.scaler.center, "spread": self.scaler.spread,
-                 "feature_columns": self.feature_columns}
+                 "numeric_columns": self.numeric_columns}
         spark = SparkSession.getActiveSession()
         (spark.createDataFrame([(json.dumps(state),)], "state string")
          .write.mode("overwrite").json(os.path.join(path, "preparation")))
@@ -93,9 +110,11 @@ class RiskModel:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "RiskModel":
         state = json.loads(spark.read.json(os.path.join(path, "preparation")).first()["state"])
-        return cls(Imputation(state["medians"]), OneHot(state["levels"]),
-                   RobustScale(state["center"], state["spread"]), state["feature_columns"],
-                   LogisticRegressionModel.load(os.path.join(path, "classifier")))
+        common = {c: {level: tuple(v) for level, v in held.items()} for c, held in state["common"].items()}
+        levels = LevelVectors(state["columns"], StringIndexerModel.load(os.path.join(path, "indexer")),
+                              OneHotEncoderModel.load(os.path.join(path, "encoder")), common)
+        return cls(Imputation(state["medians"]), levels, RobustScale(state["center"], state["spread"]),
+                   state["numeric_columns"], LogisticRegressionModel.load(os.path.join(path, "classifier")))
 
 
 def feature_importance(spark: SparkSession, names: list[str], coefficients) -> DataFrame:
@@ -114,8 +133,9 @@ def feature_importance(spark: SparkSession, names: list[str], coefficients) -> D
 
 
 def split_and_prepare(features: DataFrame):
-    """E2 up to the model input: impute (whole population, D3), encode,
-    split, fit the scaler on the training rows."""
+    """E2 up to the model input in wide form, for reports over few levels:
+    impute (whole population, D3), encode, split, fit the scaler on the
+    training rows.  ``train`` keeps levels sparse instead."""
     imputation = Imputation.fit(features)
     imputed = imputation.transform(features)
     assert_complete(imputed)                                 # F6: stop before training
@@ -131,14 +151,18 @@ def split_and_prepare(features: DataFrame):
 
 
 def train(features: DataFrame, max_iter: int = MAX_ITER):
-    """M1/M2 - returns (model, encoded rows with their ``split``, iterations)."""
-    imputation, encoder, scaler, cols, split = split_and_prepare(features)
-    scaled = scaler.transform(split)
-    assembled = VectorAssembler(inputCols=cols, outputCol="features").transform(scaled)
-    train_rows, n_train = balanced_weights(assembled.where(F.col("split") == "train"))
+    """M1/M2 - returns (model, imputed rows with their ``split``, iterations)."""
+    imputation = Imputation.fit(features)
+    imputed = imputation.transform(features)
+    assert_complete(imputed)                                 # F6: stop before training
+    split = store(stratified_split(imputed))
+    train_rows = split.where(F.col("split") == "train")
+    numeric = [c for c in imputed.columns if c not in (ID_COLUMN, LABEL_COLUMN, *CATEGORICAL_COLUMNS)]
+    scaler = RobustScale.fit(train_rows, numeric, binary=["is_not_employed"])
+    prepared = RiskModel(imputation, LevelVectors.fit(split, train_rows), scaler, numeric, None)
+    weighted, n_train = balanced_weights(prepared.assemble(train_rows))
     lr = LogisticRegression(featuresCol="features", labelCol=LABEL_COLUMN, weightCol=WEIGHT_COLUMN,
                             regParam=1.0 / (INVERSE_REGULARISATION * n_train), elasticNetParam=0.0,
                             standardization=False, fitIntercept=True, maxIter=max_iter)
-    fitted = lr.fit(train_rows)
-    model = RiskModel(imputation, encoder, scaler, cols, fitted)
-    return model, split, fitted.summary.totalIterations
+    prepared.classifier = lr.fit(weighted)
+    return prepared, split, prepared.classifier.summary.totalIterations

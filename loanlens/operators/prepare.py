@@ -48,17 +48,18 @@ def binary_quantiles(df: DataFrame, columns: list[str], probs: dict[str, float])
     out = {}
     for i, c in enumerate(columns):
         n, zeros = r[f"n{i}"], r[f"n{i}"] - (r[f"k{i}"] or 0)
+        out[c] = {name: binary_position(n, zeros, p) for name, p in probs.items()}
+    return out
 
-        def at(p: float) -> float | None:
-            if n == 0:
-                return None
-            pos = (n - 1) * p
-            lo, hi = math.floor(pos), math.ceil(pos)
-            low, high = float(lo >= zeros), float(hi >= zeros)
-            return low + (high - low) * (pos - lo)
 
-        out[c] = {name: at(p) for name, p in probs.items()}
-    return out
+def binary_position(n: int, zeros: int, p: float) -> float | None:
+    """The p quantile of ``zeros`` zeros among n values of 0 and 1."""
+    if n == 0:
+        return None
+    pos = (n - 1) * p
+    lo, hi = math.floor(pos), math.ceil(pos)
+    low, high = float(lo >= zeros), float(hi >= zeros)
+    return low + (high - low) * (pos - lo)
 
 
 # ---------------------------------------------------------------- imputation
@@ -225,7 +226,11 @@ class RobustScale:
 
     def column(self, c: str, clip_limit: float | None = CLIP_LIMIT) -> Column:
         """The scaled (and clipped) value of one column."""
-        v = (F.col(f"`{c}`").cast("double") - F.lit(self.center[c])) / F.lit(self.spread[c])
+        return self.scaled(c, F.col(f"`{c}`"), clip_limit)
+
+    def scaled(self, c: str, value: Column, clip_limit: float | None = CLIP_LIMIT) -> Column:
+        """A value scaled as those of column ``c``."""
+        v = (value.cast("double") - F.lit(self.center[c])) / F.lit(self.spread[c])
         return clip(v, -clip_limit, clip_limit) if clip_limit is not None else v
 
     def transform(self, df: DataFrame, clip_limit: float | None = CLIP_LIMIT) -> DataFrame:

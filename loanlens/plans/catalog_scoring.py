@@ -616,7 +616,7 @@ def _model_test_rows(spark: SparkSession, sf_dir: str):
     """The held-out rows with the fitted model's probability and class, and
     the solver's iterations; only they are scored."""
     _, fitted, split, iterations = _fit(spark, sf_dir)
-    return fitted.predict_encoded(split.where(F.col("split") == "test")), iterations
+    return fitted.predict_imputed(split.where(F.col("split") == "test")), iterations
 
 
 def risk_model_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
 from conftest import rows
-from loanlens.operators import evaluate, model
+from loanlens.operators import evaluate, model, prepare
 
 SF = "/root/testdata/sf0.001"
 
@@ -102,3 +102,50 @@ def test_newton_steps_agree_with_the_ml_fit(spark):
     # a column the data lacks counts as 0
     few = split.select("sk_id_curr", "ext_source_2").limit(3)
     assert all(0 < r.risk_probability < 1 for r in fitted.predict(few).collect())
+
+
+def test_sparse_levels_equal_the_wide_form(spark):
+    """The same scaled inputs as one-hot columns, level by level."""
+    from loanlens.operators import prepare
+    from loanlens.operators.levels import LevelVectors
+    import random
+    rng = random.Random(4)
+    rows = [(i, rng.choice("aaaaabbbcd"), rng.choice(["x", "y", None]), rng.choice("pq") if i else "only")
+            for i in range(200)]
+    df = spark.createDataFrame(rows, "i int, a string, b string, c string")
+    columns = ["a", "b", "c"]
+    wide = prepare.OneHot.fit(df, columns)
+    scale = prepare.RobustScale.fit(wide.transform(df), wide.output_columns)
+    new = spark.createDataFrame([(-1, "zz", None, "p"), (-2, "a", "y", "unseen"), *rows[:60]], "i int, a string, b string, c string")
+    want = {r.i: {c: r[c] for c in wide.output_columns} for r in scale.transform(wide.transform(new)).collect()}
+    made = LevelVectors.fit(df, df, columns)
+    out = made.transform(new.withColumn("dense", F.array(*made.scaled_columns(columns)))).collect()
+    dense, sparse = made.names
+    assert sorted([*dense, *(s for s in sparse if s)]) == sorted(wide.output_columns) and dense
+    for r in out:
+        got = dict(zip(dense, r.dense))
+        held = np.concatenate([r[v].toArray() for v in made.vectors])
+        got.update({name: x for name, x in zip(sparse, held) if name})
+        assert all(x == 0 for name, x in zip(sparse, held) if not name)
+        assert got == want[r.i]
+
+
+def test_a_hundred_thousand_levels_add_no_columns(spark, monkeypatch):
+    from loanlens.operators import levels as lv
+    from pyspark.ml.classification import LogisticRegression
+    monkeypatch.setattr(lv, "CATEGORICAL_COLUMNS", ["job"])
+    rows = spark.range(120_000).select(
+        (F.col("id") % 3 == 0).cast("int").alias("target"), F.lit(1.0).alias("class_weight"), (F.col("id") % 7).cast("double").alias("x"),
+        F.concat(F.lit("job "), F.pmod(F.xxhash64("id"), F.lit(100_000))).alias("job"))
+    made = lv.LevelVectors.fit(rows, rows, ["job"])
+    n = len(made.indexer.labelsArray[0])
+    assert n > 60_000 and not made.common["job"]
+    scale = prepare.RobustScale({"x": 3.0}, {"x": 2.0})
+    fitted = model.RiskModel(prepare.Imputation({}), made, scale, ["x"], None)
+    ready = fitted.assemble(rows)
+    assert ready.columns == [*rows.columns, "features"]
+    assert ready.first().features.size == n + 1
+    fitted.classifier = LogisticRegression(labelCol="target", maxIter=3, regParam=1e-4, standardization=False).fit(ready)
+    out = fitted.predict_imputed(rows)
+    assert out.where("risk_probability between 0 and 1").count() == 120_000
+    assert fitted.coefficients(spark).count() == n          # all but the first level, and x
