@@ -1,5 +1,7 @@
+import os
 import random
 import re
+import tempfile
 
 from odd import ROWS, odd_docs, table, text_of
 from pyspark.sql import functions as F
@@ -15,11 +17,16 @@ def shingles(text):
 
 
 def contained(text, template):
-    """The largest share of the template's shingles in any run of the text of
-    the length its class reads at once (templates of one part)."""
-    own, wanted = shingles(text), set(shingles(template))
-    width, step = 4 << (len(wanted).bit_length() - 1), 2 << (len(wanted).bit_length() - 1)
-    return max((len(wanted & set(own[i:i + width])) / len(wanted) for i in range(0, max(1, len(own)), step)), default=0)
+    """The share of the template's shingles: for each of its parts the largest
+    number in any run of the text of the length its class reads at once."""
+    own, wanted = shingles(text), list(dict.fromkeys(shingles(template)))
+    width = -(-len(wanted) // -(-len(wanted) // license_scan.LONGEST))
+    total = 0
+    for lo in range(0, len(wanted), width):
+        part = set(wanted[lo:lo + width])
+        step = 2 << (len(part).bit_length() - 1)
+        total += max((len(part & set(own[i:i + 2 * step])) for i in range(0, max(1, len(own)), step)), default=0)
+    return total / len(wanted)
 
 
 def brute(rows, templates):
@@ -68,9 +75,53 @@ def test_matches_against_brute_force(spark):
     got = {r.doc_id: r.licenses for r in license_scan.licenses(docs).collect()}
     assert got == brute([(r[0], r[1]) for r in rows], license_scan.TEMPLATES)
     assert sum(bool(x) for x in got.values()) > 40
-    # windows without a template shingle are left out without changing a match
+    # template tables beyond the broadcast bound: the same matches
     key = lambda df: sorted(map(tuple, df.collect()))
-    assert key(license_scan.scan(docs)) == key(license_scan.scan(docs, skip_empty=False))
+    assert key(license_scan.scan(docs)) == key(license_scan.scan(docs, broadcast_rows=0))
+
+
+def test_texts_of_many_parts_are_found_in_altered_form(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(120):
+        name, t = license_scan.TEMPLATES[rng.randrange(len(license_scan.TEMPLATES))]
+        own = t.split()
+        for _ in range(len(own) // 60):                       # a word in sixty: a shingle in twelve
+            own[rng.randrange(len(own))] = "changed"
+        around = [f"w{rng.randrange(500)}" for _ in range(200)]
+        rows.append((i, " ".join(around[:rng.randrange(200)] + own + around), "en", "a"))
+    got = {r.doc_id: set(filter(None, r.licenses.split(","))) for r in
+           license_scan.licenses(odd_docs(spark, rows)).collect()}
+    wanted = {i: set(filter(None, x.split(","))) for i, x in
+              brute([(r[0], r[1]) for r in rows], license_scan.TEMPLATES).items()}
+    assert all(got[i] <= wanted[i] for i in wanted)
+    links = sum(map(len, wanted.values()))
+    assert links > 100 and sum(map(len, got.values())) / links >= 0.99
+
+
+def test_100_000_template_shingles(spark):
+    """A long list of templates of several parts, from files, joined by broadcast and by shuffle."""
+    rng = random.Random(4)
+    listed = [(f"L{i:03d}", " ".join(f"t{rng.randrange(3000)}" for _ in range(1004))) for i in range(100)]
+    folder = tempfile.mkdtemp(prefix="templates-")
+    for name, text in listed:
+        with open(os.path.join(folder, f"{name}.txt"), "w") as f:
+            f.write(text)
+    templates = license_scan.read_templates(spark, folder)
+    size = license_scan.template_parts(spark, templates).agg(F.sum(F.size("shingles"))).first()[0]
+    assert size > 99_000
+    rows = [(i, "before it " + text + " and after", "en", "a") for i, (_, text) in enumerate(listed[::10])]
+    rows += [(100 + i, " ".join(text.split()[:600]), "en", "a") for i, (_, text) in enumerate(listed[::10])]
+    docs = odd_docs(spark, rows)
+    for most in (license_scan.BROADCAST_ROWS, 0):
+        got = {r.doc_id: r.licenses for r in
+               license_scan.licenses(docs, templates=templates, broadcast_rows=most).collect()}
+        assert got == {r[0]: listed[r[0] * 10][0] if r[0] < 100 else "" for r in rows}
+
+
+def test_a_window_and_a_part_are_verified_once_and_native(spark):
+    plan = license_scan.licenses(odd_docs(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
 
 
 def test_long_templates_are_read_in_parts(spark):
