@@ -8,11 +8,14 @@ with a group mention) count beyond the sum of their parts.  x is 1 for a
 present bucket.  Only the ``FEATURES`` buckets that tell the classes apart
 best in the training rows (chi square of ``MIN_CHI`` or more, at least
 ``MIN_DOCS`` rows) take part; all other buckets are 0, which keeps long texts
-from collecting noise.
+from collecting noise (README gives the measured effect of these bounds).
+Fewer than ``MIN_CHI`` training rows therefore learn the class share alone.
 
 Training rows: labelled documents, at most ``MAX_TRAIN`` (the smallest hashes
-of their ids; a documented bound on the fit, which runs in numpy on the
-driver over hashed buckets, not texts).  Scoring: every row, whole text.
+of their ids; a documented bound on the fit).  Spark counts their buckets by
+class; the driver gets the chosen buckets and which of them each training row
+has, never a text or its other buckets, and descends in numpy.  Scoring:
+every row, whole text.
 
 Cases: null text is empty; an empty or unknown text gets sigmoid(w0); null
 labels and ids are not trained on; an id labelled twice counts as toxic when
@@ -33,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import store
 from .common import lean, text_of
 
 HASH_BITS = 20
@@ -162,6 +166,24 @@ def _bucket_batches(batches):
                                          names=["id", "buckets", "toxic"])
 
 
+def telling_buckets(train: DataFrame) -> list[int]:
+    """The buckets that tell the classes of ``train`` (buckets, toxic) apart
+    best, by the bounds above; at most ``FEATURES`` of them leave Spark.
+    ``FactorizationMachine.fit`` applies the same rule to the same counts."""
+    size = train.agg(F.count("*").alias("n"), F.sum("toxic").alias("positive")).first()
+    n, positive = size["n"], size["positive"] or 0
+    if positive in (0, n):
+        return []
+    share = positive / n
+    spread = F.col("in_all") * (1 - F.col("in_all") / n) * share * (1 - share)
+    chi = F.pow(F.col("in_toxic") - F.col("in_all") * share, F.lit(2.0)) / F.greatest(spread, F.lit(1e-9))
+    counts = (train.select(F.explode("buckets").alias("bucket"), "toxic").groupBy("bucket")
+              .agg(F.count("*").cast("double").alias("in_all"), F.sum("toxic").cast("double").alias("in_toxic")))
+    best = (counts.where((F.col("in_all") >= MIN_DOCS) & (F.col("in_all") < n) & (chi >= MIN_CHI))
+            .orderBy(chi.desc(), "bucket").limit(FEATURES))
+    return [r.bucket for r in best.select("bucket").collect()]
+
+
 def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, id_col: str = "doc_id",
         text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN) -> FactorizationMachine:
     """Fit on at most ``max_train`` labelled rows for which ``use`` (over the
@@ -173,10 +195,12 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, id_col: s
               .orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(max_train))
     rows = (docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("body"))
             .join(F.broadcast(sample), "id").select("toxic", "body", "id"))
-    # an id on several rows counts once, so the driver gets max_train rows of hashed buckets at most
-    got = (rows.mapInArrow(lean(_bucket_batches),
-                           f"id {rows.schema['id'].dataType.simpleString()}, buckets array<int>, toxic int")
-           .groupBy("id").agg(F.min(F.struct("buckets", "toxic")).alias("row")).select("row.*").toArrow())
+    # an id on several rows counts once: max_train rows of hashed buckets at most
+    train = store(rows.mapInArrow(lean(_bucket_batches),
+                                  f"id {rows.schema['id'].dataType.simpleString()}, buckets array<int>, toxic int")
+                  .groupBy("id").agg(F.min(F.struct("buckets", "toxic")).alias("row")).select("row.*"))
+    terms = F.array(*[F.lit(b) for b in telling_buckets(train)]).cast("array<int>")
+    got = train.select(F.array_intersect("buckets", terms).alias("buckets"), "toxic").toArrow()
     lists = got.column("buckets").combine_chunks()
     lists = lists if isinstance(lists, pa.ListArray) else pa.chunked_array(lists).combine_chunks()
     values, bounds = lists.values.to_numpy(), lists.offsets.to_numpy()

@@ -77,3 +77,35 @@ def test_a_repeated_id_is_one_training_row(spark, monkeypatch):
                         lambda rows, toxic: fitted.append((len(rows), toxic.tolist())) or real(rows, toxic))
     toxicity.fit(docs, labels)
     assert [(n, sorted(t)) for n, t in fitted] == [(3, [0.0, 0.0, 1.0])]
+
+
+def test_buckets_chosen_on_spark_are_those_of_all_counts(spark, monkeypatch):
+    """The fit over the chosen buckets alone equals the one over all buckets."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join([f"w{k}" for k in rng.integers(0, 300, 40)] + ["vermin"] * (i % 3 == 0) + ["scum"] * (i % 6 == 0))
+             for i in range(600)]
+    toxic = [float(i % 3 == 0) for i in range(600)]
+    rows = [toxicity.buckets_of(t) for t in texts]
+    train = spark.createDataFrame([(r.tolist(), int(t)) for r, t in zip(rows, toxic)], "buckets array<int>, toxic int")
+    for features in (toxicity.FEATURES, 5):
+        monkeypatch.setattr(toxicity, "FEATURES", features)
+        chosen = toxicity.telling_buckets(train)
+        whole = toxicity.FactorizationMachine.fit(rows, np.array(toxic))
+        cut = toxicity.FactorizationMachine.fit([r[np.isin(r, chosen)] for r in rows], np.array(toxic))
+        assert chosen and sorted(chosen) == np.flatnonzero(whole.place >= 0).tolist()
+        assert (whole.place == cut.place).all() and np.array_equal(whole.w, cut.w) and np.array_equal(whole.v, cut.v)
+
+
+def test_the_driver_gets_chosen_buckets_only(spark, monkeypatch):
+    """Long texts do not enlarge what the fit fetches."""
+    docs = spark.createDataFrame([(i, ("vermin " if i % 2 else "") + " ".join(f"x{i}y{k}" for k in range(3000)))
+                                  for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    fetched = []
+    real = toxicity.FactorizationMachine.fit
+    monkeypatch.setattr(toxicity.FactorizationMachine, "fit",
+                        lambda rows, toxic: fetched.extend(rows) or real(rows, toxic))
+    model = toxicity.fit(docs, labels)
+    assert len(fetched) == 60 and max(map(len, fetched)) <= 4 and sum(map(len, fetched)) > 0
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, model).collect()}
+    assert got == {i: i % 2 for i in range(60)}
