@@ -34,6 +34,55 @@ def test_gradients_against_differences():
             assert abs((above - below) / 2e-5 - g[at]) < 1e-6
 
 
+def naive_positions(model, data):
+    """The network written out byte by byte, one unit at a time."""
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    hidden = model.weights["forward_u"].shape[1]
+
+    def states(way, order):
+        table, u = model.weights[f"{way}_table"], model.weights[f"{way}_u"]
+        h, out = [0.0] * hidden, {}
+        for t in order:
+            given = [float(table[k, data[t]]) for k in range(3 * hidden)]
+            back = [sum(float(u[k, j]) * h[j] for j in range(hidden)) for k in range(3 * hidden)]
+            new = []
+            for j in range(hidden):
+                update, reset = sigmoid(given[j] + back[j]), sigmoid(given[hidden + j] + back[hidden + j])
+                candidate = np.tanh(given[2 * hidden + j] + reset * back[2 * hidden + j])
+                new.append((1 - update) * candidate + update * h[j])
+            h = out[t] = new
+        return out
+
+    forward, backward = states("forward", range(len(data))), states("backward", range(len(data) - 1, -1, -1))
+    rows = []
+    for t in range(len(data)):
+        z = [sum(float(w) * x for w, x in zip(row, forward[t] + backward[t])) + float(b)
+             for row, b in zip(model.weights["out"], model.weights["bias"][:, 0])]
+        e = np.exp(np.array(z) - max(z))
+        rows.append(e / e.sum())
+    return np.array(rows)
+
+
+def test_forward_pass_against_a_naive_one():
+    model = langid.BidirectionalGru.start(["a", "b", "c"], hidden=5)
+    rng = np.random.default_rng(3)
+    for way in ("forward", "backward"):
+        model.weights[f"{way}_u"] = rng.normal(0, 1, (15, 5)).astype(np.float32)
+    model.weights["bias"] = rng.normal(0, 1, (3, 1)).astype(np.float32)
+    for text in ("x", "Grüße, 12 cats!", "q" * langid.WINDOW, "ein Fenster " * 5):
+        raw = text.encode()
+        assert len(raw) <= langid.WINDOW
+        want = naive_positions(model, raw)
+        x, _, _ = langid._windows(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        if len(raw) == langid.WINDOW:                       # a full window: every position
+            assert np.allclose(model.label_positions(text), want, atol=1e-5)
+            letters = [t for t, c in enumerate(raw) if langid._LETTER[c]]
+            pooled = model.pooled(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+            assert np.allclose(pooled, want[letters].mean(0), atol=1e-5)
+        padded = raw + bytes(x.shape[1] - len(raw))         # windows are filled up with zero bytes
+        assert np.allclose(model.label_positions(text), naive_positions(model, padded)[:len(raw)], atol=1e-5)
+
+
 def test_windows_cover_every_byte():
     texts = [b"", b"a" * 5, b"b" * 64, b"c" * 65, b"", b"d" * 200]
     bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
