@@ -18,7 +18,8 @@ string or code points newer than Python's Unicode tables, and all texts under
 a vocabulary of another kind, are encoded whole.
 
 Cases: null text is empty and gets the end id alone; a null id sorts first;
-repeated ids are ordered by text; an empty table gives an empty folder of
+repeated ids are ordered by text, and the rows of one id (or of none) are
+parted among files by how their texts begin; an empty table gives an empty folder of
 files and an empty result; other columns are ignored.
 """
 
@@ -37,6 +38,7 @@ from .common import lean, partitions, text_of
 from .words import WordRules, byte_letters
 
 END_ID = 2
+RANGE_LETTERS = 64             # of a text in a range's bounds, which the driver holds
 CACHE_WORDS = 700_000          # words a worker remembers; then it starts anew
 STRIPE_BYTES = 64 << 20
 ROW_INDEX_STRIDE = 1000
@@ -161,7 +163,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
     """Encode every text and write ORC files under ``path`` (``files`` of them,
     by default the session's number of shuffle partitions)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("body"))
-    (rows.repartitionByRange(files or partitions(docs.sparkSession), "doc_id")
+    # in the order of (doc_id, body): the text's beginning parts the rows of one id among files
+    (rows.repartitionByRange(files or partitions(docs.sparkSession), "doc_id", F.substring("body", 1, RANGE_LETTERS))
      .sortWithinPartitions("doc_id", "body")
      .mapInArrow(lean(_encode_part(tokenizer_path, end_id)), _SCHEMA)
      .write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", bloom_fpp)

@@ -123,6 +123,25 @@ def test_orc_files(spark, tmp_path):
     assert [r.doc_id for r in pruned.collect()] == [7]
 
 
+def test_rows_of_one_id_are_parted_among_files(spark, tmp_path):
+    rows = [(None if i % 2 else 7, f"{i * 7919 % 4000} a text of its own", "en", "a") for i in range(4000)]
+    folder = str(tmp_path / "null")
+    check_files(spark, odd_docs(spark, rows), rows, folder, files=8)
+    sizes = [r["count"] for r in token_output.read_tokens(spark, folder).groupBy("part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1000
+
+
+def test_a_filter_on_ids_skips_row_groups(spark, tmp_path):
+    folder = str(tmp_path / "groups")
+    docs = spark.createDataFrame([(i * 2, f"text {i}") for i in range(40_000)], "doc_id long, text string")
+    token_output.write_tokens(docs, folder, TOKENIZER, files=2, row_index_stride=1000)
+    for doc_id, found in ((31_000, 1), (31_001, 0)):           # by the index; by the Bloom filter
+        one = token_output.read_tokens(spark, folder).where(f"doc_id = {doc_id}")
+        assert len(one.collect()) == found
+        scan = one._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+        assert scan.metrics().apply("numOutputRows").value() <= 1000 * found
+
+
 def test_empty_table(spark, tmp_path):
     folder = str(tmp_path / "none")
     token_output.write_tokens(odd_docs(spark, []), folder, TOKENIZER)
