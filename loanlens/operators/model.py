@@ -13,6 +13,7 @@ Spark ML minimises (1 / sum_i w_i) * sum_i w_i loss_i + 0.5 * regParam *
 from __future__ import annotations
 
 import json
+import math
 import os
 from dataclasses import dataclass
 
@@ -31,6 +32,7 @@ from .quality import assert_complete
 MAX_ITER = 1000
 INVERSE_REGULARISATION = 1.0   # C
 WEIGHT_COLUMN = "class_weight"
+ROWS_PER_TASK = 50_000         # of a solver pass: the time of fewer rows goes into scheduling
 
 
 def balanced_weights(train: DataFrame, label: str = LABEL_COLUMN) -> tuple[DataFrame, int]:
@@ -70,8 +72,10 @@ class RiskModel:
         # F8: an input the data lacks counts as a raw 0
         numbers = [self.scaler.column(c) if c in imputed.columns else self.scaler.scaled(c, F.lit(0))
                    for c in self.numeric_columns]
-        dense = array_to_vector(F.array(*numbers, *self.levels.scaled_columns(imputed.columns)))
-        with_parts = self.levels.transform(aligned.withColumn("_dense", dense))
+        values = [*numbers, *self.levels.scaled_columns(imputed.columns)]
+        # with its length stated no row is read to find it
+        dense = array_to_vector(F.array(*values)).alias("_dense", metadata={"ml_attr": {"num_attrs": len(values)}})
+        with_parts = self.levels.transform(aligned.select("*", dense))
         return (VectorAssembler(inputCols=["_dense", *self.levels.vectors], outputCol="features")
                 .transform(with_parts).drop("_dense", *self.levels.vectors, *missing))
 
@@ -160,9 +164,12 @@ def train(features: DataFrame, max_iter: int = MAX_ITER):
     numeric = [c for c in imputed.columns if c not in (ID_COLUMN, LABEL_COLUMN, *CATEGORICAL_COLUMNS)]
     scaler = RobustScale.fit(train_rows, numeric, binary=["is_not_employed"])
     prepared = RiskModel(imputation, LevelVectors.fit(split, train_rows), scaler, numeric, None)
-    weighted, n_train = balanced_weights(prepared.assemble(train_rows))
+    weighted, n_train = balanced_weights(train_rows)
+    # every solver pass reads the inputs: three stored columns instead of the plan that prepares them
+    inputs = store(prepared.assemble(weighted).select("features", LABEL_COLUMN, WEIGHT_COLUMN))
+    inputs = inputs.coalesce(max(1, math.ceil(n_train / ROWS_PER_TASK)))
     lr = LogisticRegression(featuresCol="features", labelCol=LABEL_COLUMN, weightCol=WEIGHT_COLUMN,
                             regParam=1.0 / (INVERSE_REGULARISATION * n_train), elasticNetParam=0.0,
                             standardization=False, fitIntercept=True, maxIter=max_iter)
-    prepared.classifier = lr.fit(weighted)
+    prepared.classifier = lr.fit(inputs)
     return prepared, split, prepared.classifier.summary.totalIterations

@@ -74,6 +74,8 @@ def test_logistic_regression_matches_objective(spark, tmp_path):
     a = {r[0]: r[1] for r in fitted.predict(feats).select("sk_id_curr", "risk_probability").collect()}
     b = {r[0]: r[1] for r in again.predict(feats).select("sk_id_curr", "risk_probability").collect()}
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
+    # no row is read to plan the inputs, so none need be there
+    assert again.predict(feats.where("sk_id_curr < 0")).collect() == []
 
     imp = fitted.coefficients(spark).orderBy("rank").collect()
     assert imp[0]["rank"] == 1 and imp[0]["abs_coefficient"] >= imp[-1]["abs_coefficient"]
