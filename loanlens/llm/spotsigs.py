@@ -1,8 +1,10 @@
 """Document fingerprints by SpotSigs (operator 8).
 
-Wherever one of the common words ``ANCHORS`` stands, the anchor and the next
-``CHAIN`` content words (words that are not anchors) form a signature; the
-beginning of the text counts as an anchor too.  A document's fingerprint is
+Wherever an anchor stands, the anchor and the next ``CHAIN`` content words
+(words that are not anchors) form a signature; the beginning of the text
+counts as an anchor too.  Anchors are the common words ``ANCHORS`` and, in any
+language, the words whose hash is divisible by ``DRAWN_EVERY``, so the whole of
+a text without a listed word takes part as well.  A document's fingerprint is
 the set of its signatures as 32-bit hashes, written as ascending hex digits
 of 8; the likeness of two documents is the Jaccard index of their sets.
 
@@ -51,6 +53,7 @@ ANCHORS = frozenset((
     "au aux avec ce dans de du elle en est et il la le les ne par pas pour que qui se son sur un une "
     "al como con del el ella esta la las lo los más no para por se su sus una y"
 ).split())
+DRAWN_EVERY = 16               # of the distinct words, this share are anchors by their hash
 CHAIN = 2
 THRESHOLD = 0.8
 ROWS_AT_ONCE = 256
@@ -62,7 +65,7 @@ def signatures(text: str, chain: int = CHAIN) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint32)
     h = word_hashes(words)
-    anchor = np.fromiter(map(ANCHORS.__contains__, words), bool, len(words))
+    anchor = np.fromiter(map(ANCHORS.__contains__, words), bool, len(words)) | (h % np.uint64(DRAWN_EVERY) == 0)
     content = np.concatenate([h[~anchor], np.zeros(chain, np.uint64)])
     n_content = len(content) - chain
     # the start of the text, then each anchor: how many content words stand before it

@@ -4,6 +4,7 @@ import numpy as np
 from odd import ROWS, odd_docs, table, text_of
 
 from loanlens.llm import spotsigs
+from loanlens.llm.hashing import WORD, word_hashes
 
 
 def brute(rows):
@@ -38,6 +39,37 @@ def test_signatures_are_chains_after_common_words():
     assert len(np.intersect1d(a, moved)) >= 3
 
 
+def naive(text):
+    """The anchor and its next content words, one by one."""
+    words = WORD.findall(text.lower())
+    drawn = lambda w: int(word_hashes([w])[0]) % spotsigs.DRAWN_EVERY == 0
+    anchors = [w in spotsigs.ANCHORS or drawn(w) for w in words]
+    found = set()
+    for i in range(-1, len(words)):
+        if i < 0 or anchors[i]:
+            chain = [w for w, a in zip(words[i + 1:], anchors[i + 1:]) if not a][:spotsigs.CHAIN]
+            if chain or (words and all(anchors)):            # a text of anchors alone keeps them
+                found.add((words[i] if i >= 0 else None, *chain))
+    return found
+
+
+def test_signatures_against_naive_chains(spark):
+    for r in table(spark, "documents").collect():
+        text = r.text or ""
+        if len(text) < 20_000:
+            assert len(spotsigs.signatures(text)) == len(naive(text)), r.doc_id
+
+
+def test_texts_without_listed_anchors_take_part_as_a_whole():
+    words = [f"w{i}x" for i in range(400)]
+    own = spotsigs.signatures(" ".join(words))
+    assert len(own) >= 10
+    other = spotsigs.signatures(" ".join(words[:40] + [f"v{i}y" for i in range(360)]))
+    assert spotsigs.likeness(own, other) < 0.3
+    near = spotsigs.signatures(" ".join([*words[:200], "new", *words[200:]]))
+    assert spotsigs.likeness(own, near) > 0.8
+
+
 def test_edited_likeness_against_brute_force(spark):
     for slices in (1, 3, None):
         assert got(spotsigs.edited_likeness(odd_docs(spark), slices=slices)) == brute(ROWS)
