@@ -1,7 +1,11 @@
 import decimal
 
 from conftest import rows
+from loanlens import session
 from loanlens.operators import features
+from loanlens.plans.catalog import customer_features_df
+from loanlens.sources import standins
+from pyspark.sql import functions as F
 
 D = decimal.Decimal
 INST = "sk_id_curr long, days_instalment decimal(18,4), days_entry_payment decimal(18,4)"
@@ -173,3 +177,65 @@ def test_bucketed_children_are_joined_without_a_shuffle(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "SortMergeJoin" in plan
     assert df.count() > 0
+
+
+def _held_by_task(df):
+    """Rows of each task of a result, the largest first."""
+    return sorted((r["n"] for r in df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()),
+                  reverse=True)
+
+
+def _driver_tables(spark, folder, customers, lines):
+    """The tables that the stand-ins read; every order has two lines."""
+    day = F.timestamp_seconds(F.lit(980_000_000) + F.col("id") * 86_400).cast("timestamp_ntz")
+    typed = {
+        "customer": spark.range(customers).select(
+            F.col("id").alias("c_custkey"), F.lit("c").alias("c_name"), (F.col("id") % 24).cast("int").alias("c_nationkey"),
+            ((F.col("id") * 31) % 50 - 4.0).alias("c_acctbal"), F.lit("BUILDING").alias("c_mktsegment")),
+        "orders": spark.range(lines // 2).select(
+            F.col("id").alias("o_orderkey"), (F.col("id") % customers).alias("o_custkey"),
+            F.lit("F").alias("o_orderstatus"), F.lit(100.0).alias("o_totalprice"), day.alias("o_orderdate"),
+            F.lit("1-URGENT").alias("o_orderpriority")),
+        "lineitem": spark.range(lines).select(
+            F.floor(F.col("id") / 2).alias("l_orderkey"), F.lit(1).cast("long").alias("l_partkey"),
+            F.lit(1).cast("long").alias("l_suppkey"), (F.col("id") % 2 + 1).cast("int").alias("l_linenumber"),
+            F.lit(1.0).alias("l_quantity"), F.lit(5.0).alias("l_extendedprice"), F.lit(0.0).alias("l_discount"),
+            F.lit(0.0).alias("l_tax"), F.when(F.col("id") % 5 == 0, "R").otherwise("N").alias("l_returnflag"),
+            F.lit("F").alias("l_linestatus"), day.alias("l_shipdate")),
+        "events": spark.range(customers).select(
+            F.col("id").alias("event_id"), day.alias("ts"), F.col("id").alias("user_id"),
+            F.lit("view").alias("event_type"), F.lit(3.0).alias("value"), F.lit("{}").alias("props")),
+    }
+    for name, df in typed.items():
+        df.write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_tasks_of_a_shuffle_follow_the_rows(spark):
+    planned = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    full = session.SHUFFLE_ROWS
+    assert session.shuffle_tasks(spark, 0) is None and session.shuffle_tasks(spark, planned * full) is None
+    assert session.shuffle_tasks(spark, planned * full + 1) == planned + 1
+    assert session.shuffle_tasks(spark, 1000 * full) == 1000 or planned >= 1000
+
+
+def test_installments_and_features_of_one_task_do_not_grow(spark, tmp_path, monkeypatch):
+    folder = _driver_tables(spark, tmp_path, customers=3000, lines=12_000)
+    whole = [standins.installments(spark, folder), customer_features_df(spark, folder)]
+    before = [sorted(map(tuple, df.collect()), key=repr) for df in whole]
+    monkeypatch.setattr(session, "SHUFFLE_ROWS", 100)
+    assert standins.child_tasks(spark, folder) == 120
+    dealt = [standins.installments(spark, folder), customer_features_df(spark, folder)]
+    for df, rows_before in zip(dealt, before):
+        assert sorted(map(tuple, df.collect()), key=repr) == rows_before
+        assert _held_by_task(df)[0] <= 3 * len(rows_before) / 120 + 20
+
+
+def test_dealt_payment_features_keep_results(spark):
+    df = _inst(spark, [(k % 7, -(k % 11), None if k % 5 == 0 else k % 13 - 11) for k in range(300)]
+               + [(None, -1, 2), (None, -3, 2), (3, None, 1)])
+    for made in (features.payment_features, features.lateness_trend_paid):
+        assert sorted(map(tuple, made(df, tasks=40).collect()), key=repr) == sorted(map(tuple, made(df).collect()), key=repr)
+        # the distinct day pairs reach the window dealt by customer, not raw rows
+        plan = made(df, tasks=40)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(sk_id_curr" in plan and ", 40)" in plan and plan.count("partial_count(1)") >= 1
