@@ -3,7 +3,8 @@ import decimal
 from conftest import rows
 from loanlens import session
 from loanlens.operators import features
-from loanlens.plans.catalog import customer_features_df
+from loanlens.plans.catalog import QUERIES, customer_features_df
+from loanlens.plans.catalog_scoring import features_table
 from loanlens.sources import standins
 from pyspark.sql import functions as F
 
@@ -239,3 +240,19 @@ def test_dealt_payment_features_keep_results(spark):
         # the distinct day pairs reach the window dealt by customer, not raw rows
         plan = made(df, tasks=40)._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(sk_id_curr" in plan and ", 40)" in plan and plan.count("partial_count(1)") >= 1
+
+
+def _same_when_dealt(spark, tmp_path, monkeypatch, name):
+    """A query's rows with the session's own tasks, and over features made by many."""
+    few, many = (_driver_tables(spark, tmp_path / x, customers=3000, lines=12_000) for x in ("few", "many"))
+    expected = sorted(map(tuple, QUERIES[name](spark, few).collect()), key=repr)
+    monkeypatch.setattr(session, "SHUFFLE_ROWS", 300)
+    assert sorted(map(tuple, QUERIES[name](spark, many).collect()), key=repr) == expected
+    # each task of the shuffle wrote its part of the stored feature table
+    assert len(features_table(spark, many).inputFiles()) > 30 > len(features_table(spark, few).inputFiles())
+    return expected
+
+
+def test_health_summary_over_dealt_features(spark, tmp_path, monkeypatch):
+    (row,) = _same_when_dealt(spark, tmp_path, monkeypatch, "health_score_summary")
+    assert row[0] == 3000 - 150 - 150          # customers of known gender
