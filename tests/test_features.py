@@ -256,3 +256,9 @@ def _same_when_dealt(spark, tmp_path, monkeypatch, name):
 def test_health_summary_over_dealt_features(spark, tmp_path, monkeypatch):
     (row,) = _same_when_dealt(spark, tmp_path, monkeypatch, "health_score_summary")
     assert row[0] == 3000 - 150 - 150          # customers of known gender
+
+
+def test_confusion_matrix_over_dealt_features(spark, tmp_path, monkeypatch):
+    matrix = _same_when_dealt(spark, tmp_path, monkeypatch, "risk_model_confusion_matrix")
+    assert [r[0] for r in matrix] == [0, 1]
+    assert sum(r[1] + r[2] for r in matrix) == round(0.2 * 2700)
