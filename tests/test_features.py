@@ -1,4 +1,5 @@
 import decimal
+import re
 
 from conftest import rows
 from loanlens import session
@@ -262,3 +263,17 @@ def test_confusion_matrix_over_dealt_features(spark, tmp_path, monkeypatch):
     matrix = _same_when_dealt(spark, tmp_path, monkeypatch, "risk_model_confusion_matrix")
     assert [r[0] for r in matrix] == [0, 1]
     assert sum(r[1] + r[2] for r in matrix) == round(0.2 * 2700)
+
+
+def _exchanges(df):
+    """(columns, partitions) of each hash shuffle in a plan."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return {(re.sub(r"#\d+L?", "", columns), int(n)) for columns, n in re.findall(r"hashpartitioning\((.*?), (\d+)\)", plan)}
+
+
+def test_day_groups_of_health_summary_are_dealt(spark, tmp_path, monkeypatch):
+    folder = _driver_tables(spark, tmp_path, customers=3000, lines=12_000)
+    monkeypatch.setattr(session, "SHUFFLE_ROWS", 300)
+    dealt = [(columns, n) for columns, n in _exchanges(customer_features_df(spark, folder)) if "days_instalment" in columns]
+    assert dealt == [("sk_id_curr, days_instalment, days_entry_payment", 40)]
+    assert ("sk_id_curr", 40) in _exchanges(customer_features_df(spark, folder))
