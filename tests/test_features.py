@@ -277,3 +277,13 @@ def test_day_groups_of_health_summary_are_dealt(spark, tmp_path, monkeypatch):
     dealt = [(columns, n) for columns, n in _exchanges(customer_features_df(spark, folder)) if "days_instalment" in columns]
     assert dealt == [("sk_id_curr, days_instalment, days_entry_payment", 40)]
     assert ("sk_id_curr", 40) in _exchanges(customer_features_df(spark, folder))
+
+
+def test_dealt_day_groups_of_a_hot_customer(spark):
+    # half of the rows are one customer's, and a third of those one day pair; keys and days may be null
+    df = _inst(spark, [(0 if k % 2 else k, -(k % 67) if k % 3 else -1, 5 if k % 3 == 0 else -(k % 31)) for k in range(4000)]
+               + [(None, None, None)] * 50 + [(None, -1, None)] * 50)
+    dealt = features.lateness_groups(df, tasks=40)
+    assert sorted(rows(dealt), key=repr) == sorted(rows(features.lateness_groups(df)), key=repr)
+    held = _held_by_task(dealt)
+    assert len(held) > 30 and held[0] < 0.1 * sum(held)
