@@ -287,3 +287,70 @@ def test_dealt_day_groups_of_a_hot_customer(spark):
     assert sorted(rows(dealt), key=repr) == sorted(rows(features.lateness_groups(df)), key=repr)
     held = _held_by_task(dealt)
     assert len(held) > 30 and held[0] < 0.1 * sum(held)
+
+
+def _children(spark):
+    # half of the rows are one customer's; keys, months and values may be null
+    key = F.when(F.col("id") % 2 == 0, 0).when(F.col("id") % 41 == 0, None).otherwise(F.col("id") % 97)
+    n = F.col("id")
+    return spark.range(6000).select(
+        key.cast("long").alias("sk_id_curr"),
+        F.when(n % 53 != 0, -(n * 7 % 29)).cast("int").alias("months_balance"),
+        F.when(n % 19 != 0, (n * 7919 % 100_003) / 7).cast("decimal(18,4)").alias("amt_balance"),
+        F.when(n % 11 == 0, 0).otherwise(n % 13 * 1000 + 3).cast("int").alias("amt_credit_limit_actual"),
+        F.when(n % 17 != 0, n * 31 % 121).cast("int").alias("sk_dpd"),
+        F.element_at(F.array(*map(F.lit, ("Active", "Closed", "Sold"))), (n % 3 + 1).cast("int")).alias("credit_active"),
+        F.when(n % 53 != 0, -(n * 7 % 301)).cast("int").alias("days_credit"),
+        F.when(n % 23 != 0, n % 120).cast("int").alias("credit_day_overdue"),
+        F.when((n % 5 != 0) & (n % 97 != 3), (n * 104_729 % 1_000_003) / 3).cast("decimal(18,4)").alias("amt_credit_sum_debt"))
+
+
+def test_dealt_children_keep_results_and_spread_a_hot_customer(spark):
+    df = _children(spark).cache()
+    parts = {features.utilization: "months_balance", features.dpd_features: "months_balance",
+             features.bureau_features: "days_credit"}
+    for made, part in parts.items():
+        dealt = made(df, tasks=40)
+        assert sorted(rows(dealt), key=repr) == sorted(rows(made(df)), key=repr)
+        assert _exchanges(dealt) == {(f"sk_id_curr, {part}", 40), ("sk_id_curr", 41)}
+        held = _held_by_task(df.repartition(40, "sk_id_curr", part))
+        assert held[0] < 0.2 * sum(held)
+    # the means are those of avg
+    u = F.col("amt_balance") / F.nullif("amt_credit_limit_actual", F.lit(0))
+    m = F.col("months_balance")
+    recent, prior = F.avg(F.when(m >= -6, u)), F.avg(F.when(m.between(-12, -7), u))
+    plain = df.groupBy("sk_id_curr").agg(*[F.round(x, 3).cast("double") for x in (F.avg(u), recent, prior, recent - prior)])
+    assert sorted(map(tuple, plain.collect()), key=repr) == sorted(rows(features.utilization(df, tasks=40)), key=repr)
+
+
+def test_rows_of_a_scan_task_follow_the_rows(spark, tmp_path, monkeypatch):
+    folder = _driver_tables(spark, tmp_path / "in", customers=3000, lines=12_000)
+    path = f"{folder}/lineitem.parquet"
+    lines = spark.read.parquet(path).repartition(1)
+    # one file of many row groups, as larger tables have
+    (lines.write.mode("overwrite").option("parquet.block.size", 4096).option("parquet.page.size", 1024)
+     .option("parquet.block.size.row.check.min", 50).option("parquet.page.size.row.check.min", 50)
+     .parquet(f"{folder}/lines.parquet"))
+    table = spark.read.parquet(f"{folder}/lines.parquet")
+    key = "spark.sql.files.maxPartitionBytes"
+    session_limit = spark.conf.get(key)
+    try:
+        monkeypatch.setattr(session, "SHUFFLE_ROWS", 1000)
+        session.bounded_scans(spark, [(table, 12_000)])
+        assert int(spark.conf.get(key).rstrip("b")) == session.SPLIT_BYTES      # files this small are not split further
+        monkeypatch.setattr(session, "SPLIT_BYTES", 1)
+        session.bounded_scans(spark, [(table, 900)])
+        assert int(spark.conf.get(key)) == 4 << 20                              # few rows need no splits
+        session.bounded_scans(spark, [(table, 12_000)])
+        assert _held_by_task(spark.read.parquet(f"{folder}/lines.parquet"))[0] <= 3000
+        lowered = spark.conf.get(key)
+        monkeypatch.setattr(session, "SHUFFLE_ROWS", 6000)
+        session.bounded_scans(spark, [(table, 12_000)])
+        assert spark.conf.get(key) == lowered                                   # never raised
+        # the queries over children lower it as well, once their shuffles need more tasks
+        spark.conf.set(key, session_limit)
+        assert standins.child_tasks(spark, folder) is None and spark.conf.get(key) == session_limit
+        monkeypatch.setattr(session, "SHUFFLE_ROWS", 100)
+        assert standins.child_tasks(spark, folder) == 120 and int(spark.conf.get(key)) < 100_000
+    finally:
+        spark.conf.set(key, session_limit)
