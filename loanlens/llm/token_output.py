@@ -72,6 +72,23 @@ class _Ragged:
         return self.ids[np.arange(total) + np.repeat(first - (ends - lengths), lengths)], ends
 
 
+class _Numbers(dict):
+    """A number for each word, in the order of their first lookups."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+    def take_new(self) -> list[str]:
+        """The words numbered since the last call, in the order of their numbers."""
+        new, self.new = self.new, []
+        return new
+
+
 class PieceEncoder:
     """Encodes texts with a tokenizers file; remembers the ids of words."""
 
@@ -95,38 +112,48 @@ class PieceEncoder:
         return cls._loaded[path]
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = _Numbers()
         self.ids = _Ragged()
 
     def _learn(self, words: list[str]) -> None:
         # words are cut and normalised: the library's model alone has to encode
         # them, their bytes written as letters
-        model = self.tokenizer.model
-        spelled = [w if w.isascii() and w.isprintable() else w.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
-                   for w in words]
-        found = [[t.id for t in model.tokenize(w)] for w in spelled]
-        self.ids.append(np.fromiter(chain.from_iterable(found), np.int32),
-                        np.fromiter(map(len, found), np.int64, len(found)))
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
+        tokenize = self.tokenizer.model.tokenize
+        ids, lengths = [], []
+        for w in words:
+            found = tokenize(w if w.isascii() and w.isprintable()
+                             else w.encode("utf-8", "replace").decode("latin-1").translate(self.letters))
+            lengths.append(len(found))
+            ids.extend([t.id for t in found])
+        self.ids.append(np.array(ids, np.int32), np.array(lengths, np.int64))
+
+    def encode_joined(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and the bounds of each text in them."""
         if len(self.number) > CACHE_WORDS:
             self.forget()
         whole = [not self.rules.known_kind or self.special.search(t) is not None or self.rules.unknown(t)
                  for t in texts]
         rows = [[] if odd else self.rules.words(t) for t, odd in zip(texts, whole)]
-        flat = list(chain.from_iterable(rows))
-        numbers = list(map(self.number.get, flat))
-        if None in numbers:
-            new = [i for i, n in enumerate(numbers) if n is None]
-            self._learn(list(dict.fromkeys([flat[i] for i in new])))
-            for i in new:
-                numbers[i] = self.number[flat[i]]
-        ids, ends = self.ids.take(np.array(numbers, np.int64))
-        upto = np.concatenate([[0], ends])[np.cumsum([0, *map(len, rows)])]
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int32) if odd else ids[a:b]
-                for t, odd, a, b in zip(texts, whole, upto, upto[1:])]
+        upto = np.cumsum([0, *map(len, rows)])
+        # one lookup a word; an unknown one gets the next number and is learned below
+        numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(rows)), np.int64, upto[-1])
+        try:
+            self._learn(self.number.take_new())
+        except BaseException:
+            self.forget()      # numbers without ids
+            raise
+        ids, ends = self.ids.take(numbers)
+        bounds = np.concatenate([[0], ends])[upto]
+        if True in whole:
+            parts = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int32) if odd else ids[a:b]
+                     for t, odd, a, b in zip(texts, whole, bounds, bounds[1:])]
+            ids, bounds = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+        return ids, bounds
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        ids, bounds = self.encode_joined(texts)
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
 def _encode_part(tokenizer_path: str, end_id: int | None):
@@ -139,20 +166,18 @@ def _encode_part(tokenizer_path: str, end_id: int | None):
             # a few texts at a time keep the working set small
             for lo in range(0, batch.num_rows, 256):
                 piece = batch.slice(lo, 256)
-                rows = encoder.encode(piece.column(1).to_pylist())
+                ids, bounds = encoder.encode_joined(piece.column(1).to_pylist())
                 if end_id is not None:
-                    rows = [np.append(r, np.int32(end_id)) for r in rows]
-                lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-                ends = np.cumsum(lengths)
-                offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-                ids = pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32), pa.int32())
+                    ids = np.insert(ids, bounds[1:], end_id)
+                    bounds = bounds + np.arange(len(bounds))
+                n, lengths = piece.num_rows, np.diff(bounds)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), pa.array(np.full(len(rows), part, np.int32)),
-                     pa.array(pos + np.arange(len(rows))), pa.array(start + ends - lengths),
-                     pa.array(lengths), pa.ListArray.from_arrays(offsets, ids)],
+                    [piece.column(0), pa.array(np.full(n, part, np.int32)),
+                     pa.array(pos + np.arange(n)), pa.array(start + bounds[:-1]), pa.array(lengths),
+                     pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))],
                     names=["doc_id", "part", "pos", "start_in_part", "n_tokens", "token_ids"])
-                pos += len(rows)
-                start += int(ends[-1]) if len(rows) else 0
+                pos += n
+                start += int(bounds[-1])
     return run
 
 

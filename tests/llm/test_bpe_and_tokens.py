@@ -146,3 +146,20 @@ def test_empty_table(spark, tmp_path):
     folder = str(tmp_path / "none")
     token_output.write_tokens(odd_docs(spark, []), folder, TOKENIZER)
     assert token_output.digest(token_output.read_tokens(spark, folder)).collect() == []
+
+
+def test_a_word_is_numbered_by_its_lookup_and_learned_once(monkeypatch):
+    encoder, learned = token_output.PieceEncoder(TOKENIZER), []
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda words: (learned.extend(words), learn(words)))
+    for texts in ([*TRICKY, *TRICKY, "one two one"], [], ["two three one", *TRICKY]):
+        ids, bounds = encoder.encode_joined(texts)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [expected(t)[0] for t in texts]
+        assert list(encoder.number.values()) == list(range(encoder.ids.count))
+    assert len(learned) == len(set(learned)) == len(encoder.number)
+    assert learned[-1] == "three"
+    monkeypatch.setattr(encoder, "_learn", lambda words: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        encoder.encode_joined(["four"])
+    monkeypatch.setattr(encoder, "_learn", learn)
+    assert encoder.encode(["four one"])[0].tolist() == expected("four one")[0]
