@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, text_of
+from .common import lean, remembers, text_of
 from .words import WORD_END, WordRules, byte_letters
 
 CACHE_PIECES = 150_000         # pieces a worker remembers; then it starts anew
@@ -53,6 +53,7 @@ class Bpe:
         self.by_rank = [(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in spec["model"]["merges"]]
         # a pair of ids (each below 2^20) as one integer -> rank
         self.rank_of = {a << 20 | b: rank for rank, (a, b, _) in enumerate(self.by_rank)}
+        del spec["model"]["merges"]           # only ranks are looked up
         letters = byte_letters()
         self.inner = [self.vocab[letters[b]] for b in range(256)]
         self.final = [self.vocab[letters[b] + WORD_END] for b in range(256)]
@@ -152,6 +153,9 @@ class Bpe:
         return (" ".join([a for a, _ in found if a]), SEPARATOR.join([b for a, b in found if a]))
 
 
+remembers(__name__, Bpe._loaded.clear)
+
+
 def _digests(path: str):
     def run(batches):
         bpe = Bpe.load(path)

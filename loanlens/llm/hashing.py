@@ -7,10 +7,13 @@ import re
 
 import numpy as np
 
+from .common import remembers
+
 WORD = re.compile(r"\w+")
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 CACHE_WORDS = 150_000          # words a worker remembers
 _known: dict[str, int] = {}
+remembers(__name__, _known.clear)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

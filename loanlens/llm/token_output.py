@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lean, partitions, text_of
+from .common import lean, partitions, remembers, text_of
 from .words import WordRules, byte_letters
 
 END_ID = 2
@@ -156,6 +156,9 @@ class PieceEncoder:
         return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
+remembers(__name__, PieceEncoder._loaded.clear)
+
+
 def _encode_part(tokenizer_path: str, end_id: int | None):
     def run(batches):
         from pyspark import TaskContext

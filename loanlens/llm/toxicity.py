@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import store
-from .common import lean, text_of
+from .common import lean, remembers, text_of
 
 HASH_BITS = 20
 PREFIXES = (3, 4, 5)
@@ -65,6 +65,7 @@ def word_buckets(word: str) -> tuple[int, ...]:
 
 
 _remembered_buckets = lru_cache(CACHE_WORDS)(word_buckets)
+remembers(__name__, _remembered_buckets.cache_clear)
 
 
 def buckets_of(text: str) -> np.ndarray:

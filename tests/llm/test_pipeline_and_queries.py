@@ -80,3 +80,27 @@ def test_stages_of_odd_and_empty_tables(spark):
         for name, stage in pipeline.STAGES:
             docs = store(stage(spark, docs, SF))
         assert docs.columns == ["doc_id", "n_tokens", "token_ids"]
+
+
+def test_a_worker_remembers_for_one_operator_at_a_time():
+    # the pipeline's stages follow each other in the same Python workers
+    import pyarrow as pa
+
+    from loanlens.llm import bpe, common, hashing, near_dedup, token_output, toxicity
+    from loanlens.llm.queries import TOKENIZER
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["one two three"]), pa.array([b"1"])],
+                                       names=["doc_id", "body", "text_id"])
+    held = lambda: [len(bpe.Bpe._loaded), len(token_output.PieceEncoder._loaded),
+                    toxicity._remembered_buckets.cache_info().currsize > 0, len(hashing._known) > 0]
+    task = lambda run: list(common.lean(run)([batch]))
+    signed = task(near_dedup._sign(5, 25, 5))
+    for _ in range(2):
+        task(bpe._tokens(TOKENIZER))
+        own = bpe.Bpe._loaded[TOKENIZER]
+        assert held() == [1, 0, False, False]
+    task(bpe._digests(TOKENIZER))
+    assert bpe.Bpe._loaded[TOKENIZER] is own          # kept from task to task of one operator
+    task(toxicity._bucket_batches)
+    assert held() == [0, 0, True, False]
+    assert task(near_dedup._sign(5, 25, 5)) == signed
+    assert held() == [0, 0, False, True]
